@@ -53,8 +53,7 @@ def observed_plane(word: Column) -> Column:
 
 def site_bit(site: Column, width: int = WORD) -> Column:
     """Bit of a site inside its word."""
-    shift = F.lit(width - 1) - F.pmod(site, F.lit(width))
-    return F.call_function("shiftleft", F.lit(1).cast("long"), shift.cast("int"))
+    return F.call_function("shiftleft", F.lit(1).cast("long"), (width - 1 - site % width).cast("int"))
 
 
 def pack_pair(low: Column, high: Column) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # Multipliers of the 32-bit mix and of the column salt, and the default seed.
@@ -14,25 +14,21 @@ SEED = 20260934
 MASK = 0xFFFFFFFF
 
 
-def _shift(x: Column, bits: int) -> Column:
-    return F.call_function("shiftright", x, F.lit(bits))
-
-
-def _times(x: Column, factor: int) -> Column:
+def _times(x: str, factor: int) -> str:
     """x * factor mod 2^32 from two 16-bit halves, which cannot overflow."""
-    upper = (_shift(x, 16) * F.lit(factor)).bitwiseAND(F.lit(65535)) * F.lit(65536)
-    lower = x.bitwiseAND(F.lit(65535)) * F.lit(factor)
-    return (upper + lower).bitwiseAND(F.lit(MASK))
+    return f"(((shiftright({x}, 16) * {factor}L) & 65535L) * 65536L + ({x} & 65535L) * {factor}L) & {MASK}L"
+
 
+def add_mix32(df: DataFrame, x: str, out: str) -> DataFrame:
+    """Add the 32-bit avalanche of the SQL expression ``x``, mod 2^32, as ``out``.
 
-def mix32(x: Column) -> Column:
-    """32-bit avalanche of a BIGINT column, taken mod 2^32."""
-    x = x.cast("long").bitwiseAND(F.lit(MASK))
-    x = x.bitwiseXOR(_shift(x, 16))
-    x = _times(x, MIX_FIRST)
-    x = x.bitwiseXOR(_shift(x, 15))
-    x = _times(x, MIX_SECOND)
-    return x.bitwiseXOR(_shift(x, 16))
+    Each step is its own projection, so no step is repeated inside the next.
+    """
+    steps = [f"cast({x} as bigint) & {MASK}L", f"{out} ^ shiftright({out}, 16)", _times(out, MIX_FIRST),
+             f"{out} ^ shiftright({out}, 15)", _times(out, MIX_SECOND), f"{out} ^ shiftright({out}, 16)"]
+    for step in steps:
+        df = df.withColumn(out, F.expr(step))
+    return df
 
 
 def mix32_value(x: int) -> int:
@@ -47,9 +43,3 @@ def mix32_value(x: int) -> int:
 
 def column_salt(projection: int, seed: int = SEED) -> int:
     return mix32_value(seed + projection * SALT_STEP)
-
-
-def sign(site: Column, state: Column, projection: int, seed: int = SEED) -> Column:
-    """+1 or -1 for one observed state in one projection."""
-    bit = mix32(site.cast("long") * 4 + state + F.lit(column_salt(projection, seed))).bitwiseAND(F.lit(1))
-    return bit * 2 - 1

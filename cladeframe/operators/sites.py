@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions import encode
 from cladeframe.functions.encode import MISSING, WORD
+from cladeframe.functions.hashing import add_mix32
 from cladeframe.operators.ordering import global_rank
 
 CHUNK = 4096  # sites per exploded piece of a sequence row
@@ -100,9 +101,8 @@ def select_sites(cells: DataFrame, sites: DataFrame) -> DataFrame:
 
 def sample_sites(cells: DataFrame, cap: int, seed: int) -> DataFrame:
     """Seeded sample of ``cap`` distinct sites without replacement; all when fewer."""
-    from cladeframe.functions.hashing import mix32
-    key = mix32(F.col("site") * 2 + F.lit(seed))
-    return cells.select("site").distinct().orderBy(key, "site").limit(cap)
+    keyed = add_mix32(cells.select("site").distinct(), f"site * 2 + {seed}", "_key")
+    return keyed.orderBy("_key", "site").limit(cap).select("site")
 
 
 def site_profile(cells: DataFrame) -> DataFrame:
