@@ -58,8 +58,8 @@ locus AS (SELECT CAST(c_custkey AS BIGINT) AS locus,
 FRAMES = """
 near AS (SELECT src AS node, list(dst ORDER BY dst) AS nb FROM both_ways GROUP BY src),
 frame AS (
-  SELECT u, v, list_filter(nu.nb, t -> t <> v)[1] AS a, list_filter(nu.nb, t -> t <> v)[2] AS b,
-         list_filter(nv.nb, t -> t <> u)[1] AS c, list_filter(nv.nb, t -> t <> u)[2] AS d
+  SELECT u, v, list_filter(nu.nb, lambda t: t <> v)[1] AS a, list_filter(nu.nb, lambda t: t <> v)[2] AS b,
+         list_filter(nv.nb, lambda t: t <> u)[1] AS c, list_filter(nv.nb, lambda t: t <> u)[2] AS d
   FROM edge JOIN near nu ON nu.node = u JOIN near nv ON nv.node = v, n_leaf WHERE u >= n AND v >= n)
 """
 LEAF_COUNT = "n_leaf AS (SELECT CAST(count(*) AS BIGINT) AS n FROM supplier)"
@@ -67,7 +67,7 @@ LEAF_COUNT = "n_leaf AS (SELECT CAST(count(*) AS BIGINT) AS n FROM supplier)"
 # Leaves beyond every directed edge, by walking back from each leaf.
 REACH = """
 reach AS (
-  SELECT src, dst, dst AS leaf, CAST(0 AS BIGINT) AS d FROM both_ways, n_leaf WHERE dst < n
+  SELECT src, dst, dst AS leaf, CAST(0 AS BIGINT) AS d FROM both_ways CROSS JOIN n_leaf WHERE dst < n
   UNION ALL
   SELECT b.src, b.dst, r.leaf, r.d + 1 FROM reach r JOIN both_ways b ON b.dst = r.src WHERE b.src <> r.dst)
 """

@@ -37,31 +37,30 @@ def global_rank(df: DataFrame, group: list[str], order: list[str], out: str = "r
     )
 
 
-def running_total(df: DataFrame, order: str, value: str | Column, out: str, block: int = BLOCK) -> DataFrame:
-    """Inclusive running sum of ``value`` by the non-negative integer ``order``.
+def running_totals(df: DataFrame, order: str, values: dict[str, str | Column], block: int = BLOCK) -> DataFrame:
+    """Inclusive running sums by the non-negative integer ``order``, one per output name.
 
     Two levels of blocks: rows inside a block, blocks inside a block of
     blocks, so no window sees more than ``block`` rows below 2^48 positions.
     """
-    value = F.col(value) if isinstance(value, str) else value
-    rows = (
-        df.withColumn("_value", value.cast("long"))
-        .withColumn("_b1", F.floor(F.col(order) / block))
-        .withColumn("_b2", F.floor(F.col("_b1") / block))
-    )
+    names = list(values)
+    rows = df.withColumns({f"_v_{k}": (F.col(v) if isinstance(v, str) else v).cast("long") for k, v in values.items()})
+    rows = rows.withColumn("_b1", F.floor(F.col(order) / block)).withColumn("_b2", F.floor(F.col("_b1") / block))
     inner = Window.partitionBy("_b1").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    small = rows.groupBy("_b2", "_b1").agg(F.sum("_value").alias("_sum"))
-    large = small.groupBy("_b2").agg(F.sum("_sum").alias("_sum2"))
+    small = rows.groupBy("_b2", "_b1").agg(*[F.sum(f"_v_{k}").alias(f"_s_{k}") for k in names])
+    large = small.groupBy("_b2").agg(*[F.sum(f"_s_{k}").alias(f"_t_{k}") for k in names])
     before1 = Window.partitionBy("_b2").orderBy("_b1").rowsBetween(Window.unboundedPreceding, -1)
     before2 = Window.partitionBy(F.lit(0)).orderBy("_b2").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (
-        small.withColumn("_o1", F.coalesce(F.sum("_sum").over(before1), F.lit(0)))
-        .join(large.withColumn("_o2", F.coalesce(F.sum("_sum2").over(before2), F.lit(0))), "_b2")
-        .select("_b1", (F.col("_o1") + F.col("_o2")).alias("_offset"))
-    )
-    return (
-        rows.withColumn("_run", F.sum("_value").over(inner))
-        .join(offsets, "_b1")
-        .withColumn(out, F.col("_run") + F.col("_offset"))
-        .drop("_value", "_b1", "_b2", "_run", "_offset")
-    )
+    zero = F.lit(0).cast("long")
+    tops = large.select("_b2", *[F.coalesce(F.sum(f"_t_{k}").over(before2), zero).alias(f"_o_{k}") for k in names])
+    offsets = small.select(
+        "_b1", "_b2", *[F.coalesce(F.sum(f"_s_{k}").over(before1), zero).alias(f"_i_{k}") for k in names]
+    ).join(tops, "_b2").select("_b1", *[(F.col(f"_i_{k}") + F.col(f"_o_{k}")).alias(f"_f_{k}") for k in names])
+    summed = rows.select(*df.columns, "_b1", *[F.sum(f"_v_{k}").over(inner).alias(f"_r_{k}") for k in names])
+    return summed.join(offsets, "_b1").select(
+        *df.columns, *[(F.col(f"_r_{k}") + F.col(f"_f_{k}")).alias(k) for k in names])
+
+
+def running_total(df: DataFrame, order: str, value: str | Column, out: str, block: int = BLOCK) -> DataFrame:
+    """One inclusive running sum, see :func:`running_totals`."""
+    return running_totals(df, order, {out: value}, block)

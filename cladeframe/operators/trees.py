@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.operators.ordering import running_total
+from cladeframe.operators.ordering import running_total, running_totals
 from cladeframe.session import cut, empty
 
 
@@ -89,13 +89,18 @@ def euler_tour(edges: DataFrame, root: int = 0) -> DataFrame:
     state = cut(links.select(
         "src", "dst", F.when(~last, F.col("dst")).alias("nsrc"), F.when(~last, F.col("to")).alias("ndst"),
         F.when(last, 0).otherwise(1).cast("long").alias("left")))
-    while not empty(state.where("nsrc is not null")):
+    total = 2 * edges.count()
+    reach = 1
+    while reach < total:
+        # Three lookups in the same table reach four times as far.
         ahead = state.select(F.col("src").alias("nsrc"), F.col("dst").alias("ndst"),
                              F.col("nsrc").alias("_ns"), F.col("ndst").alias("_nd"), F.col("left").alias("_l"))
-        state = cut(state.join(ahead, ["nsrc", "ndst"], "left").select(
-            "src", "dst", F.col("_ns").alias("nsrc"), F.col("_nd").alias("ndst"),
-            (F.col("left") + F.coalesce("_l", F.lit(0))).alias("left")))
-    total = 2 * edges.count()
+        jumped = state
+        for _ in range(3):
+            jumped = jumped.join(ahead, ["nsrc", "ndst"], "left").select(
+                "src", "dst", F.col("_ns").alias("nsrc"), F.col("_nd").alias("ndst"),
+                (F.col("left") + F.coalesce("_l", F.lit(0))).alias("left"))
+        state, reach = cut(jumped), reach * 4
     return state.select("src", "dst", (F.lit(total - 1) - F.col("left")).alias("at"))
 
 
@@ -108,9 +113,9 @@ def rooted(edges: DataFrame, leaves: int, root: int = 0, tour: DataFrame | None
     tour = cut(euler_tour(edges, root) if tour is None else tour)
     back = tour.select(F.col("dst").alias("src"), F.col("src").alias("dst"), F.col("at").alias("back"))
     steps = cut(tour.join(back, ["src", "dst"]).withColumn("down", F.col("at") < F.col("back")))
-    level = running_total(steps, "at", F.when(F.col("down"), 1).otherwise(-1), "depth")
-    tips = running_total(level, "at", F.when(F.col("down") & (F.col("dst") < leaves), 1).otherwise(0), "tip_run")
-    tips = cut(tips)
+    tips = cut(running_totals(steps, "at", {
+        "depth": F.when(F.col("down"), 1).otherwise(-1),
+        "tip_run": F.when(F.col("down") & (F.col("dst") < leaves), 1).otherwise(0)}))
     end = tips.select(F.col("at").alias("back"), F.col("tip_run").alias("tip_end"))
     below = tips.where("down").join(end, "back").select(
         F.col("dst").alias("node"), F.col("src").alias("parent"), "depth", F.col("at").alias("enter"),
@@ -140,16 +145,16 @@ def split_members(nodes: DataFrame, leaves: int) -> DataFrame:
 def split_keys(nodes: DataFrame, names: DataFrame, leaves: int) -> DataFrame:
     """(node, side, h1, h2): canonical identity of every inner split.
 
-    Two sums of name hashes are accumulated along the tour, so no leaf lists
-    are built. The side without the root represents the split; all trees over
+    Two sums of 40-bit name digests are accumulated along the tour, so no leaf
+    lists are built. The side without the root represents the split; all trees over
     the same leaves must be rooted at the same name.
     """
     tips = nodes.where("enter >= 0").join(names, "node", "left")
-    masked = [F.coalesce(F.xxhash64(F.lit(salt), "name").bitwiseAND(F.lit((1 << 40) - 1)), F.lit(0).cast("long"))
-              for salt in (1, 2)]
+    digest = F.md5(F.col("name").cast("binary"))
+    masked = [F.coalesce(F.conv(F.substring(digest, at, 10), 16, 10).cast("long"), F.lit(0).cast("long"))
+              for at in (1, 11)]
     rows = tips.select("node", "enter", "leave", "tips", masked[0].alias("_h1"), masked[1].alias("_h2"))
-    rows = running_total(running_total(rows, "enter", "_h1", "run1"), "enter", "_h2", "run2")
-    rows = cut(rows)
+    rows = cut(running_totals(rows, "enter", {"run1": "_h1", "run2": "_h2"}))
     # A node of ``tips`` leaves spans 2 * tips - 1 nodes; its last entered node closes the interval.
     last = rows.select(F.col("enter").alias("_last"), F.col("run1").alias("end1"), F.col("run2").alias("end2"))
     spans = cut(_last_entered(rows))
@@ -279,15 +284,16 @@ def round_robin_panel(frame: DataFrame, size: int) -> DataFrame:
 def leaf_paths(edges: DataFrame, leaves: int, root: int = 0, parents: DataFrame | None = None) -> DataFrame:
     """(leaf, path): ancestors of every leaf from the root downwards, itself last.
 
-    Ancestor lists double in length each round.
+    Ancestor lists grow fourfold each round.
     """
     parents = rooted(edges, leaves, root).select("node", "parent") if parents is None else parents
     state = cut(parents.select("node", F.array("node").alias("path"), F.col("parent").alias("next")))
     while not empty(state.where("next is not null")):
         above = state.select(F.col("node").alias("next"), F.col("path").alias("_p"), F.col("next").alias("_n"))
-        state = cut(state.join(above, "next", "left").select(
-            "node", F.when(F.col("_p").isNull(), F.col("path")).otherwise(F.concat("_p", "path")).alias("path"),
-            F.col("_n").alias("next")))
+        for _ in range(3):
+            longer = F.when(F.col("_p").isNull(), F.col("path")).otherwise(F.concat("_p", "path"))
+            state = state.join(above, "next", "left").select("node", longer.alias("path"), F.col("_n").alias("next"))
+        state = cut(state)
     return state.where(F.col("node") < leaves).select(F.col("node").alias("leaf"), "path")
 
 
@@ -366,6 +372,31 @@ def _toward(path: str, node: str) -> Column:
     return F.when(at > 0, F.get(path, at.cast("int"))).otherwise(F.col(f"{node}_up"))
 
 
+def beyond_counts(edges: DataFrame, leaves: int, marked: DataFrame) -> DataFrame:
+    """(src, dst, marked): marked leaves beyond every directed edge."""
+    nodes = cut(rooted(edges, leaves))
+    flag = marked.select(F.col("leaf").alias("node"), F.lit(1).cast("long").alias("_m")).distinct()
+    rows = nodes.where("enter >= 0").join(flag, "node", "left").na.fill(0, ["_m"])
+    runs = cut(running_total(rows, "enter", "_m", "run"))
+    last = runs.select(F.col("enter").alias("_last"), F.col("run").alias("_end"))
+    below = cut(runs.join(_last_entered(runs), "node").join(last, "_last").select(
+        "node", "parent", (F.col("_end") - F.col("run") + F.col("_m")).alias("n")))
+    total = marked.select("leaf").distinct().count()
+    down = below.select(F.col("parent").alias("src"), F.col("node").alias("dst"), F.col("n").alias("marked"))
+    up = below.select(F.col("node").alias("src"), F.col("parent").alias("dst"), (F.lit(total) - F.col("n")).alias("marked"))
+    return down.unionByName(up)
+
+
+def anchored_frames(frame: DataFrame, beyond: DataFrame) -> DataFrame:
+    """(u, v, allowed): an interchange is vetoed when all four groups hold anchors."""
+    rows = frame
+    for end, letters in (("u", "ab"), ("v", "cd")):
+        for x in letters:
+            rows = rows.join(beyond.select(F.col("src").alias(end), F.col("dst").alias(x),
+                                           F.col("marked").alias(f"_m{x}")), [end, x])
+    return rows.select("u", "v", (F.least("_ma", "_mb", "_mc", "_md") == 0).alias("allowed"))
+
+
 def subdivide(edges: DataFrame, targets: DataFrame) -> DataFrame:
     """Attach one leaf to each listed edge: (u, v, leaf, center)."""
     kept = edges.select("u", "v").join(targets.select("u", "v"), ["u", "v"], "left_anti")
