@@ -208,7 +208,7 @@ def frames(edges: DataFrame, leaves: int) -> DataFrame:
         "u", "v", left[0].alias("a"), left[1].alias("b"), right[0].alias("c"), right[1].alias("d"))
 
 
-def nearest_leaves(edges: DataFrame, leaves: int, k: int, step: int = 3) -> DataFrame:
+def nearest_leaves(edges: DataFrame, leaves: int, k: int) -> DataFrame:
     """(src, dst, near): the ``k`` leaves beyond src -> dst closest to dst.
 
     ``near`` holds (d, leaf) in order; d counts edges from dst. A list grows
@@ -224,20 +224,17 @@ def nearest_leaves(edges: DataFrame, leaves: int, k: int, step: int = 3) -> Data
     none = F.expr("cast(array() as array<struct<d:int,leaf:bigint>>)")
     state = links.select("src", "dst", F.coalesce(start, none).alias("near"))
     while True:
-        for _ in range(step):
-            before = state
-            one = state.select(F.col("src").alias("dst"), F.col("dst").alias("x"), F.col("near").alias("_x"))
-            two = state.select(F.col("src").alias("dst"), F.col("dst").alias("y"), F.col("near").alias("_y"))
-            grown = F.transform(F.concat(F.coalesce("_x", none), F.coalesce("_y", none)), lambda s: F.struct(
-                (s["d"] + 1).alias("d"), s["leaf"].alias("leaf")))
-            state = links.join(one, ["dst", "x"], "left").join(two, ["dst", "y"], "left").select(
-                "src", "dst", F.when(F.col("dst") < leaves, F.coalesce(start, none)).otherwise(
-                    F.slice(F.array_sort(grown), 1, k)).alias("near"))
-        prior = before.select("src", "dst", F.col("near").alias("_before"))
-        state = cut(state.join(prior, ["src", "dst"]).withColumn("_same", F.col("near") == F.col("_before")))
-        done = empty(state.where("not _same"))
-        state = state.select("src", "dst", "near")
-        if done:
+        one = state.select(F.col("src").alias("dst"), F.col("dst").alias("x"), F.col("near").alias("_x"))
+        two = state.select(F.col("src").alias("dst"), F.col("dst").alias("y"), F.col("near").alias("_y"))
+        grown = F.expr("transform(concat(coalesce(_x, _none), coalesce(_y, _none)), "
+                       "s -> named_struct('d', s.d + 1, 'leaf', s.leaf))")
+        after = links.join(one, ["dst", "x"], "left").join(two, ["dst", "y"], "left").withColumn("_none", none).select(
+            "src", "dst", F.when(F.col("dst") < leaves, F.coalesce(start, none)).otherwise(
+                F.slice(F.array_sort(grown), 1, k)).alias("near"))
+        after = cut(after.join(state.select("src", "dst", F.col("near").alias("_before")), ["src", "dst"]).select(
+            "src", "dst", "near", (F.col("near") != F.col("_before")).alias("_moved")))
+        state = after.select("src", "dst", "near")
+        if empty(after.where("_moved")):
             return state
 
 

@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 import tempfile
-import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -48,14 +47,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+    """Reliable checkpoint of ``df`` in the shared folder.
 
-    The result has no lineage, survives lost executors, and carries the real
-    file size, so later joins are planned on what the table holds.
+    The result has no lineage and survives lost executors; its partitioning
+    is kept, so a later join or aggregate on the same key does not shuffle.
     """
-    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
+    return df.checkpoint()
 
 
 def empty(df: DataFrame) -> bool:
