@@ -57,7 +57,7 @@ locus AS (SELECT CAST(c_custkey AS BIGINT) AS locus,
 
 FRAMES = """
 near AS (SELECT src AS node, list(dst ORDER BY dst) AS nb FROM both_ways GROUP BY src),
-frame AS (
+frame AS MATERIALIZED (
   SELECT u, v, list_filter(nu.nb, lambda t: t <> v)[1] AS a, list_filter(nu.nb, lambda t: t <> v)[2] AS b,
          list_filter(nv.nb, lambda t: t <> u)[1] AS c, list_filter(nv.nb, lambda t: t <> u)[2] AS d
   FROM edge JOIN near nu ON nu.node = u JOIN near nv ON nv.node = v, n_leaf WHERE u >= n AND v >= n)
@@ -76,7 +76,7 @@ reach AS (
 def nearest_sql(k: int) -> str:
     return f"""
 ranked_near AS (SELECT src, dst, leaf, d, row_number() OVER (PARTITION BY src, dst ORDER BY d, leaf) AS r FROM reach),
-nearest AS (SELECT src, dst, leaf, d, CAST(r AS BIGINT) AS r FROM ranked_near WHERE r <= {k})
+nearest AS MATERIALIZED (SELECT src, dst, leaf, d, CAST(r AS BIGINT) AS r FROM ranked_near WHERE r <= {k})
 """
 
 

@@ -218,23 +218,24 @@ offered AS (SELECT u, v, grp, leaf, row_number() OVER (PARTITION BY u, v ORDER B
 SELECT u, v, CAST(grp AS BIGINT) AS grp, leaf FROM offered WHERE k <= 24""",
     "quartet_topology": with_(EDGES, LEAF_COUNT, FRAMES, _MOVED, _BOTH2, _second(FRAMES), REACH, _second(REACH),
                               nearest_sql(2), """
-panel AS (SELECT w.leaf AS x0, x.leaf AS x1, y.leaf AS x2, z.leaf AS x3 FROM frame f
+panel AS MATERIALIZED (SELECT w.leaf AS x0, x.leaf AS x1, y.leaf AS x2, z.leaf AS x3 FROM frame f
   JOIN nearest w ON w.src = f.u AND w.dst = f.a JOIN nearest x ON x.src = f.u AND x.dst = f.b
   JOIN nearest y ON y.src = f.v AND y.dst = f.c JOIN nearest z ON z.src = f.v AND z.dst = f.d),
 qt AS (SELECT DISTINCT list_sort([x0, x1, x2, x3]) AS q FROM panel),
-quartet AS (SELECT q[1] AS q0, q[2] AS q1, q[3] AS q2, q[4] AS q3 FROM qt),
-hop AS (SELECT src AS x, leaf AS y, d + 1 AS d FROM reach2, n_leaf WHERE src < n),
+quartet AS MATERIALIZED (SELECT q[1] AS q0, q[2] AS q1, q[3] AS q2, q[4] AS q3 FROM qt),
+hop AS MATERIALIZED (SELECT src AS x, leaf AS y, d + 1 AS d FROM reach2, n_leaf WHERE src < n),
 cls AS (SELECT q0, q1, q2, q3, h01.d + h23.d AS s0, h02.d + h13.d AS s1, h03.d + h12.d AS s2 FROM quartet
   JOIN hop h01 ON h01.x = q0 AND h01.y = q1 JOIN hop h23 ON h23.x = q2 AND h23.y = q3
   JOIN hop h02 ON h02.x = q0 AND h02.y = q2 JOIN hop h13 ON h13.x = q1 AND h13.y = q3
   JOIN hop h03 ON h03.x = q0 AND h03.y = q3 JOIN hop h12 ON h12.x = q1 AND h12.y = q2),
 slot2 AS (SELECT u, v, 0 AS g, u AS e, a AS x FROM frame2 UNION ALL SELECT u, v, 1, u, b FROM frame2
           UNION ALL SELECT u, v, 2, v, c FROM frame2 UNION ALL SELECT u, v, 3, v, d FROM frame2),
-member AS (SELECT u, v, g, leaf FROM slot2 JOIN reach2 ON src = e AND dst = x),
-spot AS (SELECT q0, q1, q2, q3, m0.u, m0.v, m0.g AS g0, m1.g AS g1, m2.g AS g2, m3.g AS g3 FROM quartet
-  JOIN member m0 ON m0.leaf = q0 JOIN member m1 ON m1.leaf = q1 AND m1.u = m0.u AND m1.v = m0.v
-  JOIN member m2 ON m2.leaf = q2 AND m2.u = m0.u AND m2.v = m0.v JOIN member m3 ON m3.leaf = q3 AND m3.u = m0.u AND m3.v = m0.v
-  WHERE len(list_distinct([m0.g, m1.g, m2.g, m3.g])) = 4)""", recursive=True) + """
+member AS MATERIALIZED (SELECT u, v, g, leaf FROM slot2 JOIN reach2 ON src = e AND dst = x),
+spot1 AS MATERIALIZED (SELECT quartet.*, u, v, g AS g0 FROM quartet JOIN member ON leaf = q0),
+spot2 AS MATERIALIZED (SELECT s.*, m.g AS g1 FROM spot1 s JOIN member m ON m.leaf = q1 AND m.u = s.u AND m.v = s.v WHERE m.g <> g0),
+spot3 AS MATERIALIZED (SELECT s.*, m.g AS g2 FROM spot2 s JOIN member m ON m.leaf = q2 AND m.u = s.u AND m.v = s.v WHERE m.g <> g0 AND m.g <> g1),
+spot AS MATERIALIZED (SELECT s.*, m.g AS g3 FROM spot3 s JOIN member m ON m.leaf = q3 AND m.u = s.u AND m.v = s.v
+  WHERE m.g <> g0 AND m.g <> g1 AND m.g <> g2)""", recursive=True) + """
 SELECT c.q0, c.q1, c.q2, c.q3, CAST(CASE WHEN s0 <= s1 AND s0 <= s2 THEN 0 WHEN s1 <= s2 THEN 1 ELSE 2 END AS BIGINT) AS cls,
   coalesce(u, -1) AS u, coalesce(v, -1) AS v,
   CAST(CASE WHEN u IS NULL THEN -1 WHEN g1 = (g0 + 2) % 4 THEN 0 WHEN g2 = (g0 + 2) % 4 THEN 1 ELSE 2 END AS BIGINT) AS alt1

@@ -29,8 +29,7 @@ def quartet_words(quartets: DataFrame, words: DataFrame, count: int) -> DataFram
 
     ``count`` is the number of words of the alignment.
     """
-    rows = quartets.select(*KEY).withColumn("word", F.explode(F.sequence(F.lit(0), F.lit(count - 1))).cast("long")) \
-        if count > 1 else quartets.select(*KEY).withColumn("word", F.lit(0).cast("long"))
+    rows = quartets.select(*KEY, F.explode(F.sequence(F.lit(0).cast("long"), F.lit(count - 1).cast("long"))).alias("word"))
     for i, q in enumerate(KEY):
         rows = rows.join(words.select(
             F.col("taxon").alias(q), "word", F.col("low").alias(f"l{i}"), F.col("high").alias(f"h{i}"),
