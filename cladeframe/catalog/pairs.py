@@ -215,7 +215,7 @@ probe AS (SELECT t.taxon AS i, l.node AS j FROM (SELECT DISTINCT taxon FROM obs)
     counts_sql("probe", "probed")])
 _BASE = f"""
 sampled AS (SELECT i AS node, {distance_sql('k2p_gamma')} AS d, 1 - (n - mismatch) / 512.0::DOUBLE AS p,
-                   transversion / 512.0::DOUBLE AS q, n / 512.0::DOUBLE AS c FROM probed WHERE n > 0),
+                   transversion / 512.0::DOUBLE AS q, n / 512.0::DOUBLE AS c FROM probed),
 means AS (SELECT node, (max(n) - 1) * avg(d) AS sd, (max(n) - 1) * avg(p) AS sp, (max(n) - 1) * avg(q) AS sq, (max(n) - 1) * avg(c) AS sc
           FROM sampled, n_taxa GROUP BY node),
 step1 AS (SELECT node, sd, sp, sq, sc, mismatch_row, transversion_row, overlap_row, mismatch_row / (n - 1) AS pbar,
@@ -277,7 +277,7 @@ FROM rep JOIN dist ON i = least(x, y) AND j = greatest(x, y) GROUP BY a, b""",
 SELECT node, round(mismatch_row, 6) AS mismatch_row, round(transversion_row, 6) AS transversion_row,
   round(overlap_row, 6) AS overlap_row FROM control""",
     "landmark_counts": with_(CELLS, _LAND) + """
-SELECT i AS taxon, j AS landmark, n, mismatch, transversion FROM probed WHERE n > 0""",
+SELECT i AS taxon, j AS landmark, n, mismatch, transversion FROM probed""",
     "landmark_rows": with_(CELLS, _ROWS, _LAND, _BASE) + "SELECT node, round(base, 6) AS base FROM base",
     "topk_neighbors": _FULL + "SELECT owner, other, r AS at FROM top",
     "two_hop_expand": _FULL + """

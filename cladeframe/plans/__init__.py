@@ -1 +1 @@
-"""plans."""
+"""Iterative plans: tree construction, refinement, likelihood and placement."""

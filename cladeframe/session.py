@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,6 +23,9 @@ def build_session(app: str = "cladeframe", master: str | None = None,
     builder = SparkSession.builder.appName(app)
     if master:
         builder = builder.master(master)
+        if master.startswith("local"):
+            # One JVM is driver and executors at once.
+            builder = builder.config("spark.driver.memory", os.environ.get("SPARK_DRIVER_MEMORY", "12g"))
     for key, value in DEFAULTS.items():
         builder = builder.config(key, value)
     if shuffle_partitions:
