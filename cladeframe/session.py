@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -51,15 +52,15 @@ def checkpoint_dir(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint of ``df`` in the shared folder.
+    """Write ``df`` to the shared folder and read it back.
 
-    The result has no lineage and survives lost executors; its partitioning
-    is kept, so a later join or aggregate on the same key does not shuffle.
+    The result has no lineage, survives lost executors and carries the real
+    file size. A checkpoint would keep estimated sizes, which multiply with
+    every join of a loop.
     """
-    context = df.sparkSession.sparkContext
-    if context.getCheckpointDir() is None:
-        context.setCheckpointDir(checkpoint_dir(df.sparkSession))
-    return df.checkpoint()
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def empty(df: DataFrame) -> bool:
