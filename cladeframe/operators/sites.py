@@ -10,7 +10,7 @@ from cladeframe.functions.encode import MISSING, WORD
 from cladeframe.functions.hashing import add_mix32
 from cladeframe.operators.ordering import global_rank
 
-CHUNK = 4096  # sites per exploded piece of a sequence row
+CHUNK = 1 << 16  # sites per exploded piece of a sequence row
 
 
 def chunks(rows: DataFrame, size: int = CHUNK) -> DataFrame:
@@ -42,12 +42,11 @@ def words_of(rows: DataFrame, width: int = WORD) -> DataFrame:
     per character.
     """
     size = CHUNK // width * width
-    piece = F.expr(f"rpad(substring(piece, _w * {width} + 1, {width}), {width}, 'N')")
     return (
         chunks(rows, size)
-        .select("taxon", "at", "piece",
-                F.explode(F.sequence(F.lit(0), F.ceil(F.length("piece") / width).cast("int") - 1)).alias("_w"))
-        .select("taxon", (F.col("at") / width).cast("long").alias("_at"), "_w", piece.alias("_p"))
+        .select("taxon", F.floor(F.col("at") / width).alias("_at"),
+                F.posexplode(F.regexp_extract_all("piece", F.lit(f".{{1,{width}}}"), F.lit(0))).alias("_w", "_p"))
+        .select("taxon", "_at", "_w", F.rpad("_p", width, "N").alias("_p"))
         .select("taxon", (F.col("_at") + F.col("_w")).alias("word"), encode.low_plane(F.col("_p")).alias("low"),
                 encode.high_plane(F.col("_p")).alias("high"), encode.observed_plane(F.col("_p")).alias("observed"))
     )

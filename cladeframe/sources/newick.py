@@ -112,4 +112,5 @@ def to_newick(nodes: DataFrame, names: DataFrame, depth: int, lengths: DataFrame
     root = rows.where("depth = 0").select("node", "_name")
     # The root leaf joins the list of its only neighbour.
     return carried.join(root, "node").select(
-        F.concat(F.lit("("), "_name", F.lit(","), F.expr("substring(_inner, 2, length(_inner) - 2)"), F.lit(");")).alias("newick"))
+        # Its own list is wrapped twice: once as the neighbour's, once as the root's.
+        F.concat(F.lit("("), "_name", F.lit(","), F.expr("substring(_inner, 3, length(_inner) - 4)"), F.lit(");")).alias("newick"))

@@ -128,3 +128,50 @@ def test_likelihood_by_enumeration(spark):
     assert got.log_likelihood == pytest.approx(want, abs=1e-8) and got.sites == len(columns) + 1
     _, history = likelihood.jc_steps(nodes, cells.where("site < 2"), lengths, 3, 3)
     assert history == sorted(history)
+
+
+def test_edge_scores_equal_brute_force(spark):
+    from cladeframe.plans import placement
+    edges = spark.createDataFrame(CATERPILLAR, "u long, v long")
+    queries = spark.createDataFrame([(20,), (21,)], "query long")
+
+    def predict(listed):
+        h = [F.abs(F.hash("q0", "q1", "q2", "q3", F.lit(i))) % 97 + 1 for i in range(3)]
+        return listed.select("q0", "q1", "q2", "q3", *[(h[i] / (h[0] + h[1] + h[2])).alias(f"s{i}") for i in range(3)])
+
+    found = placement.potentials(placement.node_triples(edges, 6), queries, predict).collect()
+    got = {(r["query"], r.u, r.v): r.score for r in placement.edge_scores(edges, 6, queries, predict).collect()}
+    assert len(got) == 2 * len(CATERPILLAR)
+    near = {}
+    for u, v in CATERPILLAR:
+        near.setdefault(u, []).append(v)
+        near.setdefault(v, []).append(u)
+
+    def toward(node, edge):
+        for side in near[node]:
+            seen, open_nodes = {node}, [side]
+            while open_nodes:
+                x = open_nodes.pop()
+                seen.add(x)
+                open_nodes += [y for y in near[x] if y not in seen]
+            if set(edge) <= seen | {node} and (set(edge) - {node}) <= seen and side in seen:
+                if all(e == node or e in seen for e in edge) and (node not in edge or side in edge):
+                    return side
+        raise AssertionError
+
+    for query in (20, 21):
+        p = {(r.node, r.dst): r.p for r in found if r["query"] == query}
+        for edge in CATERPILLAR:
+            want = sum(p[node, toward(node, edge)] for node in range(6, 10))
+            assert got[(query, *edge)] == pytest.approx(want, abs=1e-7)
+
+
+def test_newick_text(spark):
+    from cladeframe.sources.newick import parse_newick, to_newick
+    edges = spark.createDataFrame(CATERPILLAR, "u long, v long")
+    nodes = trees.rooted(edges, 6)
+    names = spark.createDataFrame([(i, n) for i, n in enumerate(["a", "b b", "c", "d", "e", "x'y"])], "node long, name string")
+    depth = nodes.agg(F.max("depth")).first()[0]
+    text = to_newick(nodes, names, depth).first().newick
+    assert text == "(a,'b b',((('x''y',e),d),c));"
+    assert len(parse_newick(text)) == len(CATERPILLAR)
