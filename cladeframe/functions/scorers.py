@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions.quartet import ORBITS, ORDERS, orbit_permutation, within_split_orders
 from cladeframe.operators.quartets import KEY
+from cladeframe.session import ship_package
 
 MAX_LANDMARKS = 8192
 MAX_WEIGHTS = 4_000_000
@@ -63,6 +64,7 @@ def kernel_scores(features: DataFrame, params: DataFrame, bandwidth: float = BAN
 
     ``features`` holds the 15 barycenter columns x0000 .. x0123.
     """
+    ship_package(params.sparkSession)
     landmarks, weights = load_kernel(params)
     reads = [orbit_permutation(ORDERS[t]) for t in range(3)]
     squares = (landmarks ** 2).sum(1)
@@ -106,6 +108,7 @@ def network_scores(quartets: DataFrame, histogram: DataFrame, params: DataFrame)
     A quartet without a jointly observed site carries no information and gets
     one third each.
     """
+    ship_package(params.sparkSession)
     layers = load_layers(params)
 
     @F.pandas_udf("array<double>")

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.functions import models
 from cladeframe.operators import sites
-from cladeframe.session import cut
+from cladeframe.session import cut, ship_package
 
 M = ["m0", "m1", "m2", "m3"]
 
@@ -32,6 +32,7 @@ def transition_table(lengths: DataFrame, pi, rates, categories) -> DataFrame:
 
     ``lengths`` is (node, length); ``categories`` lists site rates.
     """
+    ship_package(lengths.sparkSession)
     q, pi = models.rate_matrix(np.asarray(pi), np.asarray(rates)), np.asarray(pi)
     names = [f"p{i}{j}" for i in range(4) for j in range(4)]
 

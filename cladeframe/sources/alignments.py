@@ -11,6 +11,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from cladeframe.operators.ordering import running_total
+from cladeframe.session import ship_package
 
 # Accepted alignment characters.
 DNA = r"^[ACGTRYSWKMBDHVNacgtryswkmbdhvn? .\-]*$"
@@ -38,6 +39,8 @@ def numbered_lines(spark: SparkSession, path: str) -> DataFrame:
 
 def decompress_zstd(spark: SparkSession, path: str) -> DataFrame:
     """(line, value) of a zstd file; a compressed frame is one task's work."""
+    ship_package(spark)
+
     def lines(batches):
         import io
 
@@ -208,6 +211,8 @@ def parse_blocks(text: str) -> list[tuple[int, int, str, str]]:
 
 def read_blocks(spark: SparkSession, path: str) -> DataFrame:
     """(file, locus, position, name, sequence) of multi-locus PHYLIP files, one task per file."""
+    ship_package(spark)
+
     def rows(batches):
         import pandas as pd
         for batch in batches:
