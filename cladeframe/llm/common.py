@@ -43,8 +43,12 @@ def spread_rank(df: DataFrame, group: list[str], order: list[str], rows: int, ou
 
 
 def text_slices(batch: pa.RecordBatch, column: str) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, row after the last, bytes, offsets of the rows in the bytes) of a string column; null is empty."""
-    values = batch.column(batch.schema.get_field_index(column))
+    """Slices of one column of a batch."""
+    return slices_of(batch.column(batch.schema.get_field_index(column)))
+
+
+def slices_of(values: pa.Array) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, row after the last, bytes, offsets of the rows in the bytes) of strings; null is empty."""
     if values.null_count:
         values = values.fill_null("")
     values = values.cast(pa.large_string())

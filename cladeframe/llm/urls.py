@@ -49,7 +49,7 @@ def tokens() -> Column:
     return F.array_sort(F.array_distinct(F.concat(*[F.coalesce(x, none) for x in (hosts, segments, endings, keys)])))
 
 
-def mine(urls: DataFrame, labels: DataFrame, min_support: float = 0.002, min_confidence: float = 0.6) -> DataFrame:
+def mine(urls: DataFrame, labels: DataFrame, min_support: float = 0.005, min_confidence: float = 0.6) -> DataFrame:
     """(antecedent, confidence, support) from (row, tokens) and (row, bad)."""
     baskets = urls.join(labels, "row").where(F.size("tokens") > 0).select(
         F.when(F.col("bad"), F.array_union("tokens", F.array(F.lit(BAD)))).otherwise(F.col("tokens")).alias("items"))
@@ -90,7 +90,7 @@ def given_rule(rules: list[tuple[str, str, str]]) -> tuple[Column, Column]:
 
 
 def judge(pages: DataFrame, labels: DataFrame, given: list[tuple[str, str, str]],
-          min_support: float = 0.002, min_confidence: float = 0.6) -> DataFrame:
+          min_support: float = 0.005, min_confidence: float = 0.6) -> DataFrame:
     """(page_id, host, path, rule, verdict, confidence) of every page.
 
     ``labels`` holds (page_id, bad); several labels of a page count as bad if
