@@ -23,16 +23,16 @@ def row_key(*columns: str) -> Column:
     return F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in columns])
 
 
-def spread_rank(df: DataFrame, group: list[str], order: list[str], rows: int, out: str, per_bucket: int = 4096) -> DataFrame:
+def spread_rank(df: DataFrame, group: list[str], order: list[str], out: str, per_bucket: int = 512) -> DataFrame:
     """0-based gapless rank inside each ``group``, in no particular order of the rows.
 
     Rows of a group are dealt by hash of ``order`` into buckets of about
     ``per_bucket`` rows, so a group that holds a third of all rows is ranked by
     many tasks. ``order`` must tell apart all rows that differ in any column.
-    ``rows`` is a bound on the size of the largest group.
+    For groups of a bounded number only: their sizes are broadcast.
     """
-    buckets = max(1, -(-rows // per_bucket))
-    dealt = df.withColumn("_bucket", F.pmod(F.xxhash64(*order), F.lit(buckets)))
+    sizes = df.groupBy(*group).agg(F.ceil(F.count("*") / per_bucket).alias("_buckets"))
+    dealt = df.join(F.broadcast(sizes), group).withColumn("_bucket", F.pmod(F.xxhash64(*order), F.col("_buckets"))).drop("_buckets")
     keys = [*group, "_bucket"]
     before = Window.partitionBy(*group).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     starts = dealt.groupBy(*keys).agg(F.count("*").alias("_n")).select(

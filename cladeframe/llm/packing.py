@@ -115,8 +115,7 @@ def pack_pieces(cut_pieces: DataFrame, width: int = 2048) -> DataFrame:
     histogram = {r[0]: r[1] for r in cut_pieces.groupBy("length").count().collect()}  # ``width`` rows at most
     steps = spark.createDataFrame(plan(histogram, width) or [(0, 0, 0, 0, 1, 0)],
                                   "length long, low long, high long, first long, each long, base long")
-    ranked = spread_rank(cut_pieces, ["length"], ["doc_id", "piece", "start", "ids_crc32"],
-                         max(histogram.values(), default=0), "rank")
+    ranked = spread_rank(cut_pieces, ["length"], ["doc_id", "piece", "start", "ids_crc32"], "rank")
     # The plan has a few rows for each length, whatever the number of pieces.
     at = (F.col("rank") - F.col("low")).alias("at")
     joined = ranked.join(F.broadcast(steps), "length").where("rank >= low AND rank < high").withColumn("at", at)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import ann, decontam, langid, minhash, packing, sharding, toxicity, urls
+from cladeframe.llm import ann, decontam, langid, minhash, packing, sharding, suffix, toxicity, urls
 from cladeframe.llm.common import table
 
 # Fixed values of the URL query: (verdict, host, path).
@@ -53,8 +53,12 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("row")
 
 
+def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix.repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_near_duplicates, op3_sharding, op4_packing, op5_toxicity, op6_language, op7_neighbours, op8_url_rules, op9_decontamination)}
+    op1_near_duplicates, op3_sharding, op4_packing, op5_toxicity, op6_language, op7_neighbours, op8_url_rules, op9_decontamination, op10_suffixes)}
 
 ORACLES = {
     "op1_near_duplicates": r"""

@@ -39,19 +39,19 @@ class _Prefix:
     """Running sums of the group sizes: blocks on the driver (65,536 at most), groups inside a block as a table."""
 
     def __init__(self, rows: DataFrame):
-        sums = rows.groupBy("key").agg(F.sum("size").alias("weight"), F.count("*").alias("rows"))
+        sums = rows.groupBy("key").agg(F.sum("size").alias("weight"))
         inside = Window.partitionBy("block").orderBy("key").rowsBetween(Window.unboundedPreceding, 0)
         self.groups = cut(sums.withColumn("block", _block()).repartitionByRange("block")
                           .withColumn("upto", F.sum("weight").over(inside)))
         blocks = self.groups.groupBy("block").agg(
-            F.sum("weight"), F.sum("rows"), F.max("weight"), F.max("key")).orderBy("block").collect()
+            F.sum("weight"), F.max("weight"), F.max("key")).orderBy("block").collect()
         self.blocks = [b[0] for b in blocks]
-        self.last_key = [b[4] for b in blocks]
+        self.last_key = [b[3] for b in blocks]
         self.starts = [0]
         for b in blocks:
             self.starts.append(self.starts[-1] + b[1])
-        self.total, self.rows = self.starts[-1], sum(b[2] for b in blocks)
-        self.largest = max((b[3] for b in blocks), default=0)
+        self.total = self.starts[-1]
+        self.largest = max((b[2] for b in blocks), default=0)
 
     def reach(self, targets: dict[int, int]) -> dict[int, tuple[int, str | None]]:
         """For each target, the largest running sum not above it and the key of the group that ends there."""
@@ -87,11 +87,11 @@ class _Prefix:
         return {c: ends[c] if at[c] >= self.total else None for c in capacities}
 
 
-def cuts(rows: DataFrame, shards: int) -> tuple[list[str], int, int]:
-    """(last key of each shard, smallest capacity, number of rows)."""
+def cuts(rows: DataFrame, shards: int) -> tuple[list[str], int]:
+    """(last key of each shard, smallest capacity)."""
     prefix = _Prefix(rows)
     if not prefix.total:
-        return [], 0, 0
+        return [], 0
     low = max(-(-prefix.total // shards), prefix.largest)
     best = prefix.greedy([low], shards)[low]
     capacity, short = low, low
@@ -106,17 +106,17 @@ def cuts(rows: DataFrame, shards: int) -> tuple[list[str], int, int]:
             if enough:
                 capacity, best = min(enough), tried[min(enough)]
             short = max([short, *[c for c, e in tried.items() if e is None and c < capacity]])
-    return best, capacity, prefix.rows
+    return best, capacity
 
 
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:
     """(doc_id, size, text_crc32, law, shard, slot, grown_shard) of every row; law ``bytes``."""
     rows = sized_rows(docs)
-    ends, _, count = cuts(rows, shards)
+    ends, _ = cuts(rows, shards)
     number = F.lit(0)
     for end in ends[:-1]:
         number = number + F.when(F.col("key") > F.lit(end), 1).otherwise(0)
     placed = rows.withColumn("shard", number.cast("int"))
-    ranked = spread_rank(placed, ["shard"], ["doc_id", "key"], -(-count // shards), "slot")
+    ranked = spread_rank(placed, ["shard"], ["doc_id", "key"], "slot")
     return ranked.select("doc_id", "size", "text_crc32", F.lit("bytes").alias("law"), "shard", "slot",
                          F.lit(None).cast("int").alias("grown_shard"))
