@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
+ROW = "__cladeframe_row__"  # helper column beside columns of any other name
 SLICE_BYTES = 1 << 20  # documents are taken together up to this size; a longer one is taken whole, alone
 BASE = np.uint64(0x9E3779B97F4A7C15)
 

@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import LOWER, Rolling, mix, row_key, text_slices, word_bounds
+from cladeframe.llm.common import LOWER, ROW, Rolling, mix, row_key, text_slices, word_bounds
 from cladeframe.llm.graph import components
 from cladeframe.session import cut, empty, ship_package
 
@@ -200,6 +200,6 @@ def one_of_each(docs: DataFrame, size: int = 5, percent: int = 80) -> DataFrame:
     stay, but repeated ones among them only once.
     """
     groups = near_duplicates(docs, size, percent)
-    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias("_row"))
-    marked = docs.withColumn("_row", row_key("doc_id", "text"))
-    return marked.join(first, "_row", "left_semi").dropDuplicates(["_row"]).drop("_row")
+    first = groups.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "row"))["row"].alias(ROW))
+    marked = docs.withColumn(ROW, row_key("doc_id", "text"))
+    return marked.join(first, ROW, "left_semi").dropDuplicates([ROW]).drop(ROW)

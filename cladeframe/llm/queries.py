@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import ann, decontam, langid, minhash, packing, sharding, suffix, toxicity, urls
+from cladeframe.llm import ann, decontam, html, langid, minhash, packing, sharding, suffix, toxicity, urls
 from cladeframe.llm.common import table
 
 # Fixed values of the URL query: (verdict, host, path).
@@ -23,6 +23,10 @@ def op1_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", "kept")
 
 
+def op2_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.main_text(table(spark, sf_dir, "pages"))
+
+
 def op3_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.shard(table(spark, sf_dir, "documents"), 16)
 
@@ -58,7 +62,7 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (
-    op1_near_duplicates, op3_sharding, op4_packing, op5_toxicity, op6_language, op7_neighbours, op8_url_rules, op9_decontamination, op10_suffixes)}
+    op1_near_duplicates, op2_html, op3_sharding, op4_packing, op5_toxicity, op6_language, op7_neighbours, op8_url_rules, op9_decontamination, op10_suffixes)}
 
 ORACLES = {
     "op1_near_duplicates": r"""

@@ -34,9 +34,11 @@ from pyspark.sql import functions as F
 from cladeframe.llm.common import Rolling, mix, slices_of
 from cladeframe.session import cut, ship_package
 
+U1, U2, SPANS = "__cladeframe_u1__", "__cladeframe_u2__", "__cladeframe_spans__"
 GRAM = 32
+SCOPE = 8  # bytes before each suffix that name the texts it is compared with
 FILTER_BITS = 25  # four megabytes, whatever the size of the corpus
-RUN_BYTES = 48 << 20  # a task sorts so much at a time
+RUN_BYTES = 12 << 20  # a task sorts so much at a time
 PART_BYTES = 16 << 20  # text for each part of the merge
 GROUP = 1 << 15
 BATCH = 2 << 20
@@ -67,15 +69,21 @@ def anchors(octets: np.ndarray, offsets: np.ndarray, window: int) -> tuple[np.nd
     return row[starts[fresh]], starts[fresh], starts[last], at[fresh], grams[at[fresh]]
 
 
+def _scoped(gram: np.ndarray, row: np.ndarray, scope: np.ndarray) -> np.ndarray:
+    return mix(gram ^ scope.view(np.uint64)[row])
+
+
 def repeated_grams(texts: DataFrame, window: int) -> DataFrame:
-    """(gram) of all anchors whose gram is an anchor more than once."""
+    """(gram) of all anchors whose gram is an anchor of their scope more than once."""
     def run(batches):
         for batch in batches:
-            for _, _, octets, offsets in slices_of(batch.column(0)):
-                gram, times = np.unique(anchors(octets, offsets, window)[4], return_counts=True)
+            scope = batch.column(0).to_numpy()
+            for first, last, octets, offsets in slices_of(batch.column(1)):
+                row, _, _, _, gram = anchors(octets, offsets, window)
+                gram, times = np.unique(_scoped(gram, row, scope[first:last]), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(gram.view(np.int64)), pa.array(np.minimum(times, 2).astype(np.int32))], names=["gram", "times"])
 
-    return texts.select("text").mapInArrow(run, "gram long, times int").groupBy("gram").agg(F.sum("times").alias("times")).where("times > 1").select("gram")
+    return texts.select("scope", "text").mapInArrow(run, "gram long, times int").groupBy("gram").agg(F.sum("times").alias("times")).where("times > 1").select("gram")
 
 
 def gram_filter(grams: DataFrame) -> np.ndarray:
@@ -196,8 +204,8 @@ def sorted_runs(texts: DataFrame, bits, parts: int, window: int) -> DataFrame:
         shared = bits.value
         number, found, seen, held = TaskContext.get().partitionId() << 20, [], {}, 0
         for batch in batches:
-            u1, u2 = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-            for first, last, octets, offsets in slices_of(batch.column(2)):
+            u1, u2, scope = batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2).to_numpy()
+            for first, last, octets, offsets in slices_of(batch.column(3)):
                 own = []
                 for i in range(last - first):
                     u, size = (u1[first + i], u2[first + i]), int(offsets[i + 1] - offsets[i])
@@ -209,20 +217,22 @@ def sorted_runs(texts: DataFrame, bits, parts: int, window: int) -> DataFrame:
                     octets = np.concatenate([octets[offsets[i]:offsets[i + 1]] for i in own]) if own else octets[:0]
                     offsets = np.concatenate(([0], np.cumsum([offsets[i + 1] - offsets[i] for i in own]))).astype(np.int64)
                 row, low, high, at, gram = anchors(octets, offsets, window)
+                gram = _scoped(gram, row, scope[first:last][own])
                 place = gram >> np.uint64(64 - FILTER_BITS)
                 some = np.flatnonzero((shared[place >> np.uint64(6)] >> (place & np.uint64(63))) & np.uint64(1))
                 part = (mix(gram[some]) % np.uint64(parts)).astype(np.int64)
-                raw = octets.tobytes()
+                raw, named = octets.tobytes(), [int(x).to_bytes(SCOPE, "big", signed=True) for x in scope[first:last][own]]
+                ids = [(u1[first + i], u2[first + i]) for i in own]
                 for p, r, a, b, c in zip(part.tolist(), row[some].tolist(), low[some].tolist(), high[some].tolist(), at[some].tolist()):
                     right = raw[c:b + window]
-                    found.append((p, right + raw[a:c][::-1] + bytes((len(right),)), (u1[first + own[r]], u2[first + own[r]]), a - int(offsets[r])))
+                    found.append((p, named[r] + right + raw[a:c][::-1] + bytes((len(right),)), ids[r], a - int(offsets[r])))
                     held += b + window - a
                 if held > RUN_BYTES:
                     yield from flush(number, found, seen)
                     number, found, seen, held = number + 1, [], {}, 0
         yield from flush(number, found, seen)
 
-    return texts.select("u1", "u2", "text").mapInArrow(
+    return texts.select("u1", "u2", "scope", "text").mapInArrow(
         run, "kind int, part int, run long, name long, u1 long, u2 long, start long, size long, blob binary")
 
 
@@ -238,14 +248,14 @@ def _flags(strings: list[bytes], window: int) -> tuple[np.ndarray, np.ndarray]:
 def merge_parts(runs: DataFrame, window: int, most: int = GROUP) -> DataFrame:
     """(run, name, first, last, hash, gram): windows first to last of a suffix repeat, or, with a hash, the one window has that hash and is still open."""
     def original(key: bytes) -> bytes:
-        right = key[-1]
-        return key[right:-1][::-1] + key[:right]
+        middle = SCOPE + key[-1]
+        return key[middle:-1][::-1] + key[SCOPE:middle]
 
     def merge(table: pa.Table) -> pa.Table:
         out: list[list] = [[], [], [], [], [], []]
 
         def settle(groups: list[list]):
-            """groups: suffixes [key, places, many], two or more of one gram."""
+            """groups: suffixes [key, places, many], two or more of one gram and scope."""
             members = [m for g in groups for m in g]
             strings = [original(m[0]) for m in members]
             hashes, owner = _flags(strings, window)
@@ -266,7 +276,7 @@ def merge_parts(runs: DataFrame, window: int, most: int = GROUP) -> DataFrame:
 
         def leave_open(member):
             hashes, _ = _flags([original(member[0])], window)
-            gram = int.from_bytes(hashlib.blake2b(member[0][:GRAM], digest_size=8).digest(), "big", signed=True)
+            gram = int.from_bytes(hashlib.blake2b(member[0][:SCOPE + GRAM], digest_size=8).digest(), "big", signed=True)
             for w, h in enumerate(hashes.view(np.int64).tolist()):
                 tell(member[1][:1], w, w, h, gram)
 
@@ -278,7 +288,7 @@ def merge_parts(runs: DataFrame, window: int, most: int = GROUP) -> DataFrame:
             nonlocal group, wide, batch, held
             for m in group:
                 if m[2]:
-                    tell(m[1], 0, len(m[0]) - 1 - window)
+                    tell(m[1], 0, len(m[0]) - SCOPE - 1 - window)
             if wide:
                 for m in group:
                     leave_open(m)
@@ -298,13 +308,13 @@ def merge_parts(runs: DataFrame, window: int, most: int = GROUP) -> DataFrame:
                 group[-1][1].append(place)
                 group[-1][2] = True
                 continue
-            if prefix < GRAM:
+            if prefix < SCOPE + GRAM:
                 close()
             elif len(group) >= most:
                 # Too many to settle here: what is known of them goes on, window by window.
                 for m in group[:-1]:
                     if m[2]:
-                        tell(m[1], 0, len(m[0]) - 1 - window)
+                        tell(m[1], 0, len(m[0]) - SCOPE - 1 - window)
                     leave_open(m)
                 group, wide = group[-1:], True
             group.append([key, [place], bool(many)])
@@ -317,17 +327,20 @@ def merge_parts(runs: DataFrame, window: int, most: int = GROUP) -> DataFrame:
         merge, "run long, name long, first long, last long, hash long, gram long")
 
 
-def identified(docs: DataFrame) -> DataFrame:
-    """Add the 128-bit identity of the text as _u1, _u2."""
+def identified(docs: DataFrame, *scope: str) -> DataFrame:
+    """Add the 128-bit identity of the text (and of the ``scope`` columns) as U1, U2."""
     text = F.coalesce(F.col("text"), F.lit(""))
-    return docs.withColumns({"_u1": F.xxhash64(text), "_u2": F.xxhash64(F.octet_length(text), F.lit("second"), text)})
+    return docs.withColumns({U1: F.xxhash64(*scope, text), U2: F.xxhash64(F.octet_length(text), F.lit("second"), *scope, text)})
+
 
+def repeated_spans(texts: DataFrame, window: int = 200, most: int = GROUP) -> DataFrame:
+    """(U1, U2, SPANS): byte intervals covered by windows that occur elsewhere in texts of the same scope.
 
-def repeated_spans(docs: DataFrame, window: int = 200, most: int = GROUP) -> DataFrame:
-    """(_u1, _u2, _spans): byte intervals of each text that are covered by repeated windows; texts without any are left out."""
-    spark = docs.sparkSession
+    Takes (U1, U2, scope, text); texts without such windows are left out.
+    """
+    spark = texts.sparkSession
     ship_package(spark)
-    texts = identified(docs.select("text")).select(F.col("_u1").alias("u1"), F.col("_u2").alias("u2"), "text")
+    texts = texts.select(F.col(U1).alias("u1"), F.col(U2).alias("u2"), "scope", "text")
     total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES)
     bits = spark.sparkContext.broadcast(gram_filter(repeated_grams(texts, window)))
@@ -341,10 +354,15 @@ def repeated_spans(docs: DataFrame, window: int = 200, most: int = GROUP) -> Dat
     spans = windows.join(places, ["run", "name"]).select(
         "u1", "u2", (F.col("start") + F.col("first")).alias("a"), (F.col("start") + F.col("last") + window).alias("b"))
     whole = runs.where("kind = 2").select("u1", "u2", F.col("start").alias("a"), F.col("size").alias("b"))
-    return spans.union(whole).groupBy(F.col("u1").alias("_u1"), F.col("u2").alias("_u2")).agg(F.collect_set(F.struct("a", "b")).alias("_spans"))
+    return spans.union(whole).groupBy(F.col("u1").alias(U1), F.col("u2").alias(U2)).agg(F.collect_set(F.struct("a", "b")).alias(SPANS))
+
+
+def _document_spans(docs: DataFrame, window: int, most: int = GROUP) -> DataFrame:
+    named = identified(docs.select("text")).withColumn("scope", F.lit(0).cast("long"))
+    return repeated_spans(named, window, most)
 
 
-def _joined(spans: list | None) -> list[tuple[int, int]]:
+def joined(spans: list | None) -> list[tuple[int, int]]:
     """Maximal runs of overlapping or touching spans."""
     out: list[tuple[int, int]] = []
     for s in sorted((s["a"], s["b"]) for s in spans or []):
@@ -362,7 +380,7 @@ def _measured(text: pa.Array, spans: pa.Array) -> pa.Array:
     rows = []
     for t, s in zip(text, spans):
         octets, digest, at = (t.as_py() or "").encode(), hashlib.sha256(), 0
-        runs = _joined(s.as_py())
+        runs = joined(s.as_py())
         for a, b in runs:
             digest.update(octets[at:a])
             at = b
@@ -377,7 +395,7 @@ def _stripped(text: pa.Array, spans: pa.Array) -> pa.Array:
     """The text without the characters all of whose bytes are removed."""
     out = []
     for t, s in zip(text, spans):
-        runs = _joined(s.as_py())
+        runs = joined(s.as_py())
         if not runs or not t.is_valid:
             out.append(t.as_py())
             continue
@@ -395,15 +413,15 @@ def _stripped(text: pa.Array, spans: pa.Array) -> pa.Array:
 
 def repeats(docs: DataFrame, window: int = 200, most: int = GROUP) -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256, spans) of every document."""
-    spans = repeated_spans(docs, window, most)
-    marked = identified(docs.select("doc_id", "text")).join(spans, ["_u1", "_u2"], "left")
-    return marked.select("doc_id", F.arrow_udf(_measured, MEASURES)("text", "_spans").alias("m")).select("doc_id", "m.*")
+    spans = _document_spans(docs, window, most)
+    marked = identified(docs.select("doc_id", "text")).join(spans, [U1, U2], "left")
+    return marked.select("doc_id", F.arrow_udf(_measured, MEASURES)("text", SPANS).alias("m")).select("doc_id", "m.*")
 
 
 def without_repeats(docs: DataFrame, window: int = 200) -> DataFrame:
     """``docs`` with repeated strings taken out of ``text``; all rows and columns stay, n_chars follows the text."""
-    spans = repeated_spans(docs, window)
-    marked = identified(docs).join(spans, ["_u1", "_u2"], "left").withColumn("text", F.arrow_udf(_stripped, "string")("text", "_spans"))
+    spans = _document_spans(docs, window)
+    marked = identified(docs).join(spans, [U1, U2], "left").withColumn("text", F.arrow_udf(_stripped, "string")("text", SPANS))
     if "n_chars" in docs.columns:
         marked = marked.withColumn("n_chars", F.char_length("text").cast(docs.schema["n_chars"].dataType))
-    return marked.select(*docs.columns)
+    return marked.drop(U1, U2, SPANS)
