@@ -7,9 +7,10 @@ minima. Documents with the same set of shingles are one class from the start.
 
 A bucket never emits all its pairs: in each round its classes are compared
 with one pivot, and linked classes merge; a bucket whose classes are all in
-one component is done. What is then still open in a bucket is compared pair by
-pair across its components, so no candidate is left out. Every link is
-confirmed on the full shingle sets.
+one component is done. The classes of buckets that are then still open meet on
+the hashes of one collection, each pair at the first hash they share, and the
+join itself compares their sets, so no candidate is left out and only links
+come out of it. Every link is confirmed on the full texts.
 
 A document with fewer words than a shingle has is one shingle; one without
 words, or null, has none and is linked with nothing. Repeated rows fall into
@@ -120,6 +121,40 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
     return pairs.join(one, "x").join(two, "y").select("x", "y", "tx", "ty").mapInArrow(run, "x long, y long")
 
 
+def hashed_sets(texts: DataFrame, size: int) -> DataFrame:
+    """(node, members): the distinct shingle hashes of every text."""
+    def run(batches):
+        for batch in batches:
+            for first, last, octets, offsets in text_slices(batch, "text"):
+                hashes, rows = shingle_hashes(octets, offsets, size)
+                order = np.lexsort((hashes, rows))
+                hashes, rows = hashes[order], rows[order]
+                fresh = np.ones(len(rows), bool)
+                fresh[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
+                ends = np.concatenate(([0], np.cumsum(np.bincount(rows[fresh], minlength=last - first))))
+                yield pa.RecordBatch.from_arrays([
+                    batch.column(0).slice(first, last - first),
+                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[fresh].view(np.int64)))], names=["node", "members"])
+
+    return texts.select("node", "text").mapInArrow(run, "node long, members array<long>")
+
+
+def remaining_links(open_: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, groups: int) -> DataFrame:
+    """All (x, y) of open nodes in different components that share a table key and whose sets are alike."""
+    nodes = open_.select("node", "root").distinct()
+    sets = hashed_sets(texts.join(nodes.select("node"), "node", "left_semi"), size)
+    wide = nodes.join(classes.select("node", "n_shingles", F.slice("keys", 1, groups).alias("a"), F.slice("keys", groups + 1, groups).alias("b")), "node").join(sets, "node")
+    rows = cut(wide.select("node", "root", "n_shingles", "a", "b", "members", F.posexplode("a").alias("at", "key")))
+    other = rows.select("key", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n_shingles", "a", "b", "members")])
+    both = F.col("n_shingles") + F.col("other_n_shingles")
+    first_shared = F.array_position(F.zip_with("a", "other_a", lambda p, q: p == q), True) == F.col("at") + 1
+    alike = (F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root"))
+    alike &= 100 * F.least("n_shingles", "other_n_shingles") >= percent * F.greatest("n_shingles", "other_n_shingles")
+    alike &= first_shared & F.arrays_overlap("b", "other_b")
+    alike &= (100 + percent) * F.size(F.array_intersect("members", "other_members")) >= percent * both
+    return rows.join(other, (rows["key"] == other["key"]) & alike).select(F.col("node").alias("x"), F.col("other_node").alias("y"))
+
+
 def links(classes: DataFrame, docs: DataFrame, size: int, percent: int, groups: int, rounds: int) -> tuple[DataFrame | None, DataFrame | None]:
     """(confirmed (x, y) links that span all components, (node, root)); None where no two classes share a table key.
 
@@ -140,21 +175,16 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int, groups:
     texts = cut(docs.join(involved, "row").select("node", "text").dropDuplicates(["node"]))
     alike = (100 * F.least("n_shingles", "other_n") >= percent * F.greatest("n_shingles", "other_n")) & (F.col("root") != F.col("other_root"))
 
-    found, tested, roots = None, None, None
+    found, roots = None, None
     for r in range(rounds + 1):
-        if r < rounds:
+        if r == rounds:
+            pairs = cut(remaining_links(open_, classes, texts, size, percent, groups))
+        else:
             pivot = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "n_shingles", "root")).alias("p"))
             pairs = (open_.join(pivot.select("bucket", "p.h", F.col("p.node").alias("other"), F.col("p.n_shingles").alias("other_n"), F.col("p.root").alias("other_root")), "bucket")
                      .where(alike).groupBy("node").agg(F.min(F.struct("h", "other"))["other"].alias("other")))
-        else:
-            other = open_.select("bucket", F.col("node").alias("other"), F.col("n_shingles").alias("other_n"), F.col("root").alias("other_root"))
-            pairs = open_.join(other, "bucket").where(alike & (F.col("node") < F.col("other"))).select("node", "other")
-        pairs = pairs.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct()
-        if tested is not None:
-            pairs = pairs.join(tested, ["x", "y"], "left_anti")
-        pairs = cut(pairs)
+            pairs = cut(pairs.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct())
         fresh = cut(verify(pairs, texts, size, percent))
-        tested = pairs if tested is None else tested.union(pairs)
         found = fresh if found is None else found.union(fresh)
         roots = cut(components(found))
         if r == rounds:
