@@ -257,10 +257,10 @@ def _kernel_sql() -> str:
     rows, heads = [], []
     for m, (z, w) in enumerate(marks):
         for g, order in enumerate(quartet.within_split_orders()):
-            moved = [z[i] for i in quartet.orbit_permutation(order)]
+            moved = [z[i] for i in quartet.reordered(order)]
             heads.append(f"({m * 8 + g}, {w / 8!r}::DOUBLE)")
             for t in range(3):
-                read = quartet.orbit_permutation(quartet.ORDERS[t])
+                read = quartet.reordered(quartet.ORDERS[t])
                 rows += [f"({m * 8 + g}, {t}, '{quartet.ORBITS[read[i]]}', {moved[i]!r}::DOUBLE)" for i in range(15)]
     return f"""
 landmark(m, w) AS (VALUES {', '.join(heads)}),

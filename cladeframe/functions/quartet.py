@@ -5,26 +5,43 @@ The three topologies of taxa (0, 1, 2, 3) are 01|23, 02|13 and 03|12.
 
 from __future__ import annotations
 
-from itertools import product
-
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def canonical(pattern) -> str:
-    """States renamed in order of first appearance, as text."""
-    seen: dict = {}
-    return "".join(str(seen.setdefault(s, len(seen))) for s in pattern)
+def _partitions(items: tuple[int, ...]) -> list[frozenset]:
+    """All ways to put items into unordered blocks."""
+    if not items:
+        return [frozenset()]
+    *head, last = items
+    found = []
+    for blocks in _partitions(tuple(head)):
+        found.append(blocks | {frozenset([last])})
+        found.extend(blocks - {block} | {block | {last}} for block in blocks)
+    return found
+
+
+def _text(blocks: frozenset) -> str:
+    """A partition of the four taxa as text: the number of each taxon's block, blocks numbered by their first taxon."""
+    ranked = sorted(blocks, key=min)
+    return "".join(str(next(i for i, block in enumerate(ranked) if taxon in block)) for taxon in range(4))
 
 
-ORBITS = sorted({canonical(p) for p in product(range(4), repeat=4)})
+# A site pattern is a partition of the taxa into those of equal state.
+_BLOCKS = {_text(blocks): blocks for blocks in _partitions((0, 1, 2, 3))}
+ORBITS = sorted(_BLOCKS)
 ORDERS = {0: (0, 1, 2, 3), 1: (0, 2, 1, 3), 2: (0, 3, 1, 2)}
 
 
-def orbit_permutation(order: tuple[int, ...]) -> list[int]:
-    """Source position of each orbit after reading the taxa in ``order``."""
-    target = [ORBITS.index(canonical([orbit[i] for i in order])) for orbit in ORBITS]
-    return [target.index(i) for i in range(len(ORBITS))]
+def reordered(order: tuple[int, ...]) -> list[int]:
+    """Source position of each orbit after reading the taxa in ``order``.
+
+    Reading puts taxon ``order[k]`` at place k; the orbit seen there is the
+    image of the source partition under the inverse renaming.
+    """
+    seen_at = {_text(frozenset(frozenset(order.index(t) for t in block) for block in _BLOCKS[orbit])): i
+               for i, orbit in enumerate(ORBITS)}
+    return [seen_at[orbit] for orbit in ORBITS]
 
 
 def within_split_orders() -> list[tuple[int, ...]]:

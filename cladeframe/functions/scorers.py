@@ -13,7 +13,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.functions.quartet import ORBITS, ORDERS, orbit_permutation, within_split_orders
+from cladeframe.functions.quartet import ORBITS, ORDERS, reordered, within_split_orders
 from cladeframe.operators.quartets import KEY
 from cladeframe.session import ship_package
 
@@ -55,7 +55,7 @@ def load_kernel(params: DataFrame) -> tuple[np.ndarray, np.ndarray]:
         raise ValueError(f"kernel parameters need 1..{MAX_LANDMARKS} landmarks")
     z = np.array([r.z for r in rows], dtype=float)
     weight = np.array([r.coefficient for r in rows], dtype=float)
-    orders = [orbit_permutation(o) for o in within_split_orders()]
+    orders = [reordered(o) for o in within_split_orders()]
     return np.concatenate([z[:, o] for o in orders]), np.tile(weight / len(orders), len(orders))
 
 
@@ -66,7 +66,7 @@ def kernel_scores(features: DataFrame, params: DataFrame, bandwidth: float = BAN
     """
     ship_package(params.sparkSession)
     landmarks, weights = load_kernel(params)
-    reads = [orbit_permutation(ORDERS[t]) for t in range(3)]
+    reads = [reordered(ORDERS[t]) for t in range(3)]
     squares = (landmarks ** 2).sum(1)
 
     @F.pandas_udf("array<double>")

@@ -79,9 +79,8 @@ def infer(spark: SparkSession, source: str, out: str, task: str, *, settings: di
 
 def write_tree(edges: DataFrame, n: int, names: DataFrame, out: str) -> None:
     nodes = cut(trees.rooted(edges, n))
-    depth = nodes.agg(F.max("depth")).first()[0]
     edges.write.parquet(f"{out}/edges")
-    newick.to_newick(nodes, names, depth).write.text(f"{out}/newick")
+    newick.to_newick(nodes, names).write.text(f"{out}/newick")
 
 
 def complete(edges: DataFrame, leaves: int, missing: list[int], predict, **options) -> tuple[DataFrame, list[dict]]:

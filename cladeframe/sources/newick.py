@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-import re
+import math
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +11,51 @@ from pyspark.sql import functions as F
 from cladeframe.functions.labels import quoted
 from cladeframe.session import ship_package
 
-TOKEN = re.compile(r"\s*(?:\[[^\]]*\]\s*)*('(?:[^']|'')*'|[(),:;]|[^\s(),:;\[\]']+)(?:\s*\[[^\]]*\])*")
+MARKS = frozenset("(),:;")
+
+
+def tokens(text: str) -> list[str]:
+    """Marks, quoted labels (with their quotes) and bare words of a Newick text; comments and white space go."""
+    out, at = [], 0
+    while at < len(text):
+        start, c = at, text[at]
+        if c.isspace():
+            at += 1
+        elif c == "[":
+            at = text.find("]", at) + 1
+            if not at:
+                raise ValueError("Newick comment without end")
+        elif c in MARKS:
+            out.append(c)
+            at += 1
+        elif c == "'":
+            # A doubled quote stands for one; an odd number of quotes ends the label.
+            while True:
+                at = text.find("'", at + 1)
+                if at < 0:
+                    raise ValueError("Newick label without closing quote")
+                if text[at + 1:at + 2] != "'":
+                    break
+                at += 1
+            at += 1
+            out.append(text[start:at])
+        elif c == "]":
+            raise ValueError("Newick comment without start")
+        else:
+            while at < len(text) and text[at] not in MARKS and text[at] not in "[]'" and not text[at].isspace():
+                at += 1
+            out.append(text[start:at])
+    return out
+
+
+def branch_length(word: str) -> float:
+    try:
+        value = float(word)
+    except ValueError:
+        value = math.nan
+    if not (math.isfinite(value) and value >= 0):
+        raise ValueError(f"branch length {word!r} is no finite number of at least 0")
+    return value
 
 
 def parse_newick(text: str) -> list[tuple[int, int, str | None, float | None]]:
@@ -21,16 +65,13 @@ def parse_newick(text: str) -> list[tuple[int, int, str | None, float | None]]:
     """
     nodes: list[list] = [[None, None, None]]  # parent, name, length
     children: dict[int, int] = {}
-    current, at, done, expect_length = 0, 0, False, False
-    text = text.strip()
-    while at < len(text):
-        match = TOKEN.match(text, at)
-        if match is None or done:
+    current, done, expect_length = 0, False, False
+    for token in tokens(text):
+        if done:
             raise ValueError("malformed Newick text")
-        token, at = match.group(1), match.end()
         if expect_length:
-            nodes[current][2], expect_length = float(token), False
-        elif token in "(,":
+            nodes[current][2], expect_length = branch_length(token), False
+        elif token in ("(", ","):
             parent = current if token == "(" else nodes[current][0]
             if parent is None or (token == "(" and (current in children or nodes[current][1])):
                 raise ValueError("malformed Newick text")
@@ -83,37 +124,35 @@ def read_newick(spark: SparkSession, path: str) -> DataFrame:
     return lines.mapInPandas(rows, "tree long, node long, parent long, name string, length double")
 
 
-def to_newick(nodes: DataFrame, names: DataFrame, depth: int, lengths: DataFrame | None = None,
-              labels: DataFrame | None = None) -> DataFrame:
-    """(newick): text of a tree from (node, parent, depth), built level by level.
+def length_text(length):
+    """``:`` and ten significant digits, or nothing for a null."""
+    digits = F.format_string("%.9e", length).cast("double").cast("string")
+    return F.when(length.isNotNull(), F.concat(F.lit(":"), F.regexp_replace(digits, r"\.0$", ""))).otherwise(F.lit(""))
+
 
-    The node next to the root leaf becomes the head of the text. ``lengths``
-    is (node, length) and ``labels`` (node, label) for inner nodes.
+def to_newick(nodes: DataFrame, names: DataFrame, lengths: DataFrame | None = None, labels: DataFrame | None = None) -> DataFrame:
+    """(newick): text of a tree from (node, parent, enter, leave), as :func:`cladeframe.operators.trees.rooted` gives them.
+
+    Every node adds its marks and its text where the tour enters and leaves
+    it, so the text is one ordered aggregate and a ladder costs no more than a
+    balanced tree. The neighbour of the root leaf is the head of the text, with
+    the root leaf first; children follow the tour. ``lengths`` is
+    (node, length) and ``labels`` (node, label) for inner nodes.
     """
-    rows = nodes.join(names.select("node", quoted(F.col("name")).alias("_name")), "node", "left")
-    rows = rows.join(lengths.select("node", "length"), "node", "left") if lengths is not None \
-        else rows.withColumn("length", F.lit(None).cast("double"))
-    rows = rows.join(labels.select("node", "label"), "node", "left") if labels is not None \
-        else rows.withColumn("label", F.lit(None).cast("string"))
-    # %.10g drops trailing zeros of the shortest form; plain decimal text keeps the same digits here.
-    tail = F.concat(F.coalesce("label", F.lit("")), F.when(F.col("length").isNotNull(), F.concat(
-        F.lit(":"), F.regexp_replace(F.format_string("%.10f", "length"), r"\.?0+$", ""))).otherwise(F.lit("")))
-    rows = rows.withColumn("_tail", tail)
-    carried = None
-    for level in range(depth, 0, -1):
-        here = rows.where(F.col("depth") == level)
-        if carried is not None:
-            here = here.join(carried, "node", "left")
-        else:
-            here = here.withColumn("_inner", F.lit(None).cast("string")).withColumn("_first", F.lit(None).cast("string"))
-        own = F.concat(F.coalesce("_inner", "_name"), "_tail")
-        first = F.coalesce("_first", "_name")
-        parts = here.select("parent", F.struct(first.alias("first"), own.alias("text")).alias("_p"))
-        carried = parts.groupBy(F.col("parent").alias("node")).agg(F.array_sort(F.collect_list("_p")).alias("_l")).select(
-            "node", F.concat(F.lit("("), F.array_join(F.transform("_l", lambda p: p["text"]), ","), F.lit(")")).alias("_inner"),
-            F.get("_l", F.lit(0))["first"].alias("_first"))
-    root = rows.where("depth = 0").select("node", "_name")
-    # The root leaf joins the list of its only neighbour.
-    return carried.join(root, "node").select(
-        # Its own list is wrapped twice: once as the neighbour's, once as the root's.
-        F.concat(F.lit("("), "_name", F.lit(","), F.expr("substring(_inner, 3, length(_inner) - 4)"), F.lit(");")).alias("newick"))
+    rows = nodes.select("node", "parent", "enter", "leave").join(names.select("node", quoted(F.col("name")).alias("_name")), "node", "left")
+    for extra, column, kind in ((lengths, "length", "double"), (labels, "label", "string")):
+        rows = rows.join(extra.select("node", column), "node", "left") if extra is not None else rows.withColumn(column, F.lit(None).cast(kind))
+    first = nodes.where("parent IS NOT NULL").groupBy("parent").agg(F.min("enter").alias("enter"), F.lit(True).alias("_first"))
+    inner = nodes.select(F.col("parent").alias("node")).distinct().withColumn("_inner", F.lit(True))
+    rows = rows.join(first, ["parent", "enter"], "left").join(inner, "node", "left")
+    head = F.col("enter") == 0  # the only neighbour of the root leaf
+    root_length = rows.where(head).select(length_text(F.col("length")).alias("_root_length"))
+    root = rows.where("parent IS NULL").select(F.col("_name").alias("_root")).crossJoin(root_length)  # one row by one row
+    comma = F.when(F.col("_first").isNotNull(), "").otherwise(",")
+    body = rows.where("parent IS NOT NULL").crossJoin(root)
+    opening = F.when(head, F.concat(F.lit("("), "_root", "_root_length", F.lit(","))).otherwise(F.concat(comma, F.when(F.col("_inner"), "(").otherwise("")))
+    closing = F.when(head, F.lit(");")).when(F.col("_inner"), F.concat(F.lit(")"), F.coalesce("label", F.lit("")), length_text(F.col("length")))) \
+        .otherwise(F.concat(F.col("_name"), length_text(F.col("length"))))
+    pieces = body.select(F.explode(F.array(F.struct(F.col("enter").alias("at"), opening.alias("text")), F.struct(F.col("leave").alias("at"), closing.alias("text")))).alias("p"))
+    # Steps of the tour differ, so every piece has a place of its own; the text itself is the one row asked for.
+    return pieces.agg(F.array_join(F.transform(F.array_sort(F.collect_list("p")), lambda p: p["text"]), "").alias("newick"))

@@ -18,9 +18,9 @@ def test_fifteen_orbits_in_order():
     assert len(quartet.within_split_orders()) == 8 == len(set(quartet.within_split_orders()))
 
 
-def test_orbit_permutation_moves_the_supporting_orbit():
+def test_reordered_moves_the_supporting_orbit():
     for topology, orbit in ((0, "0011"), (1, "0101"), (2, "0110")):
-        read = quartet.orbit_permutation(quartet.ORDERS[topology])
+        read = quartet.reordered(quartet.ORDERS[topology])
         assert quartet.ORBITS[read[quartet.ORBITS.index("0011")]] == orbit
 
 
@@ -49,14 +49,31 @@ def test_model_names():
     full = models.parse_model("gtr+fo+i+g4")
     assert (full.base, full.frequencies, full.categories, full.invariant) == ("GTR", "ml", 4, True)
     assert models.parse_model("K2P").base == "K80"
-    for bad in ("JC+F", "GTR+G1", "GTR+I+I", "LG", "GTR+X"):
+    for bad in ("JC+F", "GTR+G1", "GTR+I+I", "LG", "GTR+X", "GTR+G2+G3", "GTR+F+FO", "GTR+", "", "GTR+G17"):
         with pytest.raises(ValueError):
             models.parse_model(bad)
 
 
-def test_gamma_shape_without_information():
-    shape, usable = distance.gamma_shape([(10, 5, 5, 5, 3)] * 32)
+def test_gamma_shape(spark):
+    schema = "sites long, ab long, ac long, bc long, abc long"
+    shape, usable = distance.gamma_shape(spark.createDataFrame([(10, 5, 5, 5, 3)] * 32, schema))
     assert usable == 0 and 0.01 <= shape <= 100
+    # Expected counts of star triplets with a known shape lead back to it.
+    rows, true = [], 0.7
+    for a, b, c in ((0.1, 0.2, 0.3), (0.5, 0.1, 0.2), (0.05, 0.4, 0.3)):
+        f = [(1 + 4 * d / 3 / true) ** -true for d in (a + b, a + c, b + c)]
+        joint = (1 + 4 * (a + b + c) / 3 / true) ** -true
+        every = (1 + 3 * sum(f) + 6 * joint) / 16
+        rows.append((10**7, *[round(10**7 * (1 + 3 * x) / 4) for x in f], round(10**7 * every)))
+    shape, usable = distance.gamma_shape(spark.createDataFrame(rows, schema))
+    assert usable == 3 and shape == pytest.approx(true, rel=2e-3)
+
+
+def test_gamma_rates_are_category_means():
+    for alpha in (0.05, 0.5, 1.0, 7.0):
+        rates = models.gamma_rates(alpha, 5)
+        draws = np.sort(np.random.default_rng(1).gamma(alpha, 1 / alpha, 500_000)).reshape(5, -1).mean(1)
+        assert rates.mean() == pytest.approx(1) and rates == pytest.approx(draws, abs=0.02)
 
 
 def test_mix_is_a_32_bit_value():
@@ -73,7 +90,7 @@ def test_neighbour_joining_recovers_an_additive_tree():
     assert parent[0] == parent[1] and parent[4] == parent[5] and len(links) == 2 * leaves - 3
 
 
-@pytest.mark.parametrize("bad", ["(a,b", "(a,a);", "(a,b)c,d;", "((a,b),(c,d)", "(,b);", "(a:,b);", "a);"])
+@pytest.mark.parametrize("bad", ["(a,b", "(a,a);", "(a,b)c,d;", "((a,b),(c,d)", "(,b);", "(a:,b);", "a);", "(a:-1,b:2,c:3);", "(a:nan,b,c);", "(a:inf,b,c);", "(a[x,b);", "(a]x,b);", "('a,b);"])
 def test_bad_newick(bad):
     with pytest.raises(ValueError):
         parse_newick(bad)
