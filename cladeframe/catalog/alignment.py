@@ -130,7 +130,7 @@ def pattern_fold(spark, folder):
 def coverage_diagnostics(spark, folder):
     n = tables.supplier_count(spark, folder)
     rows = pairs.coverage_diagnostics(cells(spark, folder), n, tables.SITES)
-    return rounded(rows, "median_overlap", "median_jaccard", "sparsity_index")
+    return rounded(rows, "mean_overlap", "pooled_jaccard", "sparsity_index")
 
 
 def numeric_reorder(spark, folder):
@@ -243,15 +243,10 @@ SELECT taxon, new_site AS site, state FROM ocell JOIN numbered USING (site)""",
 col AS (SELECT site, {_COLUMN} AS pattern, {_INV} AS inv_code FROM ocell GROUP BY site)""") + """
 SELECT pattern, count(*) AS weight, min(site) AS first_site, inv_code FROM col GROUP BY pattern, inv_code""",
     "coverage_diagnostics": with_(CELLS, """
-ids AS (SELECT DISTINCT CASE WHEN n <= 128 THEN k ELSE CAST(floor(k * ((n - 1) / 127.0::DOUBLE)) AS BIGINT) END AS taxon
-        FROM (SELECT unnest(range(0, 1024)) AS k), n_taxa WHERE k < least(n, 128)),
-got AS (SELECT taxon, site FROM obs WHERE taxon IN (SELECT taxon FROM ids)),
-size AS (SELECT ids.taxon, count(site) AS s FROM ids LEFT JOIN got ON got.taxon = ids.taxon GROUP BY ids.taxon),
-shared AS (SELECT a.taxon AS i, b.taxon AS j, count(*) AS n FROM got a JOIN got b ON a.site = b.site AND a.taxon < b.taxon GROUP BY 1, 2),
-pair AS (SELECT coalesce(n, 0) AS n, x.s + y.s - coalesce(n, 0) AS u FROM size x JOIN size y ON x.taxon < y.taxon
-         LEFT JOIN shared ON i = x.taxon AND j = y.taxon),
-med AS (SELECT median(n / 512.0::DOUBLE) AS o, median(CASE WHEN u > 0 THEN n / u::DOUBLE ELSE 1.0 END) AS j FROM pair)""") + """
-SELECT round(o, 6) AS median_overlap, round(j, 6) AS median_jaccard, round((1 - o) * j, 6) AS sparsity_index FROM med""",
+size AS (SELECT taxon, count(*) AS s FROM obs GROUP BY taxon),
+shared AS (SELECT count(*) AS k FROM obs a JOIN obs b ON a.site = b.site AND a.taxon < b.taxon),
+base AS (SELECT k, (SELECT sum(s) FROM size) * (n - 1) - k AS u, n * (n - 1) / 2.0::DOUBLE * 512 AS p FROM shared, n_taxa)""") + """
+SELECT round(k / p, 6) AS mean_overlap, round(k / u::DOUBLE, 6) AS pooled_jaccard, round((1 - k / p) * (k / u::DOUBLE), 6) AS sparsity_index FROM base""",
     "numeric_reorder": with_("""
 idx AS (SELECT CAST(c_custkey AS BIGINT) AS taxon, c_name AS name,
                CAST(nullif(regexp_extract(c_name, '([0-9]+)', 1), '') AS BIGINT) AS number FROM customer),

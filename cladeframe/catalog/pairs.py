@@ -289,4 +289,16 @@ SELECT DISTINCT least(x, y) AS i, greatest(x, y) AS j FROM (
     "mutual_minima": _FULL.rstrip() + "," + _Q + """,
 ends AS (SELECT i AS node, q FROM q UNION ALL SELECT j, q FROM q), best AS (SELECT node, min(q) AS b FROM ends GROUP BY node)
 SELECT i AS "left", j AS "right", q FROM q JOIN best x ON x.node = i JOIN best y ON y.node = j WHERE q = x.b AND q = y.b""",
+    "bounded_merges": _FULL.replace("WITH ", "WITH RECURSIVE ", 1).rstrip() + "," + _Q + """,
+ends AS (SELECT i AS node, q FROM q UNION ALL SELECT j, q FROM q), best AS (SELECT node, min(q) AS b FROM ends GROUP BY node),
+flagged AS (SELECT i, j, q, q = x.b AND q = y.b AS m FROM q JOIN best x ON x.node = i JOIN best y ON y.node = j),
+ord AS MATERIALIZED (SELECT i, j, q, m, row_number() OVER (ORDER BY NOT m, q, i, j) AS r FROM flagged),
+goal AS (SELECT n - 3 AS most, least(n - 3, (n + 513) // 514) AS target FROM n_taxa),
+pass AS (SELECT CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS used
+  UNION ALL SELECT o.r, CASE WHEN list_contains(used, i) OR list_contains(used, j) OR len(used) // 2 >= CASE WHEN m THEN most ELSE target END
+                        THEN used ELSE list_concat(used, [i, j]) END
+  FROM pass JOIN ord o ON o.r = pass.r + 1, goal),
+final AS (SELECT used FROM pass ORDER BY r DESC LIMIT 1),
+chosen AS (SELECT used[2 * k + 1] AS i, used[2 * k + 2] AS j FROM (SELECT used, unnest(range(0, len(used) // 2)) AS k FROM final))
+SELECT i AS "left", j AS "right", q FROM q JOIN chosen USING (i, j)""",
 }

@@ -8,7 +8,8 @@ from cladeframe.catalog.common import EDGES, FRAMES, LEAF_COUNT, REACH, edges, n
 from cladeframe.operators import moves, trees
 from cladeframe.sources import tables
 
-KEPT_NATIONS = "s_nationkey % 2 = 0"
+# The operators take a set of taxa to keep or to anchor; here it is the suppliers in credit.
+KEPT = "s_acctbal > 0"
 
 
 def tree_validate(spark, folder):
@@ -119,14 +120,14 @@ def quartet_topology(spark, folder):
 def attach_taxon(spark, folder):
     """One new leaf on the pendant edge of every kept supplier."""
     n = tables.supplier_count(spark, folder)
-    kept = tables.read(spark, folder, "supplier").where(KEPT_NATIONS).select(F.col("s_suppkey").alias("u"))
+    kept = tables.read(spark, folder, "supplier").where(KEPT).select(F.col("s_suppkey").alias("u"))
     targets = edges(spark, folder).join(kept, "u", "left_semi").select(
         "u", "v", (F.col("u") + 2 * n).alias("leaf"), (F.col("u") + 3 * n).alias("center"))
     return tidy(trees.subdivide(edges(spark, folder), targets))
 
 
 def _kept(spark, folder):
-    return tables.read(spark, folder, "supplier").where(KEPT_NATIONS).select(F.col("s_suppkey").alias("leaf"))
+    return tables.read(spark, folder, "supplier").where(KEPT).select(F.col("s_suppkey").alias("leaf"))
 
 
 def induced_subtree(spark, folder):
@@ -178,7 +179,7 @@ def _keys_sql(below: str, out: str) -> str:
 
 _TWO_KEYS = (EDGES, LEAF_COUNT, FRAMES, _MOVED, _BOTH2, _ROOTED, _second(_ROOTED), _KEY,
              _keys_sql("below", "key_a"), _keys_sql("below2", "key_b"))
-_KEEP = f"keep AS (SELECT CAST(s_suppkey AS BIGINT) AS leaf FROM supplier WHERE {KEPT_NATIONS})"
+_KEEP = f"keep AS (SELECT CAST(s_suppkey AS BIGINT) AS leaf FROM supplier WHERE {KEPT})"
 
 ORACLES = {
     "tree_validate": with_(EDGES, LEAF_COUNT, """
@@ -200,6 +201,10 @@ size AS (SELECT node, count(*) AS s FROM below GROUP BY node)""", recursive=True
 SELECT node, leaf FROM below JOIN size USING (node), n_leaf WHERE s BETWEEN 2 AND n - 2""",
     "split_fingerprints": with_(EDGES, LEAF_COUNT, _ROOTED, _KEY, _keys_sql("below", "key_a"), recursive=True)
     + "SELECT node, side, h1, h2 FROM key_a",
+    "topology_key": with_(EDGES, LEAF_COUNT, _ROOTED, _KEY, _keys_sql("below", "key_a"), f"""
+mixed AS (SELECT xor(h1 % {trees.SPREAD_PRIME} * {trees.SPREAD[0]}, h2 % {trees.SPREAD_PRIME} * {trees.SPREAD[1]} + side) AS m FROM key_a)""",
+                          recursive=True) + """
+SELECT count(*) AS splits, CAST(bit_xor(m) AS BIGINT) AS mix, CAST(sum(m & 1099511627775) AS BIGINT) AS total FROM mixed""",
     "nni_frames": with_(EDGES, LEAF_COUNT, FRAMES) + "SELECT u, v, a, b, c, d FROM frame",
     "apply_nni": with_(EDGES, LEAF_COUNT, FRAMES, _MOVED) + "SELECT u, v FROM edge2",
     "rf_distance": with_(*_TWO_KEYS, recursive=True) + """

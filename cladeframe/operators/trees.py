@@ -189,9 +189,13 @@ def compare_splits(first: DataFrame, second: DataFrame) -> DataFrame:
         "nrf", F.when(total > 0, F.col("rf") / total).otherwise(F.lit(0.0)))
 
 
+# Two primes below 2^40 and 2^22 that spread split sums over 62 bits.
+SPREAD_PRIME, SPREAD = 1099511627689, (4194301, 2097143)
+
+
 def topology_key(splits: DataFrame) -> DataFrame:
-    """One row that identifies a topology: count and two sums over its splits."""
-    mix = F.xxhash64("side", "h1", "h2")
+    """One row that identifies a topology: count, exclusive or and sum of its mixed splits."""
+    mix = (F.col("h1") % SPREAD_PRIME * SPREAD[0]).bitwiseXOR(F.col("h2") % SPREAD_PRIME * SPREAD[1] + F.col("side"))
     return splits.agg(F.count("*").alias("splits"), F.bit_xor(mix).alias("mix"),
                       F.sum(mix.bitwiseAND(F.lit((1 << 40) - 1))).alias("total"))
 
