@@ -49,13 +49,32 @@ def observed_cells(spark, folder):
 
 
 def missing_per_taxon(spark, folder):
-    return rounded(tidy(sites.missing_per_taxon(cells(spark, folder), tables.SITES)), "fraction")
+    """Missing sites of every customer; a customer without an order has no cell at all."""
+    return rounded(tidy(sites.missing_per_taxon(*_customers(spark, folder), 1000)), "fraction")
+
+
+def _customers(spark, folder):
+    """Customers as taxa, their orders as cells; orders still in progress are missing states."""
+    taxa = tables.read(spark, folder, "customer").select(F.col("c_custkey").cast("long").alias("taxon"))
+    state = F.when(F.col("o_orderstatus") == "P", 4).otherwise(F.col("o_orderkey") % 4).cast("int")
+    orders = tables.read(spark, folder, "orders").select(
+        F.col("o_custkey").cast("long").alias("taxon"), F.col("o_orderkey").alias("site"), state.alias("state"))
+    return taxa, orders.where("state < 4")
+
+
+def column_hash(spark, folder):
+    """Hash of every column of the supplier alignment."""
+    return tidy(sites.column_hashes(cells(spark, folder)))
+
+
+def health_warnings(spark, folder):
+    """Evidence of every locus of the order alignment and what it lacks."""
+    rows = sites.assign_loci(tables.order_cells(spark, folder), loci(spark, folder))
+    return tidy(sites.health(rows, ["locus"]).withColumn("warnings", F.array_join("warnings", "; ")))
 
 
 def unobserved_taxa(spark, folder):
-    taxa = tables.read(spark, folder, "part").select((F.col("p_partkey") % tables.SITES).cast("int").alias("taxon"))
-    by_site = cells(spark, folder).select(F.col("site").alias("taxon"), "state")
-    return tidy(sites.unobserved_taxa(taxa.distinct(), by_site))
+    return tidy(sites.unobserved_taxa(*_customers(spark, folder)))
 
 
 def base_frequencies(spark, folder):
@@ -162,7 +181,7 @@ QUERIES = {f.__name__: f for f in (
     encode_states, sequence_words, bitplanes, nibble_bytes, nibble_round_trip, observed_cells, missing_per_taxon,
     unobserved_taxa, base_frequencies, region_frequencies, locus_cells, locus_boundaries, site_profile, variable_sites,
     drop_constant_sites, drop_constant_sites_by_block, site_evidence, sample_sites, select_sites, site_patterns,
-    pattern_fold, coverage_diagnostics, numeric_reorder, locus_union_pad, quoted_labels)}
+    pattern_fold, coverage_diagnostics, column_hash, health_warnings, numeric_reorder, locus_union_pad, quoted_labels)}
 
 _PLANE = """
   CAST(sum(CASE WHEN state IN (1, 3) THEN {bit} ELSE 0 END) AS BIGINT) AS low,
@@ -205,11 +224,21 @@ back AS (SELECT s.taxon, s.site, coalesce(c.state, 4) AS state FROM slots s LEFT
          ON c.taxon = s.taxon AND c.site = s.site WHERE s.site < 512)""") + """
 SELECT taxon, CAST(state AS BIGINT) AS state, count(*) AS n, CAST(sum(site) AS BIGINT) AS sites FROM back GROUP BY 1, 2""",
     "observed_cells": with_(CELLS) + "SELECT taxon, site, state FROM obs",
-    "missing_per_taxon": with_(CELLS) + """
-SELECT taxon, 512 - count(CASE WHEN state < 4 THEN 1 END) AS missing,
-  round((512 - count(CASE WHEN state < 4 THEN 1 END)) / 512.0::DOUBLE, 6) AS fraction FROM cell GROUP BY taxon""",
-    "unobserved_taxa": with_(CELLS) + """
-SELECT DISTINCT CAST(p_partkey % 512 AS BIGINT) AS taxon FROM part WHERE p_partkey % 512 NOT IN (SELECT site FROM obs)""",
+    "missing_per_taxon": """
+SELECT CAST(c_custkey AS BIGINT) AS taxon, 1000 - count(o_orderkey) AS missing, round((1000 - count(o_orderkey)) / 1000.0::DOUBLE, 6) AS fraction
+FROM customer LEFT JOIN orders ON o_custkey = c_custkey AND o_orderstatus <> 'P' GROUP BY c_custkey""",
+    "unobserved_taxa": """
+SELECT CAST(c_custkey AS BIGINT) AS taxon FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus <> 'P')""",
+    "column_hash": with_(CELLS, mix_sql("obs", "taxon * 8 + state", "first_mix", "site, taxon, state"),
+                         mix_sql("(SELECT site, taxon, state, mixed AS m1 FROM first_mix)", "(taxon * 8 + state) * 31 + 17", "second_mix", "site, m1")) + """
+SELECT site, CAST(bit_xor(((m1 & 2147483647) << 31) | (mixed & 2147483647)) AS BIGINT) AS h FROM second_mix GROUP BY site""",
+    "health_warnings": with_(ORDER_CELLS, LOCI, f"""
+col AS (SELECT locus, site, count(*) AS c, count(DISTINCT state) AS k FROM oobs {_SITE_LOCUS} GROUP BY locus, site),
+sums AS (SELECT locus, count(CASE WHEN k > 1 THEN 1 END) AS variable_sites, count(CASE WHEN c > 1 THEN 1 END) AS jointly_observed_sites,
+         CAST(sum(c * (c - 1) // 2) AS BIGINT) AS compared_pairs FROM col GROUP BY locus)""") + f"""
+SELECT *, concat_ws('; ', CASE WHEN variable_sites = 0 THEN '{sites.HEALTH["variable_sites"]}' END,
+  CASE WHEN jointly_observed_sites = 0 THEN '{sites.HEALTH["jointly_observed_sites"]}' END,
+  CASE WHEN compared_pairs = 0 THEN '{sites.HEALTH["compared_pairs"]}' END) AS warnings FROM sums""",
     "base_frequencies": with_(CELLS, "total AS (SELECT count(*) AS t FROM obs)") + """
 SELECT s.state, count(o.state) AS n, round(count(o.state) / max(t)::DOUBLE, 6) AS share
 FROM (SELECT CAST(unnest([0, 1, 2, 3]) AS BIGINT) AS state) s LEFT JOIN obs o ON o.state = s.state, total GROUP BY s.state""",

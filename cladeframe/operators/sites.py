@@ -145,11 +145,12 @@ def evidence_totals(cells: DataFrame) -> DataFrame:
     )
 
 
-def missing_per_taxon(cells: DataFrame, length: int) -> DataFrame:
-    counted = cells.groupBy("taxon").agg(F.count(F.when(F.col("state") < MISSING, 1)).alias("_seen"))
-    missing = F.lit(length) - F.col("_seen")
-    return counted.select("taxon", missing.cast("long").alias("missing"),
-                          (missing / F.lit(length)).alias("fraction"))
+def missing_per_taxon(taxa: DataFrame, cells: DataFrame, length: int) -> DataFrame:
+    """Missing sites of every listed taxon; one without any cell misses them all."""
+    counted = observed(cells).groupBy("taxon").agg(F.count("*").alias("_seen"))
+    missing = F.lit(length) - F.coalesce("_seen", F.lit(0))
+    return taxa.select("taxon").join(counted, "taxon", "left").select(
+        "taxon", missing.cast("long").alias("missing"), (missing / F.lit(length)).alias("fraction"))
 
 
 def unobserved_taxa(taxa: DataFrame, cells: DataFrame) -> DataFrame:
@@ -170,6 +171,41 @@ def base_frequencies(cells: DataFrame, by: list[str] | None = None) -> DataFrame
     )
 
 
+def column_hashes(cells: DataFrame) -> DataFrame:
+    """(site, h): 62-bit hash of every column, the same whatever the order of its cells.
+
+    Equal columns have equal hashes, so the hash can group columns; it never
+    proves that two columns are equal.
+    """
+    keyed = observed(cells).select("site", (F.col("taxon").cast("long") * 8 + F.col("state")).alias("_x"))
+    keyed = add_mix32(add_mix32(keyed, "_x", "_a"), "_x * 31 + 17", "_b")
+    return keyed.groupBy("site").agg(F.bit_xor(F.expr("shiftleft(_a & 2147483647L, 31) | (_b & 2147483647L)")).alias("h"))
+
+
+HEALTH = {
+    "variable_sites": "no site varies, so the topology cannot be told; a balanced tree stands in",
+    "jointly_observed_sites": "no site is observed in two taxa, so nothing can be compared",
+    "compared_pairs": "no two taxa share a site; their distances are placeholders",
+    "usable_triplets": "no triplet informs the gamma shape; its value is a fallback",
+}
+
+
+def health(cells: DataFrame, by: list[str], extra: DataFrame | None = None) -> DataFrame:
+    """Counts of usable evidence in each group of ``by`` columns, with a list of warnings.
+
+    ``extra`` adds counts of the same groups, such as usable_triplets; a
+    count of zero that is listed in ``HEALTH`` gives a warning.
+    """
+    columns = observed(cells).groupBy(*by, "site").agg(F.count("*").alias("c"), F.countDistinct("state").alias("k"))
+    rows = columns.groupBy(*by).agg(
+        F.count(F.when(F.col("k") > 1, 1)).alias("variable_sites"), F.count(F.when(F.col("c") > 1, 1)).alias("jointly_observed_sites"),
+        F.coalesce(F.sum(F.expr("c * (c - 1) div 2")), F.lit(0)).alias("compared_pairs"))
+    if extra is not None:
+        rows = rows.join(extra, by, "left")
+    told = [F.when(F.col(name) == 0, F.lit(text)) for name, text in HEALTH.items() if name in rows.columns]
+    return rows.withColumn("warnings", F.array_compact(F.array(*told)))
+
+
 # Class of a column, 0..3 constant base, 4 all missing, 5 variable.
 ALL_MISSING, VARIABLE = 4, 5
 

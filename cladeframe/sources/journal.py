@@ -32,6 +32,18 @@ def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     return rows
 
 
+def compact(events: DataFrame) -> DataFrame:
+    """Events with finite scalars only and the mean of the selected gains.
+
+    ``scalars`` is map<string, double>, ``gains`` array<double>; the lists
+    that a search carries never reach the journal.
+    """
+    finite = F.map_filter("scalars", lambda _, v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) != float("inf")))
+    mean = F.aggregate("gains", F.lit(0.0), lambda a, g: a + g) / F.size("gains")
+    return events.withColumn("scalars", finite).withColumn(
+        "mean_gain", F.when(F.size("gains") > 0, mean)).drop("gains")
+
+
 def plateaus(steps: DataFrame, tolerance: float, window: int = 8) -> DataFrame:
     """Adds ``plateau``: the last ``window`` steps moved the objective by at most
     ``tolerance`` in total and every state in them occurred at least twice.
