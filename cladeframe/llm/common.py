@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from cladeframe.session import ship_package
+
 UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ROW = "__cladeframe_row__"  # helper column beside columns of any other name
 SLICE_BYTES = 1 << 20  # documents are taken together up to this size; a longer one is taken whole, alone
@@ -19,6 +21,14 @@ def table(spark: SparkSession, folder: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{folder}/{name}.parquet")
 
 
+def prepare(spark: SparkSession, rows: int = 1000) -> None:
+    """Give Python workers this package, and batches of fewer rows than Spark's default, as texts are long."""
+    ship_package(spark)
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key)) > rows:
+        spark.conf.set(key, rows)
+
+
 def row_key(*columns: str) -> Column:
     """64-bit identity of a row's content; nulls take part."""
     return F.xxhash64(*[F.struct(F.col(c).isNull(), F.col(c)) for c in columns])

@@ -19,8 +19,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import LOWER, UPPER, Rolling, mix, row_key, text_slices, word_bounds
-from cladeframe.session import cut, ship_package
+from cladeframe.llm.common import LOWER, UPPER, Rolling, mix, prepare, row_key, text_slices, word_bounds
+from cladeframe.session import cut
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 SHINGLE = 3
@@ -146,7 +146,7 @@ def _scan(docs: DataFrame, bits, sizes: list[int], reach: int, counts: bool) ->
 def contamination(docs: DataFrame, items: DataFrame, window: int = 10) -> DataFrame:
     """(row, doc_id, n_words, n_hit, n_items, items_sha256, contaminated) of every document."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     texts = docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     pairs = cut(windows(items, window).withColumn("wid", F.md5(F.array_join("words", " "))))
     parts = pairs.select("wid", "words").distinct().select("wid", "words", F.explode(_shingles("words")).alias("s")).select("wid", "words", "s.*")

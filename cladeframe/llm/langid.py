@@ -20,8 +20,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import LOWER, row_key, slices_of
-from cladeframe.session import ship_package
+from cladeframe.llm.common import LOWER, prepare, row_key, slices_of
 
 UNKNOWN = "und"
 WIDTHS = (256, 1 << 13, 1 << 14)  # buckets for n = 1, 2, 3
@@ -88,7 +87,7 @@ class Model:
 def fit(docs: DataFrame, per_language: int = 200, landmarks: int = 32) -> Model:
     """Learn from (doc_id, text, lang); rows that ``learned`` excludes are not read."""
     spark = docs.sparkSession
-    ship_package(spark)
+    prepare(spark)
     known = docs.where(learned(docs) & F.col("lang").isNotNull() & F.col("text").isNotNull()).select(
         "lang", "text", row_key("doc_id", "text").alias("row"))
     sizes = known.groupBy("lang").count()

@@ -21,8 +21,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import spread_rank
-from cladeframe.session import cut, ship_package
+from cladeframe.llm.common import prepare, spread_rank
+from cladeframe.session import cut
 
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
@@ -62,7 +62,7 @@ def pieces(docs: DataFrame, ranks: str, width: int = 2048, closing: int = 0) ->
             yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)],
                                              names=["doc_id", "piece", "start", "length", "ids_crc32"])
 
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(run, PIECES)
 
 

@@ -31,8 +31,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import Rolling, mix, slices_of
-from cladeframe.session import cut, ship_package
+from cladeframe.llm.common import Rolling, mix, prepare, slices_of
+from cladeframe.session import cut
 
 U1, U2, SPANS = "__cladeframe_u1__", "__cladeframe_u2__", "__cladeframe_spans__"
 GRAM = 32
@@ -327,21 +327,20 @@ def merge_parts(runs: DataFrame, window: int, most: int = GROUP) -> DataFrame:
         merge, "run long, name long, first long, last long, hash long, gram long")
 
 
-def identified(docs: DataFrame, *scope: str) -> DataFrame:
+def identified(docs: DataFrame, *scope: str, text: str = "text") -> DataFrame:
     """Add the 128-bit identity of the text (and of the ``scope`` columns) as U1, U2."""
-    text = F.coalesce(F.col("text"), F.lit(""))
+    text = F.coalesce(F.col(text), F.lit(""))
     return docs.withColumns({U1: F.xxhash64(*scope, text), U2: F.xxhash64(F.octet_length(text), F.lit("second"), *scope, text)})
 
 
-def repeated_spans(texts: DataFrame, window: int = 200, most: int = GROUP) -> DataFrame:
+def repeated_spans(texts: DataFrame, window: int, total: int, most: int = GROUP) -> DataFrame:
     """(U1, U2, SPANS): byte intervals covered by windows that occur elsewhere in texts of the same scope.
 
-    Takes (U1, U2, scope, text); texts without such windows are left out.
+    Takes (U1, U2, scope, text) of about ``total`` bytes; texts without such windows are left out.
     """
     spark = texts.sparkSession
-    ship_package(spark)
+    prepare(spark)
     texts = texts.select(F.col(U1).alias("u1"), F.col(U2).alias("u2"), "scope", "text")
-    total = texts.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // PART_BYTES)
     bits = spark.sparkContext.broadcast(gram_filter(repeated_grams(texts, window)))
     runs = cut(sorted_runs(texts, bits, parts, window))
@@ -359,7 +358,8 @@ def repeated_spans(texts: DataFrame, window: int = 200, most: int = GROUP) -> Da
 
 def _document_spans(docs: DataFrame, window: int, most: int = GROUP) -> DataFrame:
     named = identified(docs.select("text")).withColumn("scope", F.lit(0).cast("long"))
-    return repeated_spans(named, window, most)
+    total = docs.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    return repeated_spans(named, window, total, most)
 
 
 def joined(spans: list | None) -> list[tuple[int, int]]:

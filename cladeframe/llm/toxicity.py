@@ -24,9 +24,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import LOWER, Rolling, text_slices, word_bounds
+from cladeframe.llm.common import LOWER, Rolling, prepare, text_slices, word_bounds
 from cladeframe.llm.decontam import IS_WORD
-from cladeframe.session import cut, ship_package
+from cladeframe.session import cut
 
 BUCKET_BITS = 18
 PRIOR = 0.02  # weight of the prior, in words for each labelled word
@@ -181,7 +181,7 @@ def score(docs: DataFrame, labels: DataFrame, per_class: int = 20_000, threshold
     ``passages`` lists the significant ones: first word, word after the last,
     score, and the number of passages as high that chance would give.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     texts = docs.select("doc_id", "text")
     chosen = training_labels(labels.select("doc_id", "toxic"), per_class)
     weights, scale = word_scores(word_counts(texts, chosen))
