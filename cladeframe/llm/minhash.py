@@ -25,9 +25,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import LOWER, ROW, Rolling, mix, row_key, text_slices, word_bounds
+from cladeframe.llm.common import LOWER, ROW, Rolling, mix, prepare, row_key, text_slices, word_bounds
 from cladeframe.llm.graph import components
-from cladeframe.session import cut, empty, ship_package
+from cladeframe.session import cut, empty
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[0x20] = IS_WORD[0x09:0x0E] = False
@@ -122,37 +122,42 @@ def verify(pairs: DataFrame, texts: DataFrame, size: int, percent: int) -> DataF
 
 
 def hashed_sets(texts: DataFrame, size: int) -> DataFrame:
-    """(node, members): the distinct shingle hashes of every text."""
+    """(node, members): the distinct shingle hashes of every text, in 32 bits."""
     def run(batches):
         for batch in batches:
             for first, last, octets, offsets in text_slices(batch, "text"):
                 hashes, rows = shingle_hashes(octets, offsets, size)
-                order = np.lexsort((hashes, rows))
-                hashes, rows = hashes[order], rows[order]
-                fresh = np.ones(len(rows), bool)
-                fresh[1:] = (hashes[1:] != hashes[:-1]) | (rows[1:] != rows[:-1])
-                ends = np.concatenate(([0], np.cumsum(np.bincount(rows[fresh], minlength=last - first))))
+                member = np.unique((rows.astype(np.uint64) << np.uint64(32)) | (hashes >> np.uint64(32)))
+                ends = np.concatenate(([0], np.cumsum(np.bincount((member >> np.uint64(32)).astype(np.int64), minlength=last - first))))
+                short = (member & np.uint64(2**32 - 1)).astype(np.uint32).view(np.int32)
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).slice(first, last - first),
-                    pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(hashes[fresh].view(np.int64)))], names=["node", "members"])
+                    batch.column(0).slice(first, last - first), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(short))], names=["node", "members"])
 
-    return texts.select("node", "text").mapInArrow(run, "node long, members array<long>")
+    return texts.select("node", "text").mapInArrow(run, "node long, members array<int>")
 
 
 def remaining_links(open_: DataFrame, classes: DataFrame, texts: DataFrame, size: int, percent: int, groups: int) -> DataFrame:
-    """All (x, y) of open nodes in different components that share a table key and whose sets are alike."""
-    nodes = open_.select("node", "root").distinct()
+    """All (x, y) of open nodes in different components that share a table key and whose sets may be alike.
+
+    Nodes meet on the keys of one collection that lead to open buckets, each
+    pair at the first key it shares. Shingles of one set may fall together in
+    32 bits, so the common ones are bounded from above; a link is never missed.
+    """
+    nodes = open_.select("node", "root").distinct().join(
+        classes.select("node", "n_shingles", F.slice("keys", 1, groups).alias("a"), F.slice("keys", groups + 1, groups).alias("b")), "node")
+    crossed = nodes.select("node", "b", F.explode("a").alias("key")).select("node", "key", F.explode("b").alias("_b"))
+    leading = crossed.withColumn("bucket", F.xxhash64("key", "_b")).join(open_.select("bucket").distinct(), "bucket", "left_semi").select("node", "key").distinct()
     sets = hashed_sets(texts.join(nodes.select("node"), "node", "left_semi"), size)
-    wide = nodes.join(classes.select("node", "n_shingles", F.slice("keys", 1, groups).alias("a"), F.slice("keys", groups + 1, groups).alias("b")), "node").join(sets, "node")
-    rows = cut(wide.select("node", "root", "n_shingles", "a", "b", "members", F.posexplode("a").alias("at", "key")))
-    other = rows.select("key", *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n_shingles", "a", "b", "members")])
+    rows = cut(leading.join(nodes.join(sets, "node"), "node"))
+    other = rows.select(F.col("key").alias("other_key"), *[F.col(c).alias(f"other_{c}") for c in ("node", "root", "n_shingles", "a", "b", "members")])
     both = F.col("n_shingles") + F.col("other_n_shingles")
-    first_shared = F.array_position(F.zip_with("a", "other_a", lambda p, q: p == q), True) == F.col("at") + 1
+    first_shared = F.element_at(F.array_intersect("a", "other_a"), 1) == F.col("key")
+    common = F.size(F.array_intersect("members", "other_members")) + F.col("n_shingles") - F.size("members")
     alike = (F.col("node") < F.col("other_node")) & (F.col("root") != F.col("other_root"))
     alike &= 100 * F.least("n_shingles", "other_n_shingles") >= percent * F.greatest("n_shingles", "other_n_shingles")
     alike &= first_shared & F.arrays_overlap("b", "other_b")
-    alike &= (100 + percent) * F.size(F.array_intersect("members", "other_members")) >= percent * both
-    return rows.join(other, (rows["key"] == other["key"]) & alike).select(F.col("node").alias("x"), F.col("other_node").alias("y"))
+    alike &= (100 + percent) * common >= percent * both
+    return rows.join(other, (F.col("key") == F.col("other_key")) & alike).select(F.col("node").alias("x"), F.col("other_node").alias("y"))
 
 
 def links(classes: DataFrame, docs: DataFrame, size: int, percent: int, groups: int, rounds: int) -> tuple[DataFrame | None, DataFrame | None]:
@@ -203,7 +208,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: i
     A pair at the limit of 80 percent shares a table key with probability
     (1 - (1 - 0.8 ** width) ** groups) ** 2, 0.9993 at the defaults.
     """
-    ship_package(docs.sparkSession)
+    prepare(docs.sparkSession)
     texts = docs.select(row_key("doc_id", "text").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), "text")
     drawn = cut(sketches(texts, size, groups, width))
     sets = drawn.where("n_shingles > 0")
