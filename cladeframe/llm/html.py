@@ -26,8 +26,9 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.llm import suffix
+from cladeframe.llm.common import prepare
 from cladeframe.llm.urls import split_url
-from cladeframe.session import ship_package
+from cladeframe.session import cut
 
 # Elements of HTML and the words that sites use to name parts of a page.
 RAW = "script|style|noscript|template|textarea|title|iframe|object|svg|math|canvas|audio|video|select|datalist"
@@ -132,30 +133,49 @@ def blocks(html: str) -> tuple[list[str], bool]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, text, marked, ends) of every page; ``ends`` are the byte ends of the blocks in the text."""
+    """(page_id, url, host, text, marked, ends) of every page; ``ends`` are the byte ends of the blocks of unmarked pages."""
     def run(batches):
         for batch in batches:
-            for a in range(0, batch.num_rows, 256):
-                part = batch.slice(a, 256)
-                texts, marks, ends = [], [], []
-                for page in part.column(3):
-                    found, marked = blocks(page.as_py() or "")
-                    texts.append(" ".join(found))
-                    marks.append(marked)
-                    at, own = -1, []
-                    for t in [] if marked else found:
-                        at += len(t.encode()) + 1
-                        own.append(at)
-                    ends.append(own)
-                yield pa.RecordBatch.from_arrays([
-                    *part.columns[:3], pa.array(texts, pa.string()), pa.array(marks, pa.bool_()), pa.array(ends, pa.list_(pa.int64()))],
-                    names=["page_id", "url", "host", "text", "marked", "ends"])
+            texts, marks, ends = [], [], []
+            for page in batch.column(3):
+                found, marked = blocks(page.as_py() or "")
+                texts.append(" ".join(found))
+                marks.append(marked)
+                at, own = -1, []
+                for t in [] if marked else found:
+                    at += len(t.encode()) + 1
+                    own.append(at)
+                ends.append(own)
+            yield pa.RecordBatch.from_arrays([
+                *batch.columns[:3], pa.array(texts, pa.string()), pa.array(marks, pa.bool_()), pa.array(ends, pa.list_(pa.int64()))],
+                names=["page_id", "url", "host", "text", "marked", "ends"])
 
     split = split_url(pages.select("page_id", "url", "html")).select("page_id", "url", "host", "html")
     kinds = dict(pages.dtypes)
     return split.mapInArrow(run, f"page_id {kinds['page_id']}, url string, host string, text string, marked boolean, ends array<long>")
 
 
+def streamed(pages: DataFrame) -> DataFrame:
+    """(host, name, text) of every page: its stream, and the text that names the page among those of its host.
+
+    Blocks that the page has had before are void in the stream, and as long.
+    """
+    def run(batches):
+        for batch in batches:
+            names, texts = [], []
+            for page in batch.column(1):
+                found, _ = blocks(page.as_py() or "")
+                names.append(" ".join(found))
+                seen, parts = set(), []
+                for t in found:
+                    parts.append("\0" * len(t.encode()) if t in seen else t)
+                    seen.add(t)
+                texts.append(" ".join(parts))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["host", "name", "text"])
+
+    return split_url(pages.select("url", "html")).select("host", "html").mapInArrow(run, "host string, name string, text string")
+
+
 def _unique(text: pa.Array, ends: pa.Array, spans: pa.Array) -> pa.Array:
     """The blocks of which less than half is repeated; all blocks of a page that is repeated nearly whole."""
     out = []
@@ -174,31 +194,14 @@ def _unique(text: pa.Array, ends: pa.Array, spans: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
-def _once(text: pa.Array, ends: pa.Array) -> pa.Array:
-    """The text with blocks that the page has had before made void, of the same length."""
-    out = []
-    for t, e in zip(text, ends):
-        own, value = e.as_py(), t.as_py()
-        if len(own) > 1:
-            octets, seen, low, parts = value.encode(), set(), 0, []
-            for high in own:
-                block = octets[low:high]
-                parts.append(b"\0" * len(block) if block in seen else block)
-                seen.add(block)
-                low = high + 1
-            value = b" ".join(parts).decode()
-        out.append(value)
-    return pa.array(out, pa.string())
-
-
-def main_text(pages: DataFrame, window: int = 100) -> DataFrame:
+def main_text(pages: DataFrame, window: int = 200) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
-    ship_package(pages.sparkSession)
+    prepare(pages.sparkSession)
+    stream = suffix.identified(streamed(pages), "host", text="name").select(suffix.U1, suffix.U2, F.xxhash64("host").alias("scope"), "text")
+    size = pages.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
+    spans = suffix.repeated_spans(stream, window, size)
     read = parsed(pages)
-    once = F.when(F.size("ends") > 1, F.arrow_udf(_once, "string")("text", "ends")).otherwise(F.col("text"))
-    stream = suffix.identified(read.select("host", F.col("text"), "marked", "ends"), "host").select(suffix.U1, suffix.U2, F.xxhash64("host").alias("scope"), once.alias("text"))
-    spans = suffix.repeated_spans(stream, window)
-    plain = read.where("marked").select("page_id", "url", "text")
-    rest = suffix.identified(read.where("NOT marked"), "host").join(spans, [suffix.U1, suffix.U2], "left")
+    # Few pages mark no article; only these carry their text to the spans.
+    rest = suffix.identified(cut(read.where("NOT marked")), "host").join(spans, [suffix.U1, suffix.U2], "left")
     chosen = rest.select("page_id", "url", F.arrow_udf(_unique, "string")("text", "ends", suffix.SPANS).alias("text"))
-    return plain.union(chosen).withColumn("n_chars", F.char_length("text").cast("long"))
+    return read.where("marked").select("page_id", "url", "text").union(chosen).withColumn("n_chars", F.char_length("text").cast("long"))
