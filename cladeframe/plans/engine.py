@@ -8,10 +8,11 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe import config
-from cladeframe.functions import scorers
+from cladeframe.functions import evidence as evidence_weights
+from cladeframe.functions import models, scorers
 from cladeframe.functions.encode import WORD
 from cladeframe.operators import quartets, sites, trees
-from cladeframe.plans import joining, placement, refine
+from cladeframe.plans import joining, likelihood_search, placement, refine
 from cladeframe.session import cut
 from cladeframe.sources import alignments, manifest, newick
 
@@ -22,8 +23,8 @@ def infer(spark: SparkSession, source: str, out: str, task: str, *, settings: di
     """Infer a tree and write ``newick``, ``edges`` and ``support`` tables under ``out``.
 
     Parameter tables of trained scorers may be given; without them the
-    synthetic defaults are used. The likelihood stage of gene trees is not
-    part of this run, see the README.
+    synthetic defaults are used. Gene trees end with the likelihood stage: a
+    model fit, verified interchanges, branch lengths and edge support.
     """
     settings = config.normalize(settings, task)
     if task == "gene" and loci is not None:
@@ -46,7 +47,7 @@ def infer(spark: SparkSession, source: str, out: str, task: str, *, settings: di
     if loci is not None:
         regions = cut(manifest.boundaries(manifest.read_manifest(spark, loci)))
         manifest.check_tiling(regions, length)
-    history = []
+    history, labels = [], None
     for stage in (s for s in settings["stages"] if s["enabled"]):
         common = {"max_rounds": rounds or stage["max_rounds"],
                   "stop_ratio": stage["stop_ratio"] if stop_ratio is None else stop_ratio, "report": report}
@@ -65,22 +66,60 @@ def infer(spark: SparkSession, source: str, out: str, task: str, *, settings: di
         elif stage["id"] == "kernel":
             predict = refine.kernel_predictor(words, count, kernel or scorers.default_kernel(spark), regions)
             edges, evidence, steps = refine.kernel_nni(edges, n, predict, min_gain=stage["min_gain"], **common)
-        else:
-            steps = [{"stage": stage["id"], "skipped": True}]
+        elif stage["id"] == "likelihood":
+            patterns = likelihood_search.Patterns.of(cells, n)
+            parsed = models.parse_model(stage["model"])
+            mixture, fits = starting_mixture(cells, parsed), min(8, stage["optimizer_iterations"])
+            edges, _ = likelihood_search.fit_lengths(edges.withColumn("length", F.lit(START_LENGTH)), n, patterns, mixture, fits)
+            mixture, fitted = likelihood_search.fit_model(edges, n, patterns, mixture, parsed.classes, parsed.invariant, stage["optimizer_iterations"])
+            edges, steps = likelihood_search.likelihood_nni(edges, n, patterns, mixture, min_gain=stage["min_gain"], fit_rounds=fits, **common)
+            steps = [{"stage": "model", "rates": mixture.rates, "alpha": mixture.alpha, "invariant": mixture.invariant, "after": fitted}, *steps]
+            if support:
+                lls = likelihood_search.scan(edges, n, patterns, mixture)
+                weights = evidence_weights.local_weights([F.col(f"ll{t}") for t in range(3)])
+                labels = cut(lls.select("u", "v", weights[0].alias("support")))
         history += steps
-    write_tree(edges, n, names, out)
+    write_tree(edges, n, names, out, labels)
+    if labels is not None:
+        labels.write.parquet(f"{out}/support")
     if support and evidence is not None:
         inner = edges.where((F.col("u") >= n) & (F.col("v") >= n))
         quartets.species_support(inner, refine.classified_evidence(edges, n, evidence)).write.parquet(f"{out}/support")
-    result = {"task": task, "taxa": n, "sites": length, "history": history, "settings": settings}
+    result = {"task": task, "taxa": n, "sites": length, "history": history, "settings": settings, "quality": quality(history)}
     spark.createDataFrame([(json.dumps(result),)], "value string").coalesce(1).write.text(f"{out}/result")
     return result
 
 
-def write_tree(edges: DataFrame, n: int, names: DataFrame, out: str) -> None:
-    nodes = cut(trees.rooted(edges, n))
+START_LENGTH = 0.1
+
+
+def starting_mixture(cells: DataFrame, model: models.Model) -> likelihood_search.Mixture:
+    """Equal rates, shape one and a tenth of invariant sites where the model has them; observed base frequencies."""
+    shares = {r.state: r.share for r in sites.base_frequencies(cells).collect()}  # four rows
+    pi = [0.25] * 4 if model.frequencies == "equal" else [max(float(shares.get(k) or 0.0), 1e-6) for k in range(4)]
+    return likelihood_search.Mixture([p / sum(pi) for p in pi], alpha=1.0 if model.categories > 1 else None,
+                                     categories=model.categories, invariant=0.1 if model.invariant else 0.0)
+
+
+def quality(history: list[dict]) -> dict:
+    """Whether every search of the run came to its own end, and what stopped those that did not."""
+    last = {}
+    for step in history:
+        if "moves" in step:
+            last[step["stage"]] = step
+    stopped = {stage: step.get("stop", "rounds") for stage, step in last.items()}
+    early = {stage: why for stage, why in stopped.items() if why in ("rounds", "guard")}
+    return {"search_converged": not early, "stopped_by": stopped, "warnings": [f"{stage}: ended by {why}" for stage, why in early.items()]}
+
+
+def write_tree(edges: DataFrame, n: int, names: DataFrame, out: str, support: DataFrame | None = None) -> None:
+    """``edges`` may have lengths; ``support`` is (u, v, support) of inner edges."""
+    nodes = cut(trees.rooted(edges.select("u", "v"), n))
     edges.write.parquet(f"{out}/edges")
-    newick.to_newick(nodes, names).write.text(f"{out}/newick")
+    above = nodes.where("parent IS NOT NULL").select("node", F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"))
+    lengths = above.join(edges, ["u", "v"]).select("node", "length") if "length" in edges.columns else None
+    labels = None if support is None else above.where(F.col("node") >= n).join(support, ["u", "v"]).select("node", F.format_string("%.4f", "support").alias("label"))
+    newick.to_newick(nodes, names, lengths, labels).write.text(f"{out}/newick")
 
 
 def complete(edges: DataFrame, leaves: int, missing: list[int], predict, **options) -> tuple[DataFrame, list[dict]]:

@@ -66,7 +66,7 @@ def upward(nodes: DataFrame, leaf_cells: DataFrame, table: DataFrame, depth: int
     cats = table.select("cat").distinct()
     state = F.col("state")
     leaf = leaf_cells.join(nodes.select(F.col("node").alias("taxon"), "depth"), "taxon").select(
-        F.col("taxon").alias("node"), "depth", "pattern", *[F.when(state == i, 1.0).otherwise(0.0).alias(f"m{i}") for i in range(4)],
+        F.col("taxon").alias("node"), "depth", "pattern", *[F.when(state.isNull() | (state == i), 1.0).otherwise(0.0).alias(f"m{i}") for i in range(4)],
         F.lit(0.0).alias("log")).join(F.broadcast(cats))  # at most 17 rate categories
     leaf = cut(leaf)
     carried = None
@@ -148,7 +148,7 @@ def jc_steps(nodes: DataFrame, cells: DataFrame, lengths: DataFrame, depth: int,
         x = F.exp(-4 * F.col("length") / 3)
         dot = sum((F.col(f"d{i}") * F.col(f"m{i}") for i in range(1, 4)), F.col("d0") * F.col("m0"))
         sums = (F.col("d0") + F.col("d1") + F.col("d2") + F.col("d3")) * (F.col("m0") + F.col("m1") + F.col("m2") + F.col("m3"))
-        rows = up.join(down, ["node", "pattern"]).join(lengths, "node").join(weight.select("pattern", "weight"), "pattern")
+        rows = up.join(down, ["node", "pattern", "cat"]).join(lengths, "node").join(weight.select("pattern", "weight"), "pattern")
         rows = rows.withColumn("_off", (1 - x) * (sums - dot) / 4).withColumn("_all", x * dot + (1 - x) * sums / 4)
         moved = rows.groupBy("node").agg(F.sum(F.col("weight") * F.col("_off") / F.col("_all")).alias("_e"), F.sum("weight").alias("_w"))
         # Patterns without a message on one side keep the prior mismatch of the edge.
@@ -162,16 +162,17 @@ def jc_steps(nodes: DataFrame, cells: DataFrame, lengths: DataFrame, depth: int,
 
 
 def edge_messages(nodes: DataFrame, leaf_cells: DataFrame, table: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Values below (m, log) and above (d, dlog) every edge, for one category.
+    """Values below (m, log) and above (d, dlog) every edge, for every rate category.
 
-    ``up`` is (node, pattern, m0..m3, log), ``down`` (node, pattern, d0..d3,
-    dlog, root_child): what the rest of the tree says at the parent end.
+    ``up`` is (node, pattern, cat, m0..m3, log), ``down`` (node, pattern, cat,
+    d0..d3, dlog, root_child): what the rest of the tree says at the parent end.
     """
-    step = cut(table.join(nodes.select("node", "parent"), "node").drop("cat"))
+    step = cut(table.join(nodes.select("node", "parent"), "node"))
+    cats = F.broadcast(table.select("cat").distinct())  # at most 17 rate categories
     state = F.col("state")
-    one_hot = [F.when(state == i, 1.0).otherwise(0.0) for i in range(4)]
+    one_hot = [F.when(state.isNull() | (state == i), 1.0).otherwise(0.0) for i in range(4)]
     leaf = cut(leaf_cells.join(nodes.select(F.col("node").alias("taxon"), "depth"), "taxon").select(
-        F.col("taxon").alias("node"), "depth", "pattern", *[c.alias(f"m{i}") for i, c in enumerate(one_hot)], F.lit(0.0).alias("log")))
+        F.col("taxon").alias("node"), "depth", "pattern", *[c.alias(f"m{i}") for i, c in enumerate(one_hot)], F.lit(0.0).alias("log")).join(cats))
 
     def push(values: DataFrame, column: str) -> list:
         return [sum((F.col(f"p{i}{j}") * F.col(f"{column}{j}") for j in range(1, 4)), F.col(f"p{i}0") * F.col(f"{column}0"))
@@ -179,31 +180,31 @@ def edge_messages(nodes: DataFrame, leaf_cells: DataFrame, table: DataFrame, dep
 
     levels, carried = {}, None
     for level in range(depth, 0, -1):
-        here = leaf.where(F.col("depth") == level).select("node", "pattern", *M, "log")
+        here = leaf.where(F.col("depth") == level).select("node", "pattern", "cat", *M, "log")
         rows = cut(here if carried is None else here.unionByName(carried))
-        sent = cut(rows.join(step, "node").select("node", "parent", "pattern", *[c.alias(f"s{i}") for i, c in enumerate(push(rows, "m"))], "log"))
+        sent = cut(rows.join(step, ["node", "cat"]).select("node", "parent", "pattern", "cat", *[c.alias(f"s{i}") for i, c in enumerate(push(rows, "m"))], "log"))
         levels[level] = (rows, sent)
-        joined = sent.groupBy(F.col("parent").alias("node"), "pattern").agg(
+        joined = sent.groupBy(F.col("parent").alias("node"), "pattern", "cat").agg(
             *[F.product(f"s{i}").alias(f"m{i}") for i in range(4)], F.sum("log").alias("log"))
         scale = F.col("m0") + F.col("m1") + F.col("m2") + F.col("m3")
         carried = joined.withColumn("_s", scale).select(
-            "node", "pattern", *[(F.col(m) / F.col("_s")).alias(m) for m in M], (F.col("log") + F.ln("_s")).alias("log"))
+            "node", "pattern", "cat", *[(F.col(m) / F.col("_s")).alias(m) for m in M], (F.col("log") + F.ln("_s")).alias("log"))
     root = leaf_cells.where("taxon = 0").select(F.lit(0).cast("long").alias("parent"), "pattern",
-                                                *[c.alias(f"d{i}") for i, c in enumerate(one_hot)], F.lit(0.0).alias("dlog"))
+                                                *[c.alias(f"d{i}") for i, c in enumerate(one_hot)], F.lit(0.0).alias("dlog")).join(cats)
     above, down = root, []
     for level in range(1, depth + 1):
         rows, sent = levels[level]
-        mine = sent.select("node", "parent", "pattern", *[F.col(f"s{i}").alias(f"_own{i}") for i in range(4)], F.col("log").alias("_olog"))
-        together = sent.groupBy("parent", "pattern").agg(*[F.product(f"s{i}").alias(f"_all{i}") for i in range(4)], F.sum("log").alias("_alog"))
-        base = mine.join(together, ["parent", "pattern"]).join(above, ["parent", "pattern"], "left")
+        mine = sent.select("node", "parent", "pattern", "cat", *[F.col(f"s{i}").alias(f"_own{i}") for i in range(4)], F.col("log").alias("_olog"))
+        together = sent.groupBy("parent", "pattern", "cat").agg(*[F.product(f"s{i}").alias(f"_all{i}") for i in range(4)], F.sum("log").alias("_alog"))
+        base = mine.join(together, ["parent", "pattern", "cat"]).join(above, ["parent", "pattern", "cat"], "left")
         value = [F.coalesce(F.col(f"d{i}"), F.lit(1.0)) * F.when(F.col(f"_own{i}") > 0, F.col(f"_all{i}") / F.col(f"_own{i}")).otherwise(0.0)
                  for i in range(4)]
-        here = cut(base.select("node", "parent", "pattern", *[v.alias(f"d{i}") for i, v in enumerate(value)],
+        here = cut(base.select("node", "parent", "pattern", "cat", *[v.alias(f"d{i}") for i, v in enumerate(value)],
                                (F.coalesce("dlog", F.lit(0.0)) + F.col("_alog") - F.col("_olog")).alias("dlog")))
-        down.append(here.select("node", "pattern", "d0", "d1", "d2", "d3", "dlog", (F.col("parent") == 0).alias("root_child")))
+        down.append(here.select("node", "pattern", "cat", "d0", "d1", "d2", "d3", "dlog", (F.col("parent") == 0).alias("root_child")))
         pushed = [sum((F.col(f"p{i}{j}") * F.col(f"d{j}") for j in range(1, 4)), F.col(f"p{i}0") * F.col("d0")) for i in range(4)]
-        above = here.join(step.drop("parent"), "node").select(
-            F.col("node").alias("parent"), "pattern", *[c.alias(f"d{i}") for i, c in enumerate(pushed)], "dlog")
+        above = here.join(step.drop("parent"), ["node", "cat"]).select(
+            F.col("node").alias("parent"), "pattern", "cat", *[c.alias(f"d{i}") for i, c in enumerate(pushed)], "dlog")
     up = levels[depth][0]
     for level in range(depth - 1, 0, -1):
         up = up.unionByName(levels[level][0])
