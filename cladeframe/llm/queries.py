@@ -94,5 +94,20 @@ items AS (SELECT doc_id, count(*) AS n_items, string_agg(name, ',' ORDER BY name
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
        sha256(coalesce(names, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM d LEFT JOIN words USING (doc_id) LEFT JOIN items USING (doc_id)
+""",
+    "op10_suffixes": r"""
+WITH d AS (SELECT doc_id, hex(coalesce(text, '')) AS h, CAST(octet_length(encode(coalesce(text, ''))) AS BIGINT) AS n FROM documents),
+w AS (SELECT doc_id, p, md5(substr(h, 2 * p + 1, 400)) AS s FROM (SELECT doc_id, h, unnest(range(0, n - 199)) AS p FROM d WHERE n >= 200)),
+hit AS (SELECT doc_id, p FROM w WHERE s IN (SELECT s FROM w GROUP BY s HAVING count(*) > 1)),
+edge AS (SELECT doc_id, p, CASE WHEN p <= lag(p) OVER o + 200 THEN 0 ELSE 1 END AS fresh FROM hit WINDOW o AS (PARTITION BY doc_id ORDER BY p)),
+run AS (SELECT doc_id, p, sum(fresh) OVER (PARTITION BY doc_id ORDER BY p) AS r FROM edge),
+span AS (SELECT doc_id, r, min(p) AS a, max(p) + 200 AS b FROM run GROUP BY doc_id, r),
+cuts AS (SELECT doc_id, a, b FROM span UNION ALL SELECT doc_id, n, n FROM d),
+piece AS (SELECT c.doc_id, a, substr(h, 2 * coalesce(lag(b) OVER (PARTITION BY c.doc_id ORDER BY a, b), 0) + 1,
+                 2 * (a - coalesce(lag(b) OVER (PARTITION BY c.doc_id ORDER BY a, b), 0))) AS part FROM cuts c JOIN d USING (doc_id)),
+kept AS (SELECT doc_id, string_agg(part, '' ORDER BY a) AS t FROM piece GROUP BY doc_id),
+total AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
+SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(t)) AS kept_sha256
+FROM d LEFT JOIN total USING (doc_id) JOIN kept USING (doc_id)
 """,
 }
