@@ -257,7 +257,8 @@ ORACLES = {
     **{f"pair_distance_{m}": _PAIR + f"SELECT i, j, round({distance_sql(m)}, 6) AS distance FROM counted"
        for m in distance.MODELS},
     "triplet_counts": with_(CELLS, """
-g AS (SELECT k AS triplet, k % n AS a, (k + 1 + k // 8) % n AS b, (k + 3 + k // 4) % n AS c FROM (SELECT unnest(range(0, 32)) AS k), n_taxa)""") + """
+g AS (SELECT k AS triplet, k * n // 32 AS a, (k * n // 32 + greatest(1, n // 3)) % n AS b, (k * n // 32 + 2 * greatest(1, n // 3)) % n AS c
+      FROM (SELECT unnest(range(0, 32)) AS k), n_taxa)""") + """
 SELECT triplet, count(z.site) AS sites, count(CASE WHEN x.state = y.state AND z.site IS NOT NULL THEN 1 END) AS ab,
   count(CASE WHEN x.state = z.state THEN 1 END) AS ac, count(CASE WHEN y.state = z.state THEN 1 END) AS bc,
   count(CASE WHEN x.state = y.state AND x.state = z.state THEN 1 END) AS abc

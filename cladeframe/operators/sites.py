@@ -246,14 +246,13 @@ def assign_loci(cells: DataFrame, loci: DataFrame, block: int = 4096) -> DataFra
     """Locus of every cell for half-open intervals [start, end).
 
     Each interval is listed once per site block it touches, so the range
-    condition becomes an equality on the block.
+    condition becomes an equality on the block. A cell outside all loci is an
+    error, not a loss.
     """
     touched = loci.where(F.col("end") > F.col("start")).select(
         "locus", "start", "end",
-        F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("_block"))
-    return (
-        cells.withColumn("_block", F.floor(F.col("site") / block))
-        .join(touched, "_block")
-        .where((F.col("site") >= F.col("start")) & (F.col("site") < F.col("end")))
-        .drop("_block", "start", "end")
-    )
+        F.explode(F.sequence(F.floor(F.col("start") / block), F.floor((F.col("end") - 1) / block))).alias("_at"))
+    inside = (F.col("_block") == F.col("_at")) & (F.col("site") >= F.col("start")) & (F.col("site") < F.col("end"))
+    placed = cells.withColumn("_block", F.floor(F.col("site") / block)).join(touched, inside, "left")
+    lost = F.raise_error(F.concat(F.lit("site outside all loci: "), F.col("site").cast("string")))
+    return placed.withColumn("locus", F.coalesce("locus", lost.cast(loci.schema["locus"].dataType))).drop("_block", "_at", "start", "end")
