@@ -6,7 +6,7 @@ Two small collections of ``groups`` hashes are computed, each hash made of
 minima. Documents with the same set of shingles are one class from the start.
 
 A bucket never emits all its pairs: in each round its classes are compared
-with one pivot, and linked classes merge; a bucket whose classes are all in
+with one pivot or a few, and linked classes merge; a bucket whose classes are all in
 one component is done. The classes of buckets that are then still open meet on
 the hashes of one collection, each pair at the first hash they share, and the
 join itself compares their sets, so no candidate is left out and only links
@@ -160,7 +160,7 @@ def remaining_links(open_: DataFrame, classes: DataFrame, texts: DataFrame, size
     return rows.join(other, (F.col("key") == F.col("other_key")) & alike).select(F.col("node").alias("x"), F.col("other_node").alias("y"))
 
 
-def links(classes: DataFrame, docs: DataFrame, size: int, percent: int, groups: int, rounds: int) -> tuple[DataFrame | None, DataFrame | None]:
+def links(classes: DataFrame, docs: DataFrame, size: int, percent: int, groups: int, pivots: tuple[int, ...]) -> tuple[DataFrame | None, DataFrame | None]:
     """(confirmed (x, y) links that span all components, (node, root)); None where no two classes share a table key.
 
     ``classes`` holds (node, n_shingles, keys, row).
@@ -181,18 +181,24 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int, groups:
     alike = (100 * F.least("n_shingles", "other_n") >= percent * F.greatest("n_shingles", "other_n")) & (F.col("root") != F.col("other_root"))
 
     found, roots = None, None
-    for r in range(rounds + 1):
-        if r == rounds:
+    seed = 0
+    for r, several in enumerate((*pivots, 0)):
+        if not several:
             pairs = cut(remaining_links(open_, classes, texts, size, percent, groups))
         else:
-            pivot = open_.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(r)).alias("h"), "node", "n_shingles", "root")).alias("p"))
-            pairs = (open_.join(pivot.select("bucket", "p.h", F.col("p.node").alias("other"), F.col("p.n_shingles").alias("other_n"), F.col("p.root").alias("other_root")), "bucket")
-                     .where(alike).groupBy("node").agg(F.min(F.struct("h", "other"))["other"].alias("other")))
+            # Each seed names one class of every bucket its pivot; a class is compared with one pivot a seed.
+            seeds = range(seed, seed + several)
+            seed += several
+            named = open_.groupBy("bucket").agg(F.array(*[F.min(F.struct(
+                F.xxhash64("node", F.lit(k)).alias("h"), F.lit(k).alias("seed"), F.col("node").alias("other"), F.col("n_shingles").alias("other_n"),
+                F.col("root").alias("other_root"))) for k in seeds]).alias("p"))
+            pairs = (open_.join(named, "bucket").select("node", "n_shingles", "root", F.explode("p").alias("p")).select("node", "n_shingles", "root", "p.*")
+                     .where(alike).groupBy("node", "seed").agg(F.min(F.struct("h", "other"))["other"].alias("other")))
             pairs = cut(pairs.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct())
         fresh = cut(verify(pairs, texts, size, percent))
         found = fresh if found is None else found.union(fresh)
         roots = cut(components(found))
-        if r == rounds:
+        if r == len(pivots):
             break
         placed = open_.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         left = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
@@ -202,7 +208,8 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int, groups:
     return found, roots
 
 
-def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: int = 15, width: int = 4, rounds: int = 3) -> DataFrame:
+def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: int = 15, width: int = 4,
+                    pivots: tuple[int, ...] = (1, 1, 4, 8)) -> DataFrame:
     """(row, doc_id, n_shingles, root, component_id, kept) of every document.
 
     A pair at the limit of 80 percent shares a table key with probability
@@ -214,7 +221,7 @@ def near_duplicates(docs: DataFrame, size: int = 5, percent: int = 80, groups: i
     sets = drawn.where("n_shingles > 0")
     classes = cut(sets.groupBy("node").agg(
         F.min(F.struct("row", "n_shingles", "keys")).alias("first"), F.min("doc_id").alias("least")).select("node", "first.*", "least"))
-    _, roots = links(classes, texts, size, percent, groups, rounds)
+    _, roots = links(classes, texts, size, percent, groups, pivots)
     named = classes.select("node", "least")
     if roots is not None:
         rooted = named.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))

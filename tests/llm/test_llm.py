@@ -112,7 +112,7 @@ def test_open_buckets_are_settled_pair_by_pair(spark):
     # A chain: neighbours are alike, ends are not, so one pivot cannot settle the bucket.
     words = [f"w{i}" for i in range(140)]
     rows = [(i, " ".join(words[5 * i:5 * i + 80])) for i in range(12)]
-    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1, rounds=0).collect()
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=1, pivots=()).collect()
     assert {r["component_id"] for r in got} == {0}
 
 
