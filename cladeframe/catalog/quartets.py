@@ -216,7 +216,7 @@ def _quartets(k: int) -> list[str]:
             "quartet AS MATERIALIZED (SELECT q[1] AS q0, q[2] AS q1, q[3] AS q2, q[4] AS q3 FROM panel_q)"]
 
 
-def _joint(obs: str) -> str:
+def joint_sites(obs: str) -> str:
     """Jointly observed sites, one materialised join per taxon."""
     return f"""
 seen AS MATERIALIZED (SELECT taxon, site, state FROM {obs}),
@@ -273,20 +273,30 @@ score AS MATERIALIZED (SELECT q0, q1, q2, q3, max(CASE WHEN t = 0 THEN s END) AS
                  max(CASE WHEN t = 2 THEN s END) AS s2 FROM kern GROUP BY ALL)"""
 
 
-_SCORED = [*_quartets(2), _joint("obs"), _ORBIT, _barycenter("0"), _kernel_sql()]
+def network_ctes() -> str:
+    """Class probabilities of the default network over ``quartet`` and ``joint``, as exponentials e0, e1, e2."""
+    return """
+support AS (SELECT q0, q1, q2, q3, count(*) AS n, sum((s0 = s1 AND s2 = s3 AND s0 <> s2)::INT) / count(*)::DOUBLE AS f0,
+  sum((s0 = s2 AND s1 = s3 AND s0 <> s1)::INT) / count(*)::DOUBLE AS f1,
+  sum((s0 = s3 AND s1 = s2 AND s0 <> s1)::INT) / count(*)::DOUBLE AS f2 FROM joint GROUP BY ALL),
+ex AS (SELECT quartet.*, exp(40 * coalesce(f0, 0)) AS e0, exp(40 * coalesce(f1, 0)) AS e1, exp(40 * coalesce(f2, 0)) AS e2
+       FROM quartet LEFT JOIN support USING (q0, q1, q2, q3))"""
+
+
+_SCORED = [*_quartets(2), joint_sites("obs"), _ORBIT, _barycenter("0"), _kernel_sql()]
 
 
 def _rank(x: str) -> str:
     return "(" + " + ".join(f"({x} > {o})::INT" for o in ("x0", "x1", "x2", "x3")) + ")"
 
 
-def _class(y: str) -> str:
+def class_score(y: str) -> str:
     low, high = f"least({_rank('x0')}, {_rank(y)})", f"greatest({_rank('x0')}, {_rank(y)})"
     return (f"CASE ({low}) * 10 + {high} WHEN 1 THEN s0 WHEN 23 THEN s0 WHEN 2 THEN s1 WHEN 13 THEN s1 ELSE s2 END")
 
 
 _MAPPED = f"""
-mapped AS (SELECT u, v, x0, x1, x2, x3, {_class('x1')} AS t0, {_class('x2')} AS t1, {_class('x3')} AS t2
+mapped AS (SELECT u, v, x0, x1, x2, x3, {class_score('x1')} AS t0, {class_score('x2')} AS t1, {class_score('x3')} AS t2
   FROM panel JOIN score ON [q0, q1, q2, q3] = list_sort([x0, x1, x2, x3]))"""
 _MERGED = _panel(1, "first") + """,
 merged AS MATERIALIZED (SELECT q0, q1, q2, q3, s0, s1, s2, [q0, q1, q2, q3] NOT IN (SELECT q FROM first_q) AS is_new FROM score),
@@ -305,19 +315,14 @@ gains AS (SELECT u, v, sum(w1 - w0) AS gain1, sum(w2 - w0) AS gain2, count(*) AS
 _CLASSIFIED = [*_SCORED, _MERGED]
 
 ORACLES = {
-    "quartet_hist256": with_(*_quartets(2), _joint("obs"), recursive=True) + """
+    "quartet_hist256": with_(*_quartets(2), joint_sites("obs"), recursive=True) + """
 SELECT q0, q1, q2, q3, ((s0 * 4 + s1) * 4 + s2) * 4 + s3 AS pattern, count(*) AS n FROM joint GROUP BY ALL""",
-    "block_histogram": with_(*_quartets(1), _joint("obs"), recursive=True) + """
+    "block_histogram": with_(*_quartets(1), joint_sites("obs"), recursive=True) + """
 SELECT q0, q1, q2, q3, site % 4 AS block, ((s0 * 4 + s1) * 4 + s2) * 4 + s3 AS pattern, count(*) AS n FROM joint GROUP BY ALL""",
-    "quartet_orbits15": with_(*_quartets(2), _joint("obs"), _ORBIT, recursive=True) + """
+    "quartet_orbits15": with_(*_quartets(2), joint_sites("obs"), _ORBIT, recursive=True) + """
 SELECT q0, q1, q2, q3, orbit, count(*) AS n FROM orbited GROUP BY ALL""",
     "kernel_scores": with_(*_SCORED, recursive=True) + "SELECT q0, q1, q2, q3, round(s0, 6) AS s0, round(s1, 6) AS s1, round(s2, 6) AS s2 FROM score",
-    "network_scores": with_(*_quartets(2), _joint("obs"), """
-support AS (SELECT q0, q1, q2, q3, count(*) AS n, sum((s0 = s1 AND s2 = s3 AND s0 <> s2)::INT) / count(*)::DOUBLE AS f0,
-  sum((s0 = s2 AND s1 = s3 AND s0 <> s1)::INT) / count(*)::DOUBLE AS f1,
-  sum((s0 = s3 AND s1 = s2 AND s0 <> s1)::INT) / count(*)::DOUBLE AS f2 FROM joint GROUP BY ALL),
-ex AS (SELECT quartet.*, exp(40 * coalesce(f0, 0)) AS e0, exp(40 * coalesce(f1, 0)) AS e1, exp(40 * coalesce(f2, 0)) AS e2
-       FROM quartet LEFT JOIN support USING (q0, q1, q2, q3))""", recursive=True) + """
+    "network_scores": with_(*_quartets(2), joint_sites("obs"), network_ctes(), recursive=True) + """
 SELECT q0, q1, q2, q3, round(e0 / (e0 + e1 + e2), 6) AS s0, round(e1 / (e0 + e1 + e2), 6) AS s1, round(e2 / (e0 + e1 + e2), 6) AS s2 FROM ex""",
     "class_remap": with_(*_SCORED, _MAPPED, recursive=True) + "SELECT u, v, x0, x1, x2, x3, round(t0, 6) AS t0, round(t1, 6) AS t1, round(t2, 6) AS t2 FROM mapped",
     "edge_quartet_mean": with_(*_SCORED, _MAPPED, recursive=True) + """
@@ -370,7 +375,7 @@ _REGIONS = """
 quartet AS (SELECT CAST(a.r_regionkey AS BIGINT) AS q0, CAST(b.r_regionkey AS BIGINT) AS q1, CAST(c.r_regionkey AS BIGINT) AS q2,
   CAST(d.r_regionkey AS BIGINT) AS q3 FROM region a JOIN region b ON b.r_regionkey > a.r_regionkey
   JOIN region c ON c.r_regionkey > b.r_regionkey JOIN region d ON d.r_regionkey > c.r_regionkey)"""
-_BY_LOCUS = [ORDER_CELLS, LOCI, _REGIONS, _joint("oobs"), _ORBIT.replace("FROM joint", "FROM joint JOIN locus ON site >= stop - len AND site < stop")]
+_BY_LOCUS = [ORDER_CELLS, LOCI, _REGIONS, joint_sites("oobs"), _ORBIT.replace("FROM joint", "FROM joint JOIN locus ON site >= stop - len AND site < stop")]
 ORACLES["locus_orbits"] = with_(*_BY_LOCUS) + "SELECT q0, q1, q2, q3, locus, orbit, count(*) AS n FROM orbited GROUP BY ALL"
 ORACLES["locus_barycenter"] = with_(*_BY_LOCUS, _barycenter("locus")) + f"""
 SELECT q0, q1, q2, q3, {_wide()} FROM feature GROUP BY ALL"""
