@@ -14,15 +14,14 @@ CHUNK = 1 << 16  # sites per exploded piece of a sequence row
 
 
 def chunks(rows: DataFrame, size: int = CHUNK) -> DataFrame:
-    """(taxon, at, piece): pieces of whole sequences; long rows spread over tasks."""
-    count = F.greatest(F.ceil(F.length("sequence") / size), F.lit(0)).cast("int")
-    return (
-        rows.where(F.length("sequence") > 0)
-        .select("taxon", encode.clean(F.col("sequence")).alias("sequence"), count.alias("_n"))
-        .select("taxon", "sequence", F.explode(F.sequence(F.lit(0), F.col("_n") - 1)).alias("_c"))
-        .select("taxon", (F.col("_c") * size).cast("long").alias("at"),
-                F.expr(f"substring(sequence, _c * {size} + 1, {size})").alias("piece"))
-    )
+    """(taxon, at, piece): pieces of whole sequences, dealt over tasks by taxon and place.
+
+    One pass cuts a sequence; only its pieces go on, so a long row costs what
+    its length costs and is encoded by many tasks.
+    """
+    pieces = rows.select("taxon", F.posexplode(F.regexp_extract_all("sequence", F.lit(f"(?s).{{1,{size}}}"), F.lit(0))).alias("_c", "_p"))
+    return pieces.repartition("taxon", "_c").select(
+        "taxon", (F.col("_c").cast("long") * size).alias("at"), encode.clean(F.col("_p")).alias("piece"))
 
 
 def cells_of(rows: DataFrame) -> DataFrame:

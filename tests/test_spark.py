@@ -190,3 +190,26 @@ def test_ladders_have_a_text(spark):
     text = to_newick(nodes, names).first().newick
     assert len(parse_newick(text)) == len(ladder) == 2 * n - 3
     assert text.count("(") == text.count(")") == n - 2
+
+
+def test_sparse_joining_rounds_find_cherries(spark):
+    import numpy as np
+    from cladeframe.plans import joining
+
+    rng, n, length = np.random.default_rng(5), 16, 400
+
+    def evolve(states, share):
+        return np.where(rng.random(length) < share, rng.integers(0, 4, length), states)
+
+    level = [rng.integers(0, 4, length)]
+    while len(level) < n:
+        level = [evolve(s, 0.1 if len(level) == n // 2 else 0.3) for s in level for _ in range(2)]
+    rows = [(t, s, int(x)) for t, states in enumerate(level) for s, x in enumerate(states)]
+    cells = spark.createDataFrame(rows, "taxon long, site long, state int")
+    rounds = []
+    options = joining.JoinOptions(terminal_limit=8, landmarks=8, window=4)
+    edges = joining.apnj(cells, n, length, options, rounds.append)
+    trees.validate(edges, n)
+    above = {r.u: r.v for r in edges.collect() if r.u < n}
+    assert rounds and rounds[-1]["active"] <= 8
+    assert all(above[2 * k] == above[2 * k + 1] for k in range(n // 2))
