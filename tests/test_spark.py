@@ -213,3 +213,17 @@ def test_sparse_joining_rounds_find_cherries(spark):
     above = {r.u: r.v for r in edges.collect() if r.u < n}
     assert rounds and rounds[-1]["active"] <= 8
     assert all(above[2 * k] == above[2 * k + 1] for k in range(n // 2))
+
+
+def test_parameters_are_checked(spark, tmp_path):
+    import hashlib
+    from cladeframe.sources.assets import load_parameters
+
+    file = tmp_path / "layers.csv"
+    file.write_text("layer,i,j,w\n0,1,2,0.5\n0,-1,2,0.25\n")
+    good, schema = hashlib.sha256(file.read_bytes()).hexdigest(), "layer int, i int, j int, w double"
+    assert load_parameters(spark, str(file), good, schema).agg(F.sum("w")).first()[0] == 0.75
+    assert load_parameters(spark, str(tmp_path), {"layers.csv": good}, schema).count() == 2
+    for bad in ("0" * 64, {"layers.csv": good, "other.csv": good}):
+        with pytest.raises(ValueError):
+            load_parameters(spark, str(tmp_path), bad, schema)
