@@ -6,6 +6,10 @@ longest first, on counts instead of documents: one step places as many equal
 pieces as fill all open sequences with the tightest room. Every step is one
 row of the plan, and a piece finds its place by its rank within its length.
 
+Ids are those of the JSON tokenizer without special tokens of its own: a
+special string that stands in a text is one id, what lies between is encoded
+by the rank file of the same vocabulary.
+
 Null text is empty and packs as the closing id alone. Repeated rows are packed
 each on their own. An empty table gives an empty result.
 """
@@ -13,6 +17,7 @@ each on their own. An empty table gives an empty result.
 from __future__ import annotations
 
 import base64
+import json
 import zlib
 from bisect import bisect_left, insort
 
@@ -27,30 +32,32 @@ from cladeframe.session import cut
 PIECES = "doc_id long, piece int, start long, length long, ids_crc32 long"
 
 
-def encoder(ranks_path: str):
-    """The byte-level vocabulary as a fast encoder; special strings are ordinary text."""
+def encoder(ranks_path: str, vocabulary_path: str):
+    """The byte-level vocabulary as a fast encoder; the added tokens of the JSON file in a text are one id each."""
     import public_tokenizers
     import tiktoken
 
     with open(ranks_path, "rb") as lines:
         ranks = {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
-    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    with open(vocabulary_path, encoding="utf-8") as file:
+        added = {token["content"]: token["id"] for token in json.load(file)["added_tokens"]}
+    return tiktoken.Encoding("bytes", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens=added)
 
 
-def pieces(docs: DataFrame, ranks: str, width: int = 2048, closing: int = 0) -> DataFrame:
+def pieces(docs: DataFrame, ranks: str, width: int = 2048, closing: int = 0, vocabulary: str = "byte_bpe_50k.json") -> DataFrame:
     """Pieces of every document: its ids and then ``closing``; the first piece of a long one takes the remainder.
 
-    ``ranks`` names a file of the installed vocabulary package, found anew on each executor.
+    ``ranks`` and ``vocabulary`` name files of the installed vocabulary package, found anew on each executor.
     """
 
     def run(batches):
         import public_tokenizers
 
-        encode = encoder(public_tokenizers.path(ranks)).encode_ordinary
+        coder = encoder(public_tokenizers.path(ranks), public_tokenizers.path(vocabulary))
         for batch in batches:
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encode(text.as_py() or "")
+                ids = coder.encode(text.as_py() or "", allowed_special="all")
                 ids.append(closing)
                 coded = np.array(ids, "<u4")
                 first = (len(coded) - 1) % width + 1

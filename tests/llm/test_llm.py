@@ -233,6 +233,26 @@ def test_packing_is_gapless_and_tight(docs, empty_docs):
     assert packing.pack(empty_docs).count() == 0
 
 
+def test_special_strings_are_one_id(spark):
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    end = "<|endoftext|>"
+    texts = [f"a {end} b", end, f"a  {end}  b{end}{end}\n\n", "<|endoftext|", f"it's{end}'s é ", end * 300, "no such string"]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {(r["doc_id"], r["start"]): (r["length"], r["ids_crc32"]) for r in packing.pack(rows, width=256).collect()}
+    want = {}
+    for i, text in enumerate(texts):
+        ids = np.array([*t.encode(text, add_special_tokens=False).ids, 0], "<u4")
+        assert (50256 in ids) == (end in text)
+        first = (len(ids) - 1) % 256 + 1
+        for part in (ids[:first], *(ids[a:a + 256] for a in range(first, len(ids), 256))):
+            at = sum(n for (doc, _), (n, _) in want.items() if doc == i)
+            want[i, at] = (len(part), zlib.crc32(part.tobytes()))
+    assert got == want
+
+
 def test_plan_is_best_fit_decreasing():
     rng = random.Random(2)
     for _ in range(20):
