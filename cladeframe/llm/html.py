@@ -2,7 +2,8 @@
 
 A page is cut into blocks. Menus, headers, footers, sidebars, notices, adverts,
 forms, comments and everything that is no text are left out by element, role
-and class. Where a page marks its article, the article's blocks are its text.
+and class. Where a page marks articles or a main part, the blocks of all of
+them are its text.
 Elsewhere the blocks of the page and of all other pages of the host are read
 as one stream: its suffixes are merge-sorted (see ``suffix``, with the host as
 scope, so a host with a third of all pages is spread over all parts), byte
@@ -57,20 +58,20 @@ WORD = re.compile(r"[a-z0-9]+")
 
 
 def _kind(name: str, rest: str) -> int:
-    """-1 for a part that is left out, 2 for an article, 1 for a main part, else 0."""
+    """-1 for a part that is left out, 1 for an article or main part, else 0."""
     if name in BOILER_ELEMENTS:
         return -1
-    kind = {"article": 2, "main": 1}.get(name, 0)
+    kind = int(name in ("article", "main"))
     if not rest or rest.isspace():
         return kind
     for key, value in ATTRIBUTE.findall(rest):
         key, value = key.lower(), value.strip("\"'").lower()
         if key == "itemprop" and value == "articlebody":
-            return 2
+            return 1
         if key == "role":
             if value in BOILER_ROLES:
                 return -1
-            kind = max(kind, {"article": 2, "main": 1}.get(value, 0))
+            kind = max(kind, int(value in ("article", "main")))
         elif key in ("class", "id") and name not in SHELL and not BOILER_WORDS.isdisjoint(WORD.findall(value)):
             return -1
     return kind
@@ -128,8 +129,8 @@ def blocks(html: str) -> tuple[list[str], bool]:
     if kind >= 0:
         piece.append(html[at:])
         close()
-    best = max((k for _, k in out), default=0)
-    return [t for t, k in out if k == best], best > 0
+    marked = any(k > 0 for _, k in out)
+    return [t for t, k in out if k > 0 or not marked], marked
 
 
 def parsed(pages: DataFrame) -> DataFrame:

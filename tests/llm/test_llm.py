@@ -397,6 +397,12 @@ def test_blocks_of_awkward_markup():
         html.blocks(broken)
 
 
+def test_main_part_beside_articles_is_kept():
+    assert html.blocks("<main><h1>T</h1><p>body<article><p>quoted</article><p>end</main><footer>f</footer><p>out") == (["T", "body", "quoted", "end"], True)
+    assert html.blocks("<main><p>body</main><article><p>card</article>") == (["body", "card"], True)
+    assert html.blocks("<article><p>a<main><p>b</main></article>") == (["a", "b"], True)
+
+
 def test_boilerplate_of_a_host_without_marked_articles(spark):
     rng = random.Random(11)
     notice = prose(rng, 40)
