@@ -1,16 +1,20 @@
-"""Main text of web pages: page structure, and a suffix array of each host for pages that do not mark their article.
+"""Main text of web pages: page structure, and what the pages of a host repeat.
 
 A page is cut into blocks. Menus, headers, footers, sidebars, notices, adverts,
 forms, comments and everything that is no text are left out by element, role
-and class. Where a page marks articles or a main part, the blocks of all of
-them are its text.
-Elsewhere the blocks of the page and of all other pages of the host are read
-as one stream: its suffixes are merge-sorted (see ``suffix``, with the host as
-scope, so a host with a third of all pages is spread over all parts), byte
-strings that occur on other pages are marked, blocks that are mostly covered
-go as boilerplate and the rest stays. A page that is covered nearly whole is a
-copy of another and keeps its text. A block repeated inside its own page
-counts once.
+and class. Where a page marks articles or a main part, only the blocks in them
+are read on. What is left of a page is boilerplate where its host repeats it:
+
+* a block of any length that many pages of the host hold word for word;
+* a block that is mostly covered by byte strings of other pages of the host.
+  The blocks of a page are one stream, whose suffixes are merge-sorted (see
+  ``suffix``, with the host as scope, so a host with a third of all pages is
+  spread over all parts).
+
+Pages with equal blocks count once, so copies do not vouch against each other.
+A page that others hold nearly whole is a copy with changes: what is held by
+more pages than its body goes, the body stays. A block repeated inside its own
+page counts once.
 
 Null and empty pages give an empty text, and so does a page without text.
 Repeated pages give equal rows. Pages may be of any length and markup may be
@@ -19,9 +23,11 @@ broken off anywhere.
 
 from __future__ import annotations
 
+import hashlib
 import re
 from html import unescape
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -134,75 +140,149 @@ def blocks(html: str) -> tuple[list[str], bool]:
 
 
 def parsed(pages: DataFrame) -> DataFrame:
-    """(page_id, url, host, text, marked, ends) of every page; ``ends`` are the byte ends of the blocks of unmarked pages."""
+    """(page_id, url, host, text, marked, ends, keys) of every page; ``ends`` are the byte ends of its blocks, ``keys`` their hashes."""
     def run(batches):
         for batch in batches:
-            texts, marks, ends = [], [], []
+            texts, marks, ends, keys = [], [], [], []
             for page in batch.column(3):
                 found, marked = blocks(page.as_py() or "")
+                octets = [t.encode() for t in found]
                 texts.append(" ".join(found))
                 marks.append(marked)
-                at, own = -1, []
-                for t in [] if marked else found:
-                    at += len(t.encode()) + 1
-                    own.append(at)
-                ends.append(own)
+                ends.append((np.cumsum([len(o) + 1 for o in octets], dtype=np.int64) - 1))
+                keys.append([_key(o) for o in octets])
             yield pa.RecordBatch.from_arrays([
-                *batch.columns[:3], pa.array(texts, pa.string()), pa.array(marks, pa.bool_()), pa.array(ends, pa.list_(pa.int64()))],
-                names=["page_id", "url", "host", "text", "marked", "ends"])
+                *batch.columns[:3], pa.array(texts, pa.string()), pa.array(marks, pa.bool_()),
+                pa.array(ends, pa.list_(pa.int64())), pa.array(keys, pa.list_(pa.int64()))],
+                names=["page_id", "url", "host", "text", "marked", "ends", "keys"])
 
     split = split_url(pages.select("page_id", "url", "html")).select("page_id", "url", "host", "html")
     kinds = dict(pages.dtypes)
-    return split.mapInArrow(run, f"page_id {kinds['page_id']}, url string, host string, text string, marked boolean, ends array<long>")
+    return split.mapInArrow(
+        run, f"page_id {kinds['page_id']}, url string, host string, text string, marked boolean, ends array<long>, keys array<long>")
 
 
-def streamed(pages: DataFrame) -> DataFrame:
-    """(host, name, text) of every page: its stream, and the text that names the page among those of its host.
+def _key(octets: bytes) -> int:
+    return int.from_bytes(hashlib.blake2b(octets, digest_size=8).digest(), "big", signed=True)
 
-    Blocks that the page has had before are void in the stream, and as long.
-    """
-    def run(batches):
-        for batch in batches:
-            names, texts = [], []
-            for page in batch.column(1):
-                found, _ = blocks(page.as_py() or "")
-                names.append(" ".join(found))
-                seen, parts = set(), []
-                for t in found:
-                    parts.append("\0" * len(t.encode()) if t in seen else t)
-                    seen.add(t)
-                texts.append(" ".join(parts))
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(names, pa.string()), pa.array(texts, pa.string())], names=["host", "name", "text"])
-
-    return split_url(pages.select("url", "html")).select("host", "html").mapInArrow(run, "host string, name string, text string")
-
-
-def _unique(text: pa.Array, ends: pa.Array, spans: pa.Array) -> pa.Array:
-    """The blocks of which less than half is repeated; all blocks of a page that is repeated nearly whole."""
+
+def _bounds(ends) -> list[tuple[int, int]]:
+    return list(zip([0, *(e + 1 for e in ends[:-1])], ends))
+
+
+def _stream(text: pa.Array, ends: pa.Array, keys: pa.Array) -> pa.Array:
+    """Texts in which blocks that the page has had before are void, and as long."""
+    out = []
+    for t, e, k in zip(text, ends, keys):
+        k = k.as_py()
+        if len(set(k)) == len(k):
+            out.append(t.as_py())
+            continue
+        octets, seen = bytearray(t.as_py().encode()), set()
+        for key, (low, high) in zip(k, _bounds(e.as_py())):
+            if key in seen:
+                octets[low:high] = bytes(high - low)
+            seen.add(key)
+        out.append(octets.decode())
+    return pa.array(out, pa.string())
+
+
+def _covered_keys(text: pa.Array, ends: pa.Array, spans: pa.Array) -> pa.Array:
+    """For each block that is covered to a half or more, the hash of what is covered, else null."""
     out = []
     for t, e, s in zip(text, ends, spans):
         octets, runs = t.as_py().encode(), suffix.joined(s.as_py())
-        if 10 * sum(b - a for a, b in runs) >= 9 * len(octets):
+        own = []
+        for low, high in _bounds(e.as_py()):
+            parts = [octets[max(a, low):min(b, high)] for a, b in runs if a < high and b > low]
+            own.append(_key(b"\0".join(parts)) if 2 * sum(map(len, parts)) >= high - low else None)
+        out.append(own)
+    return pa.array(out, pa.list_(pa.int64()))
+
+
+def boilerplate(marked: bool, sizes: list[int], times: list[int], covered: list[bool], pages: int) -> list[int]:
+    """The blocks of a page that go.
+
+    ``times`` says how many of the ``pages`` different pages of the host hold a
+    block, or what is covered of it. Blocks in a marked article or main part
+    need more pages against them, and are not taken for what one other page has.
+    """
+    if marked:
+        return []
+
+    def common(n: int) -> bool:
+        return n >= 3 and (5 if marked else 10) * n >= pages or not marked and n >= 2 and 2 * n >= pages
+
+    every, total = range(len(sizes)), sum(sizes)
+    gone = {i for i in every if common(times[i])}
+    if 10 * sum(sizes[i] for i in every if i not in gone) < total:
+        # The body of a copy is held by the fewest pages.
+        level, body = 0, 0
+        for i in sorted(every, key=lambda i: times[i]):
+            level, body = times[i], body + sizes[i]
+            if 10 * body >= total:
+                break
+        above = {i for i in gone if times[i] > level}
+        most = {i for i in gone if pages >= 5 and 2 * times[i] >= pages}
+        gone = above if len(above | most) == len(sizes) else above | most
+    rest = [i for i in every if i not in gone]
+    if not marked and 10 * sum(sizes[i] for i in rest if covered[i]) < 9 * sum(sizes[i] for i in rest):
+        gone.update(i for i in rest if covered[i])
+    return sorted(gone)
+
+
+def _judged(marked: pa.Array, ends: pa.Array, keys: pa.Array, covered: pa.Array, times: pa.Array, pages: pa.Array) -> pa.Array:
+    out = []
+    for m, e, k, c, held, n in zip(marked, ends, keys, covered, times, pages):
+        k, known = k.as_py(), {h["key"]: h["times"] for h in held.as_py() or []}
+        c = c.as_py() or [None] * len(k)
+        sizes = [high - low for low, high in _bounds(e.as_py())]
+        own = [max(known.get(a, 1), known.get(b, 1)) for a, b in zip(k, c)]
+        out.append(boilerplate(m.as_py(), sizes, own, [b is not None for b in c], n.as_py()))
+    return pa.array(out, pa.list_(pa.int32()))
+
+
+def _without(text: pa.Array, ends: pa.Array, gone: pa.Array) -> pa.Array:
+    out = []
+    for t, e, g in zip(text, ends, gone):
+        g = set(g.as_py() or ())
+        if not g:
             out.append(t.as_py())
             continue
-        kept, low = [], 0
-        for high in e.as_py():
-            covered = sum(max(0, min(b, high) - max(a, low)) for a, b in runs)
-            if 2 * covered < high - low:
-                kept.append(octets[low:high].decode())
-            low = high + 1
-        out.append(" ".join(kept))
+        octets = t.as_py().encode()
+        out.append(" ".join(octets[low:high].decode() for i, (low, high) in enumerate(_bounds(e.as_py())) if i not in g))
     return pa.array(out, pa.string())
 
 
+def repeated_blocks(read: DataFrame, spans: DataFrame) -> DataFrame:
+    """(U1, U2, gone) of the different pages that lose blocks; takes one row a page with its stream as ``text``."""
+    ids = [suffix.U1, suffix.U2]
+    slim = read.select(*ids, "scope", "marked", "ends", "keys")
+    covered = cut(read.select(*ids, "text", "ends").join(spans, ids).select(
+        *ids, F.arrow_udf(_covered_keys, "array<long>")("text", "ends", suffix.SPANS).alias("covered")))
+    facts = cut(slim.join(covered, ids, "left"))
+    held = facts.select(*ids, "scope", F.explode(F.array_distinct(F.concat(
+        "keys", F.filter(F.coalesce("covered", F.array().cast("array<long>")), lambda x: x.isNotNull())))).alias("key"))
+    times = held.groupBy("scope", "key").agg(F.count("*").alias("times")).where("times > 1")
+    known = held.join(times, ["scope", "key"]).groupBy(*ids).agg(F.collect_list(F.struct("key", "times")).alias("times"))
+    hosts = facts.groupBy("scope").agg(F.count("*").alias("pages"))
+    judged = facts.join(known, ids, "left").join(hosts, "scope").select(
+        *ids, F.arrow_udf(_judged, "array<int>")("marked", "ends", "keys", "covered", "times", "pages").alias("gone"))
+    return cut(judged.where("size(gone) > 0"))
+
+
 def main_text(pages: DataFrame, window: int = 200) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     prepare(pages.sparkSession)
-    stream = suffix.identified(streamed(pages), "host", text="name").select(suffix.U1, suffix.U2, F.xxhash64("host").alias("scope"), "text")
-    size = pages.agg(F.sum(F.octet_length("html").cast("long"))).first()[0] or 0
-    spans = suffix.repeated_spans(stream, window, size)
-    read = parsed(pages)
-    # Few pages mark no article; only these carry their text to the spans.
-    rest = suffix.identified(cut(read.where("NOT marked")), "host").join(spans, [suffix.U1, suffix.U2], "left")
-    chosen = rest.select("page_id", "url", F.arrow_udf(_unique, "string")("text", "ends", suffix.SPANS).alias("text"))
-    return read.where("marked").select("page_id", "url", "text").union(chosen).withColumn("n_chars", F.char_length("text").cast("long"))
+    read = cut(suffix.identified(parsed(pages), "host").withColumns(
+        {"scope": F.xxhash64("host"), "serial": F.monotonically_increasing_id()}))
+    same = read.groupBy(suffix.U1, suffix.U2).agg(F.min("serial").alias("first"), F.count("*").alias("n")).where("n > 1")
+    # Of equal pages only the first takes part.
+    copies = cut(read.select(suffix.U1, suffix.U2, "serial").join(same, [suffix.U1, suffix.U2]).where("serial > first").select("serial"))
+    once = read.where(F.col("text") != "").join(copies, "serial", "left_anti").withColumn("text", F.arrow_udf(_stream, "string")("text", "ends", "keys"))
+    size = read.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
+    spans = cut(suffix.repeated_spans(once, window, size))
+    gone = repeated_blocks(once, spans)
+    text = F.arrow_udf(_without, "string")("text", "ends", "gone")
+    return read.join(gone, [suffix.U1, suffix.U2], "left").select("page_id", "url", text.alias("text")).withColumn(
+        "n_chars", F.char_length("text").cast("long"))

@@ -413,11 +413,24 @@ def test_boilerplate_of_a_host_without_marked_articles(spark):
     got = {r["page_id"]: r for r in html.main_text(pages).collect()}
     assert len(got) == len(rows) - 1 and html.main_text(pages).count() == len(rows)
     assert [got[i]["text"] for i in range(1, 8)] == bodies[1:]
-    assert got[21]["text"] == bodies[7] and got[30]["text"] == "" == got[31]["text"]
+    assert got[0]["text"] == bodies[0] and got[21]["text"] == bodies[7] and got[30]["text"] == "" == got[31]["text"]
     assert all(r["n_chars"] == len(r["text"]) for r in got.values())
     assert html.main_text(pages.where("false")).count() == 0
 
 
+def test_short_and_long_boilerplate_goes_from_copies_too(spark):
+    rng = random.Random(12)
+    menu, notice = "<div>Home</div><div>About us</div>", prose(rng, 40)
+    bodies = [prose(rng, 90) for _ in range(6)]
+    page = f"{menu}<p>{{}}</p><div>{notice}</div><div>Imprint</div>"
+    rows = [(i, f"http://h.org/{i}", page.format(b)) for i, b in enumerate(bodies)]
+    rows += [(10, "http://h.org/copy", rows[0][2]), (11, "http://h.org/copy2", rows[0][2]), (12, "http://h.org/near", page.format(bodies[1] + "</p><p>One line more."))]
+    rows += [(20, "http://other.org/", page.format(bodies[2]))]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(6)] == bodies and got[10] == got[11] == bodies[0] and bodies[1] in got[12]
+    assert notice not in got[12] and "Home" not in got[12] and got[20].startswith("Home")
+
+
 def test_pipeline_stages(spark, docs, empty_docs, tmp_path):
     path = tmp_path / "benchmark.parquet"
     text = next(t for t in messy_texts() if t and 40 < len(t.split()) < 90)
