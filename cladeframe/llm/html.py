@@ -207,9 +207,6 @@ def boilerplate(marked: bool, sizes: list[int], times: list[int], covered: list[
     block, or what is covered of it. Blocks in a marked article or main part
     need more pages against them, and are not taken for what one other page has.
     """
-    if marked:
-        return []
-
     def common(n: int) -> bool:
         return n >= 3 and (5 if marked else 10) * n >= pages or not marked and n >= 2 and 2 * n >= pages
 

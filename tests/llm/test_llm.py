@@ -431,6 +431,18 @@ def test_short_and_long_boilerplate_goes_from_copies_too(spark):
     assert notice not in got[12] and "Home" not in got[12] and got[20].startswith("Home")
 
 
+def test_boilerplate_inside_marked_articles(spark):
+    rng = random.Random(13)
+    notice, note = prose(rng, 60), "Sign up for our letter"
+    bodies = [prose(rng, 90) for _ in range(7)]
+    bodies[5] = bodies[6] = prose(rng, 50)
+    rows = [(i, f"http://h.org/{i}", f"<article><p>{b}</p><p>{note}</p><p>No {i} {notice}</p></article>") for i, b in enumerate(bodies[:5])]
+    rows += [(i, f"http://h.org/{i}", f"<article><p>{bodies[i]}</p><p>own words {i}</p></article>") for i in (5, 6)]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert [got[i] for i in range(5)] == bodies[:5]
+    assert [got[i] for i in (5, 6)] == [f"{bodies[5]} own words {i}" for i in (5, 6)]
+
+
 def test_pipeline_stages(spark, docs, empty_docs, tmp_path):
     path = tmp_path / "benchmark.parquet"
     text = next(t for t in messy_texts() if t and 40 < len(t.split()) < 90)
