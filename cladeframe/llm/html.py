@@ -255,13 +255,15 @@ def repeated_blocks(read: DataFrame, spans: DataFrame) -> DataFrame:
     """(U1, U2, gone) of the different pages that lose blocks; takes one row a page with its stream as ``text``."""
     ids = [suffix.U1, suffix.U2]
     slim = read.select(*ids, "scope", "marked", "ends", "keys")
-    covered = cut(read.select(*ids, "text", "ends").join(spans, ids).select(
+    # Few pages have spans; only these carry their text to them.
+    some = read.select(*ids, "text", "ends").join(cut(spans.select(*ids)), ids, "left_semi")
+    covered = cut(some.join(spans, ids).select(
         *ids, F.arrow_udf(_covered_keys, "array<long>")("text", "ends", suffix.SPANS).alias("covered")))
     facts = cut(slim.join(covered, ids, "left"))
     held = facts.select(*ids, "scope", F.explode(F.array_distinct(F.concat(
         "keys", F.filter(F.coalesce("covered", F.array().cast("array<long>")), lambda x: x.isNotNull())))).alias("key"))
-    times = held.groupBy("scope", "key").agg(F.count("*").alias("times")).where("times > 1")
-    known = held.join(times, ["scope", "key"]).groupBy(*ids).agg(F.collect_list(F.struct("key", "times")).alias("times"))
+    times = cut(held.groupBy("scope", "key").agg(F.count("*").alias("times")).where("times > 1"))
+    known = cut(held.join(times, ["scope", "key"]).groupBy(*ids).agg(F.collect_list(F.struct("key", "times")).alias("times")))
     hosts = facts.groupBy("scope").agg(F.count("*").alias("pages"))
     judged = facts.join(known, ids, "left").join(hosts, "scope").select(
         *ids, F.arrow_udf(_judged, "array<int>")("marked", "ends", "keys", "covered", "times", "pages").alias("gone"))
