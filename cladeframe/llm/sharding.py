@@ -4,7 +4,10 @@ Rows with equal text form one atomic group. Groups stand in the order of the
 MD5 of their text; a shard is a run of groups. The smallest capacity with
 which a greedy pass needs no more than the given number of shards is found by
 a search over capacities, several at a time, and the cuts of that pass are the
-shards.
+shards. Where one group sets that capacity, a second search finds the smallest
+capacity for the others, with every group above it in a shard of its own.
+Shards that the pass leaves over halve the largest ones, so none stays empty
+while there are groups enough.
 
 Null text counts as empty text of no bytes. An empty table gives an empty
 result. Repeated rows each take a slot of their own.
@@ -63,50 +66,93 @@ class _Prefix:
                 continue
             found[name] = (self.starts[b], self.last_key[b - 1] if b else None)
             asked.append((name, self.blocks[b], target - self.starts[b], self.starts[b]))
-        if asked:
-            spark = self.groups.sparkSession
-            probes = spark.range(1).select(F.inline(F.array(*[
-                F.struct(F.lit(n).alias("name"), F.lit(b).alias("block"), F.lit(r).cast("long").alias("room"),
-                         F.lit(s).cast("long").alias("start")) for n, b, r, s in asked])))
-            wanted = self.groups.where(F.col("block").isin(sorted({a[1] for a in asked})))
-            # The probes are CANDIDATES rows at most.
-            hits = wanted.join(F.broadcast(probes), "block").where(F.col("upto") <= F.col("room"))
-            for r in hits.groupBy("name", "start").agg(F.max(F.struct("upto", "key")).alias("m")).collect():
-                found[r["name"]] = (r["start"] + r["m"]["upto"], r["m"]["key"])
+        for name, start, upto, key in self._inside(asked, "upto <= room", F.max):
+            found[name] = (start + upto, key)
         return found
 
-    def greedy(self, capacities: list[int], shards: int) -> dict[int, list[str] | None]:
-        """Last keys of all shards but the last for each capacity that suffices, None for the others."""
+    def after(self, positions: dict) -> dict:
+        """For each position below the total, the next running sum above it and the key of the group that ends there."""
+        asked = []
+        for name, p in positions.items():
+            b = bisect_right(self.starts, p) - 1
+            asked.append((name, self.blocks[b], p - self.starts[b], self.starts[b]))
+        return {name: (start + upto, key) for name, start, upto, key in self._inside(asked, "upto > room", F.min)}
+
+    def _inside(self, asked: list[tuple], wanted: str, end) -> list[tuple]:
+        """(name, start, upto, key) of the first or last group of a block for each (name, block, room, start)."""
+        if not asked:
+            return []
+        spark = self.groups.sparkSession
+        probes = spark.range(1).select(F.inline(F.array(*[
+            F.struct(F.lit(n).cast("long").alias("name"), F.lit(b).alias("block"), F.lit(r).cast("long").alias("room"),
+                     F.lit(s).cast("long").alias("start")) for n, b, r, s in asked])))
+        some = self.groups.where(F.col("block").isin(sorted({a[1] for a in asked})))
+        # The probes are CANDIDATES rows at most.
+        hits = some.join(F.broadcast(probes), "block").where(wanted)
+        return [(r["name"], r["start"], r["m"]["upto"], r["m"]["key"])
+                for r in hits.groupBy("name", "start").agg(end(F.struct("upto", "key")).alias("m")).collect()]
+
+    def greedy(self, capacities: list[int], shards: int) -> dict[int, list[tuple] | None]:
+        """(running sum, last key) of each shard for each capacity that suffices, None for the others.
+
+        A group above the capacity is a shard of its own.
+        """
         at = dict.fromkeys(capacities, 0)
-        ends: dict[int, list[str | None]] = {c: [] for c in capacities}
+        ends: dict[int, list[tuple]] = {c: [] for c in capacities}
         for _ in range(shards):
             open_ = {c: p + c for c, p in at.items() if p < self.total}
-            for c, (p, key) in self.reach(open_).items():
-                at[c] = p
-                ends[c].append(key)
+            reached = self.reach(open_)
+            reached.update(self.after({c: at[c] for c, (p, _) in reached.items() if p == at[c]}))
+            for c, end in reached.items():
+                at[c] = end[0]
+                ends[c].append(end)
         return {c: ends[c] if at[c] >= self.total else None for c in capacities}
 
+    def smallest(self, short: int, capacity: int, best: list[tuple], shards: int) -> tuple[int, list[tuple]]:
+        """(capacity, ends) of the smallest capacity above ``short`` that suffices; ``capacity`` does, with the ends ``best``."""
+        while capacity - short > 1:
+            step = max(1, -(-(capacity - short) // (CANDIDATES + 1)))
+            tried = self.greedy(list(range(short + step, capacity, step))[:CANDIDATES], shards)
+            enough = [c for c, e in tried.items() if e is not None]
+            if enough:
+                capacity, best = min(enough), tried[min(enough)]
+            short = max([short, *[c for c, e in tried.items() if e is None and c < capacity]])
+        return capacity, best
+
+    def filled(self, ends: list[tuple], shards: int) -> list[tuple]:
+        """The largest shards of two or more groups are halved until there are enough."""
+        ends, whole = list(ends), set()
+        while len(ends) < shards:
+            starts = [0, *(p for p, _ in ends)]
+            i = max((i for i in range(len(ends)) if ends[i][0] not in whole), key=lambda i: ends[i][0] - starts[i], default=None)
+            if i is None:
+                break
+            low, high = starts[i], ends[i][0]
+            end = self.reach({0: (low + high) // 2})[0]
+            if end[0] <= low:
+                end = self.after({0: low})[0]
+            if end[0] >= high:
+                whole.add(high)
+            else:
+                ends.insert(i, end)
+        return ends
+
 
 def cuts(rows: DataFrame, shards: int) -> tuple[list[str], int]:
     """(last key of each shard, smallest capacity)."""
     prefix = _Prefix(rows)
     if not prefix.total:
         return [], 0
-    low = max(-(-prefix.total // shards), prefix.largest)
+    even = -(-prefix.total // shards)
+    capacity = low = max(even, prefix.largest)
     best = prefix.greedy([low], shards)[low]
-    capacity, short = low, low
     if best is None:
         # One shard never passes over more than the largest group, so this much always suffices.
-        capacity = -(-prefix.total // shards) + prefix.largest
-        best = prefix.greedy([capacity], shards)[capacity]
-        while capacity - short > 1:
-            step = max(1, -(-(capacity - short) // (CANDIDATES + 1)))
-            tried = prefix.greedy(list(range(short + step, capacity, step))[:CANDIDATES], shards)
-            enough = [c for c, e in tried.items() if e is not None]
-            if enough:
-                capacity, best = min(enough), tried[min(enough)]
-            short = max([short, *[c for c, e in tried.items() if e is None and c < capacity]])
-    return best, capacity
+        capacity = even + prefix.largest
+        capacity, best = prefix.smallest(low, capacity, prefix.greedy([capacity], shards)[capacity], shards)
+    elif prefix.largest > even:
+        _, best = prefix.smallest(0, capacity, best, shards)
+    return [key for _, key in prefix.filled(best, shards)], capacity
 
 
 def shard(docs: DataFrame, shards: int = 16) -> DataFrame:

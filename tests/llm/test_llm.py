@@ -294,6 +294,18 @@ def test_shards_are_minimax(docs, empty_docs):
     assert sharding.shard(empty_docs, 5).count() == 0
 
 
+def test_no_shard_is_empty_beside_a_group_of_a_third(spark):
+    ordered = sorted((f"{i:09d}" for i in range(200)), key=lambda t: hashlib.md5(t.encode()).hexdigest())
+    texts = ordered + [ordered[100]] * 99
+    got = collections.Counter()
+    for r in sharding.shard(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), 16).collect():
+        got[r["shard"]] += r["size"]
+    assert sorted(got) == list(range(16)) and max(got.values()) == 1000
+    assert sorted(got.values())[-2] <= 150
+    few = spark.createDataFrame([(0, "a"), (1, "b"), (2, "c"), (3, "d"), (4, "e")], "doc_id long, text string")
+    assert {r["shard"] for r in sharding.shard(few, 4).collect()} == {0, 1, 2, 3}
+
+
 def test_segments_are_maximal():
     rng = np.random.default_rng(1)
 
