@@ -6,7 +6,8 @@ walks the tree best bin first: a priority queue always opens the node whose
 centre is nearest, and leaves come out in that order. How many leaves a query
 visits is calibrated: for a sample of queries the true neighbours are found by
 a scan of all vectors, and the visit count is the smallest with which the
-sample reaches the recall asked for. Leaves are dealt in pieces of bounded
+sample reaches the recall asked for. A query whose leaves hold fewer others
+than asked for walks on until they do. Leaves are dealt in pieces of bounded
 size, so a leaf with a third of all vectors is searched by many tasks.
 
 Vectors that are null, zero, of another length than most, or hold null or
@@ -112,13 +113,14 @@ class Tree:
             waiting.extend((c, rows[label == i]) for i, c in enumerate(self.children[at]) if (label == i).any())
         return node
 
-    def visit(self, query: np.ndarray, most: int) -> list[int]:
-        """Leaves in best-bin-first order."""
-        queue, out = [(-1.0, 0)], []
-        while queue and len(out) < most:
+    def visit(self, query: np.ndarray, most: int, sizes: dict[int, int] | None = None, enough: int = 0) -> list[int]:
+        """The first ``most`` leaves in best-bin-first order, and further ones until they hold ``enough`` by ``sizes``."""
+        queue, out, held = [(-1.0, 0)], [], 0
+        while queue and (len(out) < most or held < enough):
             _, at = heapq.heappop(queue)
             if not self.children[at]:
                 out.append(at)
+                held += sizes.get(at, 0) if sizes else 0
                 continue
             near = self.centres[at] @ query
             for c, s in zip(self.children[at], near.tolist()):
@@ -145,12 +147,20 @@ def placed(vectors: DataFrame, tree) -> DataFrame:
     return vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, leaf int")
 
 
-def visits(queries: DataFrame, tree, most: int) -> DataFrame:
-    """(query_id, q, leaf, place): the first ``most`` leaves of every query."""
+def visits(queries: DataFrame, tree, most: int, sizes: dict[int, int], k: int) -> DataFrame:
+    """(query_id, q, leaf, place): the first ``most`` leaves of every query, and further ones until they hold ``k`` others.
+
+    ``sizes`` are the ids in each leaf, MOST_LEAVES numbers at most.
+    """
+    spark = queries.sparkSession
+    shared = spark.sparkContext.broadcast(sizes)
+    # Rows that repeat a query's id are no candidates of it.
+    own = queries.groupBy("vec_id").agg(F.count("*").alias("own"))
+
     def run(batches):
         for batch in batches:
             unit = _unit(_matrix(batch.column(1))) if batch.num_rows else np.zeros((0, 1))
-            order = [tree.value.visit(u, most) for u in unit]
+            order = [tree.value.visit(u, most, shared.value, k + n) for u, n in zip(unit, batch.column(2).to_pylist())]
             which = np.repeat(np.arange(len(order)), [len(o) for o in order])
             for a in range(0, max(len(which), 1), 8192):
                 w = which[a:a + 8192]
@@ -159,7 +169,7 @@ def visits(queries: DataFrame, tree, most: int) -> DataFrame:
                     pa.array([leaf for o in order for leaf in o][a:a + 8192], pa.int32()),
                     pa.array([p for o in order for p in range(len(o))][a:a + 8192], pa.int32())], names=["query_id", "q", "leaf", "place"])
 
-    return queries.select("vec_id", "v").mapInArrow(run, "query_id long, q array<double>, leaf int, place int")
+    return queries.join(own, "vec_id").select("vec_id", "v", "own").mapInArrow(run, "query_id long, q array<double>, leaf int, place int")
 
 
 def _best(ids, vectors, query_ids, queries, k):
@@ -227,7 +237,8 @@ def search(table: DataFrame, every: int = 50, k: int = 5, recall: float = 0.98)
     tree = spark.sparkContext.broadcast(grow(vectors, n))
     in_leaves = cut(placed(vectors, tree))
     most = calibrate(vectors, in_leaves, queries, n_queries, tree, k, recall)
-    asked = cut(visits(queries, tree, most))
+    sizes = {r[0]: r[1] for r in in_leaves.groupBy("leaf").agg(F.count_distinct("vec_id")).collect()}
+    asked = cut(visits(queries, tree, most, sizes, k))
 
     # One row for each leaf, MOST_LEAVES at most (and the nodes above them).
     pieces = in_leaves.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / PIECE).cast("int").alias("n_v"))

@@ -382,6 +382,17 @@ def test_neighbours_match_brute_force(spark):
     assert ann.search(table_.where("vec_id = 2050")).count() == 0
 
 
+def test_neighbours_of_an_outlier_are_complete(spark, monkeypatch):
+    # Leaves of one or two vectors, and one leaf for every query.
+    monkeypatch.setattr(ann, "grow", lambda vectors, n: ann.Tree(ann._unit(np.array([r["v"] for r in vectors.orderBy("vec_id").collect()])), 100))
+    monkeypatch.setattr(ann, "calibrate", lambda *a, **b: 1)
+    m = np.random.default_rng(2).normal(size=(200, 8))
+    rows = [(i, v.tolist()) for i, v in enumerate(m)] + [(50, m[50].tolist()), (50, m[51].tolist())]
+    got = ann.search(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    assert collections.Counter(r["query_id"] for r in got) == {0: 5, 50: 5, 100: 5, 150: 5}
+    assert all(r["query_id"] != r["vec_id"] for r in got)
+
+
 def test_url_rules_and_mined_rules(spark):
     rules = [("allow", "org", "/"), ("block", "example.org", "/es/"), ("allow", "com", "/fr/"), ("block", "com", "/de/")]
     given = ["https://Example.ORG/es/1?x#y", "http://a.example.org/en", "http://org", "http://notorg/", "http://a.com/de/1", "ftp://b.com/fr/#t", "no url", None, "",
