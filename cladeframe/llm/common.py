@@ -132,3 +132,9 @@ def word_bounds(octets: np.ndarray, is_word: np.ndarray, offsets: np.ndarray) ->
 
 LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
+
+
+def word_array(octets: np.ndarray, is_word: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> pa.Array:
+    """The words between ``starts`` and ``ends``, as ``word_bounds`` finds them with ``is_word``."""
+    offsets = np.concatenate(([0], np.cumsum(ends - starts)))
+    return pa.Array.from_buffers(pa.large_binary(), len(starts), [None, pa.py_buffer(offsets), pa.py_buffer(octets[is_word[octets]])])

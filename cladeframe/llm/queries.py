@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import ann, decontam, html, langid, minhash, packing, sharding, suffix, toxicity, urls
+from cladeframe.llm import ann, decontam, html, langid, minhash, packing, periodic, sharding, suffix, toxicity, urls
 from cladeframe.llm.common import table
 
 # Fixed values of the URL query: (verdict, host, path).
@@ -61,8 +61,13 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic.digests(periodic.collapse(periodic.planted(table(spark, sf_dir, "documents"))))
+
+
 QUERIES = {f.__name__: f for f in (
-    op1_near_duplicates, op2_html, op3_sharding, op4_packing, op5_toxicity, op6_language, op7_neighbours, op8_url_rules, op9_decontamination, op10_suffixes)}
+    op1_near_duplicates, op2_html, op3_sharding, op4_packing, op5_toxicity, op6_language, op7_neighbours, op8_url_rules, op9_decontamination,
+    op10_suffixes, op12_periodic_runs)}
 
 ORACLES = {
     "op1_near_duplicates": r"""
@@ -109,5 +114,28 @@ kept AS (SELECT doc_id, string_agg(part, '' ORDER BY a) AS t FROM piece GROUP BY
 total AS (SELECT doc_id, sum(b - a) AS n_removed, count(*) AS n_spans FROM span GROUP BY doc_id)
 SELECT doc_id, n AS n_bytes, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, coalesce(n_spans, 0) AS n_spans, sha256(unhex(t)) AS kept_sha256
 FROM d LEFT JOIN total USING (doc_id) JOIN kept USING (doc_id)
+""",
+    "op12_periodic_runs": r"""
+WITH h AS (SELECT doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS w,
+             xor(list_reduce(list_prepend(4294967295::UBIGINT, list_transform(string_split(CAST(doc_id AS VARCHAR), ''), lambda c: CAST(ascii(c) AS UBIGINT))),
+                 lambda x, c: list_reduce(list_prepend(xor(x, c), [0, 0, 0, 0, 0, 0, 0, 0]::UBIGINT[]),
+                     lambda y, z: CASE WHEN y % 2 = 1 THEN xor(y // 2, 3988292384) ELSE y // 2 END)), 4294967295) AS h FROM documents),
+a AS (SELECT doc_id, w, CAST(len(w) AS BIGINT) AS n, CAST(h // 10 AS BIGINT) AS g, h % 10 = 0 AND len(w) > 0 AS tail FROM h),
+b AS (SELECT doc_id, w, n, tail, CASE WHEN tail THEN g % n END AS a, CASE WHEN tail THEN 1 + (n - g % n) // (3 + g % 8) END AS p FROM a),
+word AS MATERIALIZED (SELECT doc_id, n, i, CASE WHEN tail AND i >= a THEN w[a + (i - a) % p + 1] ELSE w[i + 1] END AS word
+                      FROM (SELECT *, unnest(range(0, n)) AS i FROM b)),
+alike AS (SELECT x.doc_id, x.i, y.i - x.i AS q FROM word x JOIN word y ON x.doc_id = y.doc_id AND x.word = y.word AND y.i > x.i
+          WHERE 4 * (y.i - x.i) <= x.n),
+isle AS (SELECT doc_id, q, i, i - row_number() OVER (PARTITION BY doc_id, q ORDER BY i) AS k FROM alike),
+wide AS MATERIALIZED (SELECT doc_id, q, min(i) AS s, max(i) + q + 1 AS e FROM isle GROUP BY doc_id, q, k HAVING count(*) + q >= greatest(6, 4 * q)),
+run AS MATERIALIZED (SELECT * FROM wide x WHERE NOT EXISTS (
+    SELECT 1 FROM wide y WHERE y.doc_id = x.doc_id AND y.q < x.q AND y.s <= x.s AND y.e >= x.e)),
+best AS (SELECT doc_id, s, e - s AS l, q FROM run QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY e - s DESC, s, q) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(s || ',' || (e - s) || ',' || q || chr(10), '' ORDER BY s, q) AS runs FROM run GROUP BY doc_id),
+gone AS (SELECT DISTINCT doc_id, unnest(range(s + q, e)) AS i FROM run),
+kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM word ANTI JOIN gone USING (doc_id, i) GROUP BY doc_id)
+SELECT b.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, (1000 * l) // q AS exponent_milli,
+       sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
+FROM b LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
 """,
 }
