@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from cladeframe.llm import ann, decontam, html, langid, minhash, packing, periodic, sharding, suffix, toxicity, urls
+from cladeframe.llm import ann, decontam, divergence, html, langid, minhash, novelty, packing, periodic, sharding, suffix, toxicity, urls
 from cladeframe.llm.common import table
 
 # Fixed values of the URL query: (verdict, host, path).
@@ -61,13 +61,21 @@ def op10_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return suffix.repeats(table(spark, sf_dir, "documents")).drop("spans")
 
 
+def op11_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return novelty.digests(novelty.scan(table(spark, sf_dir, "documents")))
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic.digests(periodic.collapse(periodic.planted(table(spark, sf_dir, "documents"))))
 
 
+def op13_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.divergence(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {f.__name__: f for f in (
     op1_near_duplicates, op2_html, op3_sharding, op4_packing, op5_toxicity, op6_language, op7_neighbours, op8_url_rules, op9_decontamination,
-    op10_suffixes, op12_periodic_runs)}
+    op10_suffixes, op11_secrets, op12_periodic_runs, op13_source_divergence)}
 
 ORACLES = {
     "op1_near_duplicates": r"""
@@ -137,5 +145,29 @@ kept AS (SELECT doc_id, string_agg(word, ' ' ORDER BY i) AS text FROM word ANTI
 SELECT b.doc_id, coalesce(n_runs, 0) AS n_runs, s AS start, l AS length, q AS period, (1000 * l) // q AS exponent_milli,
        sha256(coalesce(runs, '')) AS runs_sha256, sha256(coalesce(text, '')) AS collapsed_sha256
 FROM b LEFT JOIN listed USING (doc_id) LEFT JOIN best USING (doc_id) LEFT JOIN kept USING (doc_id)
+""",
+    "op13_source_divergence": r"""
+WITH d AS (SELECT row_number() OVER () AS d, coalesce(text, '') AS text, coalesce(lang, '') AS lang, coalesce(source, '') AS source FROM documents),
+t AS MATERIALIZED (SELECT d, lang, source, unnest(regexp_extract_all(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                          '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) AS term FROM d),
+k AS MATERIALIZED (SELECT lang, term, count(*) AS n FROM t GROUP BY lang, term HAVING count(DISTINCT d) >= 10),
+l AS (SELECT lang, count(*) AS v, sum(n) AS total FROM k GROUP BY lang),
+g AS (SELECT DISTINCT lang, source FROM d),
+c AS MATERIALIZED (SELECT t.lang, t.source, t.term, count(*) AS n FROM t JOIN k USING (lang, term) GROUP BY ALL),
+s AS (SELECT lang, source, coalesce(v, 0) AS v, coalesce((SELECT sum(n) FROM c WHERE c.lang = g.lang AND c.source = g.source), 0) AS total
+      FROM g LEFT JOIN l USING (lang)),
+p AS MATERIALIZED (SELECT s.lang, s.source, k.term, coalesce(c.n, 0) AS n,
+        CAST(1 + (1000000000 * CAST(coalesce(c.n, 0) + 2 AS HUGEINT)) // (s.total + 2 * v) AS BIGINT) AS p
+      FROM s JOIN k USING (lang) LEFT JOIN c ON c.lang = s.lang AND c.source = s.source AND c.term = k.term),
+pair AS (SELECT a.lang, a.source, b.source AS item, CAST(coalesce(f, 0) AS BIGINT) AS value
+         FROM g a JOIN g b ON a.lang = b.lang AND a.source <> b.source LEFT JOIN (
+             SELECT x.lang, x.source, y.source AS item, sum(((x.p - y.p) * (x.p - y.p)) // (x.p + y.p)) AS f
+             FROM p x JOIN p y ON x.lang = y.lang AND x.term = y.term AND x.source <> y.source GROUP BY ALL) f
+         ON f.lang = a.lang AND f.source = a.source AND f.item = b.source),
+q AS (SELECT k.lang, term, CAST(1 + (1000000000 * CAST(n + 2 AS HUGEINT)) // (total + 2 * v) AS BIGINT) AS q FROM k JOIN l USING (lang)),
+term AS (SELECT p.lang, source, p.term AS item, ((p - q) * (p - q)) // (p + q) AS value FROM p JOIN q ON p.lang = q.lang AND p.term = q.term WHERE n > 0 AND p > q),
+every AS (SELECT 'pair' AS part, * FROM pair UNION ALL SELECT 'term' AS part, * FROM term)
+SELECT lang, source, part, item, value, CAST(row_number() OVER (PARTITION BY lang, source, part ORDER BY value DESC, item) AS INT) AS rank
+FROM every QUALIFY part = 'pair' OR rank <= 10
 """,
 }
