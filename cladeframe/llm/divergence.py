@@ -2,15 +2,19 @@
 
 A chunk is a maximal stretch without white space. Tasks gather documents into
 blocks and count chunks for each document; a block has one row for each of its
-chunks, with the places of the documents in the block and the counts packed
-into one value. Every globally distinct chunk is split into its terms once,
-and the terms are joined back to the rows. Rows of one term then meet inside
-their block, where documents that hold it by several chunks count once. So a
-very frequent word has a row a block and no group grows with the corpus.
+chunks and languages, with the occurrences in each source, the number of
+documents and, where these are few, their places in the block. So a very
+frequent word has a row a block and no group grows with the corpus.
 
-Terms have at least ``least`` documents of their language; each group (language,
-source) gives each kept term an integer share p of a billion, smoothed by two,
-and two groups differ by the sum of floor((p - q)^2 / (p + q)).
+Every globally distinct chunk is split into its terms once, and the terms are
+joined back. The documents of a term's chunks add up to an upper bound of its
+own, the chunk with most of them is a lower one. Only where the bound of
+``least`` documents lies in between, the places of its chunks, few as they
+are, are united and counted.
+
+Each group (language, source) gives each kept term an integer share p of a
+billion, smoothed by two, and two groups differ by the sum of
+floor((p - q)^2 / (p + q)).
 
 Null text, language and source are ''. Every row of the input is a document of
 its own, repeated ones too; ids are not read. An empty table has no groups.
@@ -29,23 +33,12 @@ from cladeframe.llm.periodic import IS_WORD
 from cladeframe.session import cut
 
 TERM = r"[^\x00-\x40\x5B-\x60\x7B-\x7F]+"
-BLOCK_BYTES, BLOCK_ROWS = 12 << 20, 1 << 18  # a block is closed when it has so much text, or so many documents
-COUNT_BITS = 12  # an entry is place << 12 | count; larger counts take several entries
-BUCKETS = 8  # parts of a block's terms
+BLOCK_BYTES, PLACE_BITS = 24 << 20, 18  # a block is closed when it has so much text; at most 2**18 documents
+SLOTS = 1 << 20  # of the filter that holds back chunks before a join
 WHOLE = 1_000_000_000
 TERMS, SOURCES = 1024, 256  # of one comparison task
-UNITS = "block long, chunk string, entries binary, lang string, source string"
-SUMS = "lang string, source string, term string, docs long, n long"
-
-
-def _entries(places: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """(packed entries, entries of each input)."""
-    most = (1 << COUNT_BITS) - 1
-    several = -(-counts // most)
-    value = np.full(int(several.sum()), most, np.int64)
-    last = np.cumsum(several) - 1
-    value[last] = counts - (several - 1) * most
-    return (np.repeat(places, several) << COUNT_BITS | value).astype("<i4"), several
+BY = pa.struct([("source", pa.string()), ("n", pa.int64())])
+UNITS = "block long, lang string, chunk string, docs int, places array<int>, by array<struct<source: string, n: long>>"
 
 
 class Block:
@@ -64,39 +57,66 @@ class Block:
         self.groups += groups
         self.rows, self.size = self.rows + len(groups), self.size + len(octets)
 
-    def units(self):
-        """One row a chunk with the documents that hold it, then one a group with its documents."""
-        coded = pa.chunked_array(self.words, pa.large_binary()).dictionary_encode().combine_chunks()
-        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
-        key = coded.indices.to_numpy().astype(np.int64) << 18 | np.concatenate(self.places)
-        key.sort()
-        first = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.zeros(0, np.int64)
-        counts = np.diff(np.append(first, len(key)))
-        key = key[first]
-        values, several = _entries(key & (BLOCK_ROWS - 1), counts)
-        of_chunk = np.bincount(key >> 18, several, len(coded.dictionary)).astype(np.int64)
-        yield self._rows(coded.dictionary, values, of_chunk, None)
+    def units(self, least: int):
+        """One row a chunk and language, then one a language with its sources."""
         names = sorted(set(self.groups))
         number = {name: i for i, name in enumerate(names)}
         mine = np.array([number[g] for g in self.groups], np.int64)
-        order = np.argsort(mine, kind="stable")
-        values, _ = _entries(order, np.ones(len(order), np.int64))
-        yield self._rows(None, values, np.bincount(mine, minlength=len(names)), names)
-
-    def _rows(self, chunks, values, lengths, names):
-        """A batch of rows that take ``lengths`` entries each, in order."""
-        n = len(lengths)
-        bounds = np.concatenate(([0], np.cumsum(lengths))) * 4
-        packed = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(bounds), pa.py_buffer(values)]).cast(pa.binary())
-        chunks = pa.nulls(n, pa.string()) if chunks is None else chunks.cast(pa.large_string()).cast(pa.string())
-        lang, source = ([name[k] for name in names] if names else [None] * n for k in (0, 1))
-        return pa.RecordBatch.from_arrays(
-            [pa.array(np.full(n, self.number)), chunks, packed, pa.array(lang, pa.string()), pa.array(source, pa.string())],
-            names=["block", "chunk", "entries", "lang", "source"])
-
-
-def units(docs: DataFrame) -> DataFrame:
-    """(block, chunk, entries, lang, source): chunks of each block with their documents, and groups (null chunk) with theirs."""
+        langs = sorted({lang for lang, _ in names})
+        code = {lang: i for i, lang in enumerate(langs)}
+        lang_of = np.array([code[lang] for lang, _ in names], np.int64)
+        sources = pa.array([source for _, source in names], pa.string())
+
+        coded = pa.chunked_array(self.words, pa.large_binary()).dictionary_encode().combine_chunks()
+        coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
+        place = np.concatenate(self.places)
+        key = (coded.indices.to_numpy().astype(np.int64) * len(names) + mine[place]) << PLACE_BITS | place
+        key.sort()
+        one = _firsts(key)  # a chunk in a document
+        key, counts = key[one], np.diff(np.append(one, len(key)))
+        pair = key >> PLACE_BITS
+        two = _firsts(pair)  # a chunk in a source
+        n = np.add.reduceat(counts, two) if len(two) else counts
+        chunk, group = np.divmod(pair[two], len(names))
+        outer = _firsts(chunk * len(langs) + lang_of[group])  # a chunk in a language
+        bounds = np.append(two[outer], len(key))
+        docs = np.diff(bounds)
+        few = np.repeat(docs < least, docs)
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(outer), self.number)),
+            pa.array(langs, pa.string()).take(pa.array(lang_of[group[outer]])),
+            coded.dictionary.take(pa.array(chunk[outer])).cast(pa.large_string()).cast(pa.string()),
+            pa.array(docs, pa.int32()),
+            pa.ListArray.from_arrays(pa.array(_bounds(np.where(docs < least, docs, 0)), pa.int32()),
+                                     pa.array(key[few] & ((1 << PLACE_BITS) - 1), pa.int32())),
+            pa.ListArray.from_arrays(pa.array(np.append(outer, len(two)), pa.int32()), pa.StructArray.from_arrays(
+                [sources.take(pa.array(group)), pa.array(n, pa.int64())], fields=list(BY)))],
+            names=["block", "lang", "chunk", "docs", "places", "by"])
+        listed = np.searchsorted(lang_of, np.arange(len(langs) + 1))
+        yield pa.RecordBatch.from_arrays([
+            pa.array(np.full(len(langs), self.number)), pa.array(langs, pa.string()), pa.nulls(len(langs), pa.string()),
+            pa.array(np.zeros(len(langs)), pa.int32()), pa.array([[]] * len(langs), pa.list_(pa.int32())),
+            pa.ListArray.from_arrays(pa.array(listed, pa.int32()), pa.StructArray.from_arrays(
+                [sources, pa.array(np.zeros(len(names), np.int64))], fields=list(BY)))],
+            names=["block", "lang", "chunk", "docs", "places", "by"])
+
+
+def _firsts(values: np.ndarray) -> np.ndarray:
+    """Where a new value begins in sorted ``values``."""
+    return np.flatnonzero(np.concatenate(([True], values[1:] != values[:-1]))[:len(values)])
+
+
+def _bounds(lengths: np.ndarray) -> np.ndarray:
+    return np.concatenate(([0], np.cumsum(lengths)))
+
+
+def units(docs: DataFrame, least: int) -> DataFrame:
+    """(block, lang, chunk, docs, places, by): chunks of each block, and its sources in rows with a null chunk.
+
+    ``places`` lists the documents where there are fewer than ``least``.
+    """
+    most_bytes, most_rows = BLOCK_BYTES, 1 << PLACE_BITS - 1
+
     def run(batches):
         made = 0
         block = None
@@ -107,66 +127,54 @@ def units(docs: DataFrame) -> DataFrame:
                     block = Block((TaskContext.get().partitionId() << 32) + made)
                     made += 1
                 block.add(octets, offsets, list(zip(lang[first:last], source[first:last])))
-                if block.size >= BLOCK_BYTES or block.rows > BLOCK_ROWS - (1 << 16):
-                    yield from block.units()
+                if block.size >= most_bytes or block.rows > most_rows:
+                    yield from block.units(least)
                     block = None
         if block is not None:
-            yield from block.units()
+            yield from block.units(least)
 
     prepare(docs.sparkSession)
     plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
     return plain.mapInArrow(run, UNITS)
 
 
-def chunk_terms(chunks: DataFrame) -> DataFrame:
-    """(chunk, term, m): the terms of each distinct chunk and how often it holds them."""
+def chunk_terms(rows: DataFrame) -> DataFrame:
+    """(chunk, terms, langs): every distinct chunk with its terms, repeated ones too, and its documents in each language."""
+    sums = rows.where("chunk IS NOT NULL").groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"))
+    chunks = sums.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs"))  # one entry a language
     found = F.regexp_extract_all(F.translate("chunk", UPPER, UPPER.lower()), F.lit(TERM), F.lit(0))
-    return chunks.where("chunk IS NOT NULL").select("chunk").distinct().select("chunk", F.explode(found).alias("term")).groupBy(
-        "chunk", "term").agg(F.count("*").alias("m"))
-
-
-def _sums(table: pa.Table) -> pa.Table:
-    """(lang, source, term, docs, n) of the rows of one part of a block."""
-    term = table.column("term").combine_chunks()
-    is_group = term.is_null().to_numpy(zero_copy_only=False)
-    values = table.column("entries").combine_chunks().cast(pa.large_binary())
-    bounds = np.frombuffer(values.buffers()[1], np.int64)[values.offset:values.offset + len(values) + 1] // 4
-    lengths = np.diff(bounds)
-    entries = np.frombuffer(values.buffers()[2], "<i4")[bounds[0]:bounds[-1]].astype(np.int64) if bounds[-1] > bounds[0] else np.zeros(0, np.int64)
-    row = np.repeat(np.arange(len(table)), lengths)
-    place, count = entries >> COUNT_BITS, entries & ((1 << COUNT_BITS) - 1)
-
-    of_group = is_group[row]
-    group = np.zeros(int(place.max()) + 1 if len(place) else 1, np.int64)
-    group[place[of_group]] = row[of_group]  # the row that names the document's group
-    coded = term.dictionary_encode()
-    code = coded.indices.fill_null(0).to_numpy().astype(np.int64)
-    row, place, count = row[~of_group], place[~of_group], count[~of_group] * table.column("m").to_numpy()[row[~of_group]]
-    key = code[row] * len(group) + place
-    order = np.argsort(key)
-    key, count = key[order], count[order]
-    fresh = np.concatenate(([True], key[1:] != key[:-1]))[:len(key)]
-    owner, inverse = np.unique(key // len(group) * len(table) + group[key % len(group)], return_inverse=True)
-    docs = np.bincount(inverse[fresh], minlength=len(owner))
-    n = np.zeros(len(owner), np.int64)
-    np.add.at(n, inverse, count)
-    named = pa.array(owner % len(table))
-    return pa.table({"lang": table.column("lang").take(named), "source": table.column("source").take(named),
-                     "term": coded.dictionary.take(pa.array(owner // len(table))), "docs": pa.array(docs, pa.int64()), "n": pa.array(n)})
-
-
-def term_counts(docs: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """((lang, source) of all groups, (lang, source, term, docs, n) of their terms)."""
-    rows = cut(units(docs))
-    joined = rows.where("chunk IS NOT NULL").join(chunk_terms(rows), "chunk").select(
-        F.pmod(F.hash("term"), F.lit(BUCKETS)).alias("bucket"), "block", "term", "m", "entries",
-        F.lit(None).cast("string").alias("lang"), F.lit(None).cast("string").alias("source"))
-    named = rows.where("chunk IS NULL").select(
-        F.explode(F.array(*map(F.lit, range(BUCKETS)))).alias("bucket"), "block", F.lit(None).cast("string").alias("term"),
-        F.lit(1).cast("long").alias("m"), "entries", "lang", "source")
-    sums = joined.union(named).groupBy("bucket", "block").applyInArrow(_sums, SUMS)
-    counts = sums.groupBy("lang", "source", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("n"))
-    return rows.where("chunk IS NULL").select("lang", "source").distinct(), counts
+    return chunks.select("chunk", found.alias("terms"), "langs").where(F.size("terms") > 0)
+
+
+def _held(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
+    """``rows`` joined with ``wanted`` on language and chunk; a filter of fixed size holds back most others before the shuffle."""
+    slot = F.pmod(F.hash("chunk"), F.lit(SLOTS)).alias("slot")
+    slots = wanted.select(slot).distinct()  # at most SLOTS numbers
+    near = rows.where("chunk IS NOT NULL").select("lang", "chunk", *columns, slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    return near.join(wanted, ["lang", "chunk"])
+
+
+def kept_terms(rows: DataFrame, chunks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """((lang, term) in at least ``least`` documents, (lang, chunk, term) of terms that may be, once an occurrence in the chunk)."""
+    each = chunks.select("chunk", F.explode("langs").alias("l"), "terms").select("chunk", "l.lang", "l.docs", "terms")
+    bounds = each.select("lang", "docs", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").agg(
+        F.sum("docs").alias("most"), F.max("docs").alias("some"))
+    possible = cut(bounds.where(F.col("most") >= least).select("lang", "term", (F.col("some") >= least).alias("sure")))
+    of_chunk = cut(each.select("lang", "chunk", F.explode("terms").alias("term")).join(possible, ["lang", "term"]))
+    open_ = of_chunk.where("NOT sure").select("lang", "chunk", "term").distinct()
+    # All chunks of an open term have fewer documents than ``least``, so their places are complete.
+    united = _held(rows, open_, ["block", "places"]).select("lang", "term", "block", F.explode("places").alias("place")).distinct()
+    enough = united.groupBy("lang", "term").count().where(F.col("count") >= least).select("lang", "term")
+    return cut(possible.where("sure").select("lang", "term").union(enough)), of_chunk.select("lang", "chunk", "term")
+
+
+def term_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
+    """((lang, source) of all groups, (lang, source, term, n) of the kept terms)."""
+    rows = cut(units(docs, least))
+    kept, of_chunk = kept_terms(rows, cut(chunk_terms(rows)), least)
+    counted = _held(rows, of_chunk.join(kept, ["lang", "term"], "left_semi"), ["by"]).select("lang", "term", F.inline("by")).groupBy(
+        "lang", "source", "term").agg(F.sum("n").alias("n"))
+    return rows.where("chunk IS NULL").select("lang", F.inline("by")).select("lang", "source").distinct(), counted
 
 
 def _share(n: Column, total: Column, kept: Column) -> Column:
@@ -207,11 +215,11 @@ def divergence(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     first; part ``term`` the ``top`` terms that set the group apart from its
     language. Equal values are ordered by item.
     """
-    named, counts = term_counts(docs)
+    named, counts = term_counts(docs, least)
     counts, named = cut(counts), cut(named)
-    kept = cut(counts.groupBy("lang", "term").agg(F.sum("docs").alias("docs"), F.sum("n").alias("lang_n")).where(F.col("docs") >= least))
+    kept = cut(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
-    known = cut(counts.join(kept.select("lang", "term", "lang_n"), ["lang", "term"]).select("lang", "source", "term", "n", "lang_n"))
+    known = counts.join(kept, ["lang", "term"])
     totals = known.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     in_lang = Window.partitionBy("lang").orderBy("source")
     groups = cut(named.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").select(
