@@ -37,8 +37,7 @@ BLOCK_BYTES, PLACE_BITS = 24 << 20, 18  # a block is closed when it has so much
 SLOTS = 1 << 20  # of the filter that holds back chunks before a join
 WHOLE = 1_000_000_000
 TERMS, SOURCES = 1024, 256  # of one comparison task
-BY = pa.struct([("source", pa.string()), ("n", pa.int64())])
-UNITS = "block long, lang string, chunk string, docs int, places array<int>, by array<struct<source: string, n: long>>"
+UNITS = "block long, lang string, chunk string, docs int, places array<int>, by array<long>"
 
 
 class Block:
@@ -48,9 +47,9 @@ class Block:
         self.number, self.size, self.rows = number, 0, 0
         self.words: list[pa.Array] = []
         self.places: list[np.ndarray] = []
-        self.groups: list[tuple[str, str]] = []
+        self.groups: list[tuple[str, int]] = []
 
-    def add(self, octets: np.ndarray, offsets: np.ndarray, groups: list[tuple[str, str]]) -> None:
+    def add(self, octets: np.ndarray, offsets: np.ndarray, groups: list[tuple[str, int]]) -> None:
         starts, ends, of_row = word_bounds(octets, IS_WORD, offsets)
         self.words.append(word_array(octets, IS_WORD, starts, ends))
         self.places.append(np.repeat(np.arange(self.rows, self.rows + len(groups), dtype=np.int32), np.diff(of_row)))
@@ -58,14 +57,14 @@ class Block:
         self.rows, self.size = self.rows + len(groups), self.size + len(octets)
 
     def units(self, least: int):
-        """One row a chunk and language, then one a language with its sources."""
+        """One row a chunk and language."""
         names = sorted(set(self.groups))
         number = {name: i for i, name in enumerate(names)}
         mine = np.array([number[g] for g in self.groups], np.int64)
         langs = sorted({lang for lang, _ in names})
         code = {lang: i for i, lang in enumerate(langs)}
         lang_of = np.array([code[lang] for lang, _ in names], np.int64)
-        sources = pa.array([source for _, source in names], pa.string())
+        source = np.array([number for _, number in names], np.int64)
 
         coded = pa.chunked_array(self.words, pa.large_binary()).dictionary_encode().combine_chunks()
         coded = coded.chunk(0) if isinstance(coded, pa.ChunkedArray) else coded
@@ -89,15 +88,7 @@ class Block:
             pa.array(docs, pa.int32()),
             pa.ListArray.from_arrays(pa.array(_bounds(np.where(docs < least, docs, 0)), pa.int32()),
                                      pa.array(key[few] & ((1 << PLACE_BITS) - 1), pa.int32())),
-            pa.ListArray.from_arrays(pa.array(np.append(outer, len(two)), pa.int32()), pa.StructArray.from_arrays(
-                [sources.take(pa.array(group)), pa.array(n, pa.int64())], fields=list(BY)))],
-            names=["block", "lang", "chunk", "docs", "places", "by"])
-        listed = np.searchsorted(lang_of, np.arange(len(langs) + 1))
-        yield pa.RecordBatch.from_arrays([
-            pa.array(np.full(len(langs), self.number)), pa.array(langs, pa.string()), pa.nulls(len(langs), pa.string()),
-            pa.array(np.zeros(len(langs)), pa.int32()), pa.array([[]] * len(langs), pa.list_(pa.int32())),
-            pa.ListArray.from_arrays(pa.array(listed, pa.int32()), pa.StructArray.from_arrays(
-                [sources, pa.array(np.zeros(len(names), np.int64))], fields=list(BY)))],
+            pa.ListArray.from_arrays(pa.array(np.append(outer, len(two)), pa.int32()), pa.array(source[group] << 32 | n, pa.int64()))],
             names=["block", "lang", "chunk", "docs", "places", "by"])
 
 
@@ -110,8 +101,14 @@ def _bounds(lengths: np.ndarray) -> np.ndarray:
     return np.concatenate(([0], np.cumsum(lengths)))
 
 
-def units(docs: DataFrame, least: int) -> DataFrame:
-    """(block, lang, chunk, docs, places, by): chunks of each block, and its sources in rows with a null chunk.
+def numbered(docs: DataFrame) -> DataFrame:
+    """(lang, source, number): all groups, numbered inside their language."""
+    place = F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1
+    return docs.select("lang", "source").distinct().select("lang", "source", place.alias("number"))
+
+
+def units(docs: DataFrame, groups: DataFrame, least: int) -> DataFrame:
+    """(block, lang, chunk, docs, places, by): chunks of each block; ``by`` has the number of each source << 32 | its occurrences.
 
     ``places`` lists the documents where there are fewer than ``least``.
     """
@@ -121,12 +118,12 @@ def units(docs: DataFrame, least: int) -> DataFrame:
         made = 0
         block = None
         for batch in batches:
-            lang, source = (batch.column(k).to_pylist() for k in (1, 2))
+            lang, number = (batch.column(k).to_pylist() for k in (1, 2))
             for first, last, octets, offsets in slices_of(batch.column(0)):
                 if block is None:
                     block = Block((TaskContext.get().partitionId() << 32) + made)
                     made += 1
-                block.add(octets, offsets, list(zip(lang[first:last], source[first:last])))
+                block.add(octets, offsets, list(zip(lang[first:last], number[first:last])))
                 if block.size >= most_bytes or block.rows > most_rows:
                     yield from block.units(least)
                     block = None
@@ -134,13 +131,13 @@ def units(docs: DataFrame, least: int) -> DataFrame:
             yield from block.units(least)
 
     prepare(docs.sparkSession)
-    plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
-    return plain.mapInArrow(run, UNITS)
+    # Spark sees the size of the written groups and broadcasts them only where they are few.
+    return docs.join(groups, ["lang", "source"]).select("text", "lang", "number").mapInArrow(run, UNITS)
 
 
 def chunk_terms(rows: DataFrame) -> DataFrame:
     """(chunk, terms, langs): every distinct chunk with its terms, repeated ones too, and its documents in each language."""
-    sums = rows.where("chunk IS NOT NULL").groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"))
+    sums = rows.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"))
     chunks = sums.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs"))  # one entry a language
     found = F.regexp_extract_all(F.translate("chunk", UPPER, UPPER.lower()), F.lit(TERM), F.lit(0))
     return chunks.select("chunk", found.alias("terms"), "langs").where(F.size("terms") > 0)
@@ -150,7 +147,7 @@ def _held(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
     """``rows`` joined with ``wanted`` on language and chunk; a filter of fixed size holds back most others before the shuffle."""
     slot = F.pmod(F.hash("chunk"), F.lit(SLOTS)).alias("slot")
     slots = wanted.select(slot).distinct()  # at most SLOTS numbers
-    near = rows.where("chunk IS NOT NULL").select("lang", "chunk", *columns, slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
+    near = rows.select("lang", "chunk", *columns, slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
     return near.join(wanted, ["lang", "chunk"])
 
 
@@ -169,12 +166,15 @@ def kept_terms(rows: DataFrame, chunks: DataFrame, least: int) -> tuple[DataFram
 
 
 def term_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
-    """((lang, source) of all groups, (lang, source, term, n) of the kept terms)."""
-    rows = cut(units(docs, least))
+    """((lang, source, number) of all groups, (lang, source, term, n) of the kept terms)."""
+    plain = docs.select(*[F.coalesce(F.col(c).cast("string"), F.lit("")).alias(c) for c in ("text", "lang", "source")])
+    groups = cut(numbered(plain))
+    rows = cut(units(plain, groups, least))
     kept, of_chunk = kept_terms(rows, cut(chunk_terms(rows)), least)
-    counted = _held(rows, of_chunk.join(kept, ["lang", "term"], "left_semi"), ["by"]).select("lang", "term", F.inline("by")).groupBy(
-        "lang", "source", "term").agg(F.sum("n").alias("n"))
-    return rows.where("chunk IS NULL").select("lang", F.inline("by")).select("lang", "source").distinct(), counted
+    held = _held(rows, of_chunk.join(kept, ["lang", "term"], "left_semi"), ["by"]).select("lang", "term", F.explode("by").alias("e"))
+    counted = held.select("lang", "term", F.shiftright("e", 32).alias("number"), F.col("e").bitwiseAND((1 << 32) - 1).alias("n")).groupBy(
+        "lang", "number", "term").agg(F.sum("n").alias("n"))
+    return groups, counted.join(groups, ["lang", "number"]).select("lang", "source", "term", "n")
 
 
 def _share(n: Column, total: Column, kept: Column) -> Column:
@@ -216,15 +216,14 @@ def divergence(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     language. Equal values are ordered by item.
     """
     named, counts = term_counts(docs, least)
-    counts, named = cut(counts), cut(named)
+    counts = cut(counts)
     kept = cut(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
     known = counts.join(kept, ["lang", "term"])
     totals = known.groupBy("lang", "source").agg(F.sum("n").alias("total"))
-    in_lang = Window.partitionBy("lang").orderBy("source")
     groups = cut(named.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").select(
-        "lang", "source", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "kept", "lang_total")]).withColumn(
-        "tile", F.floor((F.row_number().over(in_lang) - 1) / SOURCES).cast("int")))
+        "lang", "source", "number", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "kept", "lang_total")]).withColumn(
+        "tile", F.floor(F.col("number") / SOURCES).cast("int")))
     shared = known.join(groups, ["lang", "source"]).withColumn("p", _share(F.col("n"), F.col("total"), F.col("kept")))
 
     # A language without kept terms still has one part, of zeros.
