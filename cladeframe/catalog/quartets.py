@@ -151,12 +151,12 @@ def evidence_merge(spark, folder):
 
 def _classified(spark, folder):
     """Scored quartets with their topology in the supplier tree."""
-    from cladeframe.operators import trees
+    from cladeframe.operators import ancestry, trees
     tree, rows, n = frame_quartets(spark, folder, 2)
     known, proposed = _evidence(spark, folder)
     merged = cut(quartets.merge_evidence(known, proposed.join(known, KEY, "left_anti")))
-    paths = trees.leaf_paths(tree, n)
-    return tree, n, trees.discriminate(trees.classify(merged, paths), trees.frames(tree, n), paths)
+    places = ancestry.ancestry(tree, n)
+    return tree, n, ancestry.discriminate(ancestry.classify(merged, places), trees.frames(tree, n), places)
 
 
 def streamsum_gains(spark, folder):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from cladeframe.catalog.common import EDGES, FRAMES, LEAF_COUNT, REACH, edges, nearest_sql, tidy, with_
-from cladeframe.operators import moves, trees
+from cladeframe.operators import ancestry, moves, trees
 from cladeframe.sources import tables
 
 # The operators take a set of taxa to keep or to anchor; here it is the suppliers in credit.
@@ -112,8 +112,8 @@ def quartet_topology(spark, folder):
     rows = trees.explode_lists(trees.frame_lists(trees.frames(tree, n), trees.nearest_leaves(tree, n, 2)))
     quartets = rows.select(*canonical(*[F.col(f"x{i}") for i in range(4)])).distinct()
     other = _moved(spark, folder)
-    paths = trees.leaf_paths(other, n)
-    found = trees.discriminate(trees.classify(quartets, paths), trees.frames(other, n), paths)
+    places = ancestry.ancestry(other, n)
+    found = ancestry.discriminate(ancestry.classify(quartets, places), trees.frames(other, n), places)
     return tidy(found.na.fill(-1, ["u", "v", "alt1"]))
 
 

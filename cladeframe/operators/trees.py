@@ -282,97 +282,6 @@ def round_robin_panel(frame: DataFrame, size: int) -> DataFrame:
                         *[kept(g).alias(f"l{x}") for g, x in enumerate("abcd")])
 
 
-def leaf_paths(edges: DataFrame, leaves: int, root: int = 0, parents: DataFrame | None = None) -> DataFrame:
-    """(leaf, path): ancestors of every leaf from the root downwards, itself last.
-
-    Ancestor lists grow fourfold each round.
-    """
-    parents = rooted(edges, leaves, root).select("node", "parent") if parents is None else parents
-    state = cut(parents.select("node", F.array("node").alias("path"), F.col("parent").alias("next")))
-    while not empty(state.where("next is not null")):
-        above = state.select(F.col("node").alias("next"), F.col("path").alias("_p"), F.col("next").alias("_n"))
-        for _ in range(3):
-            longer = F.when(F.col("_p").isNull(), F.col("path")).otherwise(F.concat("_p", "path"))
-            state = state.join(above, "next", "left").select("node", longer.alias("path"), F.col("_n").alias("next"))
-        state = cut(state)
-    return state.where(F.col("node") < leaves).select(F.col("node").alias("leaf"), "path")
-
-
-def classify(quartets: DataFrame, paths: DataFrame) -> DataFrame:
-    """Topology of each quartet in a tree, and the edge it speaks about.
-
-    Adds (cls, p, p_up, q, q_up): cls is the split found by the four-point
-    rule, p and q are the nodes where the pair with q0 and the other pair join
-    the path between the pairs, p_up and q_up the parents of these nodes.
-    """
-    rows = quartets
-    for i in range(4):
-        rows = rows.join(paths.select(F.col("leaf").alias(f"q{i}"), F.col("path").alias(f"_p{i}")), f"q{i}")
-
-    def common(i: int, j: int) -> Column:
-        return F.size(F.array_intersect(f"_p{i}", f"_p{j}"))
-
-    pairs = [(0, 1), (2, 3), (0, 2), (1, 3), (0, 3), (1, 2)]
-    rows = rows.select(*quartets.columns, *[F.col(f"_p{i}") for i in range(4)],
-                       *[common(i, j).alias(f"_c{i}{j}") for i, j in pairs])
-    # Depth of a common ancestor replaces distance: larger shared depth is a closer pair.
-    first, second, third = (F.col(f"_c{i}{j}") + F.col(f"_c{k}{m}") for (i, j), (k, m) in zip(pairs[::2], pairs[1::2]))
-    cls = F.when((first >= second) & (first >= third), 0).when(second >= third, 1).otherwise(2)
-    rows = rows.withColumn("cls", cls)
-
-    def joint(x: str, y: str, z: str) -> Column:
-        """Node where the paths of three leaves meet: the deepest pairwise ancestor."""
-        options = [F.struct(F.size(F.array_intersect(m, n)).alias("depth"), F.col(m).alias("path"))
-                   for m, n in ((x, y), (x, z), (y, z))]
-        best = F.greatest(*[o["depth"] for o in options])
-        path = F.coalesce(*[F.when(o["depth"] == best, o["path"]) for o in options])
-        return F.struct(F.element_at(path, best).alias("node"), F.get(path, best - 2).alias("up"))
-
-    mate = F.when(F.col("cls") == 0, 1).when(F.col("cls") == 1, 2).otherwise(3)
-    partner = F.element_at(F.array("_p1", "_p2", "_p3"), mate)
-    far = F.when(F.col("cls") == 0, F.col("_p2")).otherwise(F.col("_p1"))
-    last = F.when(F.col("cls") == 2, F.col("_p2")).otherwise(F.col("_p3"))
-    rows = rows.withColumn("_m", partner).withColumn("_f", far).withColumn("_g", last)
-    rows = rows.withColumn("p", joint("_p0", "_m", "_f")).withColumn("q", joint("_f", "_g", "_p0"))
-    return rows.select(*quartets.columns, "cls", F.col("p.node").alias("p"), F.col("p.up").alias("p_up"),
-                       F.col("q.node").alias("q"), F.col("q.up").alias("q_up"))
-
-
-def discriminate(classified: DataFrame, frame: DataFrame, paths: DataFrame) -> DataFrame:
-    """Attach the frame whose edge separates the two pairs, and alt1.
-
-    alt1 is the class that interchange 1 of the frame (b with c) would give
-    the quartet: the class that pairs its taxon beyond a with the one beyond c.
-    """
-    lookup = frame.select(F.col("u").alias("_u"), F.col("v").alias("_v"), "a", "b", "c", "d")
-    rows = classified.withColumn("_u", F.least("p", "q")).withColumn("_v", F.greatest("p", "q")).join(
-        lookup, ["_u", "_v"], "left")
-    for i in range(4):
-        rows = rows.join(paths.select(F.col("leaf").alias(f"q{i}"), F.col("path").alias(f"_p{i}")), f"q{i}")
-
-    found = F.col("a").isNotNull()
-    # q0 lies beyond p. The neighbour of p on the path to q0 tells its group, and likewise for the taxa beyond q.
-    rows = rows.withColumn("_g0", _toward("_p0", "p"))
-    far = [F.when(F.col("cls") == 0, F.col("_p2")).otherwise(F.col("_p1")),
-           F.when(F.col("cls") == 2, F.col("_p2")).otherwise(F.col("_p3"))]
-    rows = rows.withColumn("_far", far[0]).withColumn("_g2", _toward("_far", "q"))
-    near_first = F.when(F.col("p") == F.col("_u"), F.col("_g0") == F.col("a")).otherwise(F.col("_g0") == F.col("c"))
-    far_first = F.when(F.col("p") == F.col("_u"), F.col("_g2") == F.col("c")).otherwise(F.col("_g2") == F.col("a"))
-    # Interchange 1 pairs a-side with c-side: q0 joins the first far taxon when both are first or both second.
-    with_first = near_first == far_first
-    first_far = F.when(F.col("cls") == 0, 1).otherwise(0)   # class pairing q0 with the lower far taxon
-    second_far = F.when(F.col("cls") == 2, 1).otherwise(2)  # class pairing q0 with the upper far taxon
-    return rows.select(
-        *classified.columns, F.when(found, F.col("_u")).alias("u"), F.when(found, F.col("_v")).alias("v"),
-        F.when(found, F.when(with_first, first_far).otherwise(second_far)).alias("alt1")).drop("p", "p_up", "q", "q_up")
-
-
-def _toward(path: str, node: str) -> Column:
-    """Neighbour of ``node`` on the way to the leaf of ``path``: a child or the parent."""
-    at = F.array_position(path, F.col(node))
-    return F.when(at > 0, F.get(path, at.cast("int"))).otherwise(F.col(f"{node}_up"))
-
-
 def beyond_counts(edges: DataFrame, leaves: int, marked: DataFrame) -> DataFrame:
     """(src, dst, marked): marked leaves beyond every directed edge."""
     nodes = cut(rooted(edges, leaves))

@@ -69,10 +69,9 @@ def infer(spark: SparkSession, source: str, out: str, task: str, *, settings: di
         elif stage["id"] == "likelihood":
             patterns = likelihood_search.Patterns.of(cells, n)
             parsed = models.parse_model(stage["model"])
-            mixture, fits = starting_mixture(cells, parsed), min(8, stage["optimizer_iterations"])
-            edges, _ = likelihood_search.fit_lengths(edges.withColumn("length", F.lit(START_LENGTH)), n, patterns, mixture, fits)
-            mixture, fitted = likelihood_search.fit_model(edges, n, patterns, mixture, parsed.classes, parsed.invariant, stage["optimizer_iterations"])
-            edges, steps = likelihood_search.likelihood_nni(edges, n, patterns, mixture, min_gain=stage["min_gain"], fit_rounds=fits, **common)
+            edges, mixture, fitted = likelihood_search.fit(edges.withColumn("length", F.lit(START_LENGTH)), n, patterns, starting_mixture(cells, parsed),
+                                                           parsed.classes, parsed.invariant, stage["optimizer_iterations"])
+            edges, steps = likelihood_search.likelihood_nni(edges, n, patterns, mixture, min_gain=stage["min_gain"], **common)
             steps = [{"stage": "model", "rates": mixture.rates, "alpha": mixture.alpha, "invariant": mixture.invariant, "after": fitted}, *steps]
             if support:
                 lls = likelihood_search.scan(edges, n, patterns, mixture)

@@ -1,19 +1,22 @@
-"""Likelihood and parsimony over site patterns by joins along the tree.
+"""Likelihood and parsimony over site patterns.
 
-Messages are rows (node, pattern, category, four values); one join and one
-product per tree level move them towards the root. Patterns spread over the
-cluster, and no task needs the whole tree.
+Messages move over the tree by contraction (:mod:`cladeframe.plans.contraction`),
+so the number of stages does not follow its depth. Patterns spread over the
+cluster, and no task needs the whole tree. ``nodes`` is (node, parent), with
+tour steps and tip counts where they are known.
 """
 
 from __future__ import annotations
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions import models
 from cladeframe.operators import sites
+from cladeframe.plans import contraction
 from cladeframe.session import cut, ship_package
 
 M = ["m0", "m1", "m2", "m3"]
@@ -27,6 +30,12 @@ def pattern_cells(cells: DataFrame) -> tuple[DataFrame, DataFrame]:
     return rows, found.select("pattern", "weight", "inv_code")
 
 
+def model_rates(pi, rates, categories) -> tuple[np.ndarray, np.ndarray, list[float]]:
+    """(rate matrix, frequencies, rates of the categories)."""
+    pi = np.asarray(pi, float)
+    return models.rate_matrix(pi, np.asarray(rates, float)), pi, list(categories)
+
+
 def transition_table(lengths: DataFrame, pi, rates, categories) -> DataFrame:
     """(node, cat, p00 .. p33) for the edge above every node.
 
@@ -48,44 +57,16 @@ def transition_table(lengths: DataFrame, pi, rates, categories) -> DataFrame:
     return lengths.select("node", "length").mapInPandas(table, "node long, cat int, " + ", ".join(f"{n} double" for n in names))
 
 
-def _pass_up(values: DataFrame, step: DataFrame) -> DataFrame:
-    """Messages over the edge above each node: P times the node values."""
-    parts = [sum((F.col(f"p{i}{j}") * F.col(f"m{j}") for j in range(1, 4)), F.col(f"p{i}0") * F.col("m0")).alias(f"m{i}")
-             for i in range(4)]
-    return values.join(step, ["node", "cat"]).select("node", "parent", "pattern", "cat", *parts, "log")
-
+def site_log_likelihoods(nodes: DataFrame, leaf_cells: DataFrame, lengths: DataFrame, pi, rates, categories, weights: list[float]) -> DataFrame:
+    """(pattern, ll): log likelihood of each pattern with any observation.
 
-def upward(nodes: DataFrame, leaf_cells: DataFrame, table: DataFrame, depth: int) -> DataFrame:
-    """Messages arriving at the root leaf: (pattern, cat, m0..m3, log).
-
-    ``nodes`` is (node, parent, depth). Missing states send ones, so a leaf
-    without an observation sends nothing. Values are rescaled by their sum
-    at every level and the logarithm is carried along.
+    A missing state allows all four, so a leaf without an observation says nothing.
     """
-    step = cut(table.join(nodes.select("node", "parent"), "node"))
-    cats = table.select("cat").distinct()
-    state = F.col("state")
-    leaf = leaf_cells.join(nodes.select(F.col("node").alias("taxon"), "depth"), "taxon").select(
-        F.col("taxon").alias("node"), "depth", "pattern", *[F.when(state.isNull() | (state == i), 1.0).otherwise(0.0).alias(f"m{i}") for i in range(4)],
-        F.lit(0.0).alias("log")).join(F.broadcast(cats))  # at most 17 rate categories
-    leaf = cut(leaf)
-    carried = None
-    for level in range(depth, 0, -1):
-        here = leaf.where(F.col("depth") == level).select("node", "pattern", "cat", *M, "log")
-        rows = here if carried is None else here.unionByName(carried)
-        sent = _pass_up(rows, step)
-        joined = sent.groupBy(F.col("parent").alias("node"), "pattern", "cat").agg(
-            *[F.product(m).alias(m) for m in M], F.sum("log").alias("log"))
-        scale = F.col("m0") + F.col("m1") + F.col("m2") + F.col("m3")
-        carried = joined.withColumn("_s", scale).select(
-            "node", "pattern", "cat", *[(F.col(m) / F.col("_s")).alias(m) for m in M], (F.col("log") + F.ln("_s")).alias("log"))
-    return carried.drop("node")
-
-
-def site_log_likelihoods(nodes: DataFrame, leaf_cells: DataFrame, table: DataFrame, depth: int, pi,
-                         weights: list[float]) -> DataFrame:
-    """(pattern, ll): log likelihood of each pattern with any observation."""
-    arrived = upward(nodes, leaf_cells.where("taxon <> 0"), table, depth)
+    matrices = contraction.edge_matrices(lengths, [model_rates(pi, rates, categories)])
+    plan = contraction.schedule(contraction.with_tour(nodes))
+    found = contraction.Contraction(plan, matrices, contraction.Blocks.of(leaf_cells), contraction.SumProduct(pi))
+    found.rise()
+    arrived = found.arrived()
     root = leaf_cells.where("taxon = 0").select("pattern", F.col("state").alias("_root"))
     share = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), F.col("cat") + 1)
     seen = [F.lit(float(pi[i])) * F.col(f"m{i}") * F.when(F.col("_root").isNull() | (F.col("_root") == i), 1.0).otherwise(0.0)
@@ -93,122 +74,72 @@ def site_log_likelihoods(nodes: DataFrame, leaf_cells: DataFrame, table: DataFra
     rows = arrived.join(root, "pattern", "left").withColumn("_l", share * (seen[0] + seen[1] + seen[2] + seen[3]))
     top = rows.groupBy("pattern").agg(F.max("log").alias("_top"), F.collect_list(F.struct("_l", "log")).alias("_all"))
     total = F.expr("aggregate(_all, 0D, (a, s) -> a + s._l * exp(s.log - _top))")
-    # A pattern seen only at the root leaf has the frequency of its state.
-    alone = F.ln(F.element_at(F.array(*[F.lit(float(p)) for p in pi]), F.col("_root") + 1))
-    return top.select("pattern", (F.ln(total) + F.col("_top")).alias("_ll")).join(root, "pattern", "full").select(
-        "pattern", F.coalesce("_ll", alone).alias("ll"))
+    return top.select("pattern", (F.ln(total) + F.col("_top")).alias("ll"))
 
 
-def log_likelihood(nodes: DataFrame, cells: DataFrame, lengths: DataFrame, depth: int, pi, rates, categories,
-                   weights) -> DataFrame:
+def log_likelihood(nodes: DataFrame, cells: DataFrame, lengths: DataFrame, pi, rates, categories, weights) -> DataFrame:
     """One row: total log likelihood and site count over all patterns."""
     leaf_cells, weight = pattern_cells(cells)
-    table = transition_table(lengths, pi, rates, categories)
-    scored = site_log_likelihoods(nodes, cut(leaf_cells), table, depth, pi, weights)
+    scored = site_log_likelihoods(nodes, cut(leaf_cells), lengths, pi, rates, categories, weights)
     return weight.join(scored, "pattern", "left").agg(
         F.sum(F.col("weight") * F.coalesce("ll", F.lit(0.0))).alias("log_likelihood"), F.sum("weight").alias("sites"))
 
 
-def parsimony(nodes: DataFrame, leaf_cells: DataFrame, depth: int) -> DataFrame:
+#: One change costs one, whatever it is.
+CHANGE_COSTS = [0.0 if i == j else 1.0 for i in range(4) for j in range(4)]
+
+
+def parsimony(nodes: DataFrame, leaf_cells: DataFrame) -> DataFrame:
     """(pattern, changes): least number of state changes on the tree."""
-    state = F.col("state")
-    big = 1 << 30
-    parent = nodes.select("node", "parent")
-    leaf = leaf_cells.where("taxon <> 0").join(nodes.select(F.col("node").alias("taxon"), "depth"), "taxon").select(
-        F.col("taxon").alias("node"), "depth", "pattern", *[F.when(state == i, 0).otherwise(big).cast("long").alias(f"m{i}") for i in range(4)])
-    leaf = cut(leaf)
-    carried = None
-    for level in range(depth, 0, -1):
-        here = leaf.where(F.col("depth") == level).select("node", "pattern", *M)
-        rows = here if carried is None else here.unionByName(carried)
-        low = F.least(*M) + 1
-        sent = rows.join(parent, "node").select("parent", "pattern", *[F.least(F.col(m), low).alias(m) for m in M])
-        carried = sent.groupBy(F.col("parent").alias("node"), "pattern").agg(*[F.sum(m).alias(m) for m in M])
+    plan = contraction.schedule(contraction.with_tour(nodes))
+    matrices = plan.items.select("node", F.array(*[F.lit(c) for c in CHANGE_COSTS]).alias("p"))
+    found = contraction.Contraction(plan, matrices, contraction.Blocks.of(leaf_cells), contraction.MinPlus())
+    found.rise()
     root = leaf_cells.where("taxon = 0").select("pattern", F.col("state").alias("_root"))
     own = F.element_at(F.array(*M), F.col("_root") + 1)
-    return carried.join(root, "pattern", "left").select(
+    return found.arrived().join(root, "pattern", "left").select(
         "pattern", F.coalesce(own, F.least(*M)).cast("long").alias("changes"))
 
 
-def jc_steps(nodes: DataFrame, cells: DataFrame, lengths: DataFrame, depth: int, iterations: int = 2,
+def jc_steps(nodes: DataFrame, cells: DataFrame, lengths: DataFrame, iterations: int = 32, tolerance: float = 1e-6,
              low: float = 1e-6, high: float = 10.0) -> tuple[DataFrame, list[float]]:
-    """(node, length) after expectation-maximisation steps under JC69.
+    """(node, length) after expectation-maximisation under JC69, and the log likelihood before each step.
 
-    The expected mismatch of an edge uses the likelihood of both ends: the
-    derivative route needs only log likelihoods, so each step evaluates
-    messages from both sides through :func:`edge_messages`.
+    The expected share of sites that differ across an edge follows from what
+    lies on either side of it, which one pass over the contracted tree sums up.
+    Steps end when the likelihood gains less than ``tolerance`` a site.
     """
     leaf_cells, weight = pattern_cells(cells)
     leaf_cells, weight = cut(leaf_cells), cut(weight)
     pi, rates = [0.25] * 4, [1.0] * 6
     total = weight.agg(F.sum("weight")).first()[0]
-    lengths, history = cut(lengths), []
+    plan = contraction.schedule(contraction.with_tour(nodes))
+    algebra, blocks = contraction.SumProduct(pi), contraction.Blocks.of(leaf_cells, weight)
+
+    def emit(block, part):
+        nodes, off, ll = [], [], []
+        for item, node in zip(part.items, part.nodes):
+            (v, log), (d, dlog) = part.value[item], part.outside[item]
+            x = (4 * part.edge[item][0, 0, 0] - 1) / 3
+            dot, sums = (d * v).sum(1)[0], (d.sum(1) * v.sum(1))[0]
+            every = x * dot + (1 - x) * sums / 4
+            nodes.append(node)
+            off.append(float((part.weights[0] * (1 - x) * (sums - dot) / 4 / every).sum()))
+            ll.append(float((part.weights[0] * (np.log(every / 4) + (log + dlog)[0])).sum()))
+        return pa.table({"node": pa.array(nodes, pa.int64()), "off": pa.array(off, pa.float64()), "ll": pa.array(ll, pa.float64())})
+
+    lengths, history, base = cut(lengths.select("node", "length")), [], None
+    top = plan.items.where("c0 = 1").select("node").first()[0]
     for _ in range(iterations):
-        up, down = edge_messages(nodes, leaf_cells, transition_table(lengths, pi, rates, [1.0]), depth)
-        x = F.exp(-4 * F.col("length") / 3)
-        dot = sum((F.col(f"d{i}") * F.col(f"m{i}") for i in range(1, 4)), F.col("d0") * F.col("m0"))
-        sums = (F.col("d0") + F.col("d1") + F.col("d2") + F.col("d3")) * (F.col("m0") + F.col("m1") + F.col("m2") + F.col("m3"))
-        rows = up.join(down, ["node", "pattern", "cat"]).join(lengths, "node").join(weight.select("pattern", "weight"), "pattern")
-        rows = rows.withColumn("_off", (1 - x) * (sums - dot) / 4).withColumn("_all", x * dot + (1 - x) * sums / 4)
-        moved = rows.groupBy("node").agg(F.sum(F.col("weight") * F.col("_off") / F.col("_all")).alias("_e"), F.sum("weight").alias("_w"))
-        # Patterns without a message on one side keep the prior mismatch of the edge.
-        prior = 0.75 * (1 - x)
-        expected = F.least((F.coalesce("_e", F.lit(0.0)) + (total - F.coalesce("_w", F.lit(0))) * prior) / total, F.lit(0.75 - 1e-8))
-        root_child = rows.where("root_child")
-        history.append(root_child.agg(F.sum(F.col("weight") * (F.ln(F.col("_all") / 4) + F.col("log") + F.col("dlog")))).first()[0])
-        lengths = cut(lengths.join(moved, "node", "left").select(
+        matrices = contraction.edge_matrices(lengths, [model_rates(pi, rates, [1.0])])
+        base = contraction.Contraction(plan, matrices, blocks, algebra) if base is None else base.with_edges(matrices)
+        base.rise(to_root=False)
+        sums = cut(base.descend(weight.select("pattern", "weight"), emit, "node long, off double, ll double").groupBy("node").agg(
+            F.sum("off").alias("off"), F.sum("ll").alias("ll")))
+        history.append(sums.where(F.col("node") == top).first()["ll"])
+        if len(history) > 1 and (history[-1] - history[-2]) / total < tolerance:
+            break
+        expected = F.least(F.col("off") / total, F.lit(0.75 - 1e-8))
+        lengths = cut(lengths.join(sums, "node", "left").select(
             "node", F.greatest(F.least(-0.75 * F.log1p(-4 * expected / 3), F.lit(high)), F.lit(low)).alias("length")))
     return lengths, history
-
-
-def edge_messages(nodes: DataFrame, leaf_cells: DataFrame, table: DataFrame, depth: int) -> tuple[DataFrame, DataFrame]:
-    """Values below (m, log) and above (d, dlog) every edge, for every rate category.
-
-    ``up`` is (node, pattern, cat, m0..m3, log), ``down`` (node, pattern, cat,
-    d0..d3, dlog, root_child): what the rest of the tree says at the parent end.
-    """
-    step = cut(table.join(nodes.select("node", "parent"), "node"))
-    cats = F.broadcast(table.select("cat").distinct())  # at most 17 rate categories
-    state = F.col("state")
-    one_hot = [F.when(state.isNull() | (state == i), 1.0).otherwise(0.0) for i in range(4)]
-    leaf = cut(leaf_cells.join(nodes.select(F.col("node").alias("taxon"), "depth"), "taxon").select(
-        F.col("taxon").alias("node"), "depth", "pattern", *[c.alias(f"m{i}") for i, c in enumerate(one_hot)], F.lit(0.0).alias("log")).join(cats))
-
-    def push(values: DataFrame, column: str) -> list:
-        return [sum((F.col(f"p{i}{j}") * F.col(f"{column}{j}") for j in range(1, 4)), F.col(f"p{i}0") * F.col(f"{column}0"))
-                for i in range(4)]
-
-    levels, carried = {}, None
-    for level in range(depth, 0, -1):
-        here = leaf.where(F.col("depth") == level).select("node", "pattern", "cat", *M, "log")
-        rows = cut(here if carried is None else here.unionByName(carried))
-        sent = cut(rows.join(step, ["node", "cat"]).select("node", "parent", "pattern", "cat", *[c.alias(f"s{i}") for i, c in enumerate(push(rows, "m"))], "log"))
-        levels[level] = (rows, sent)
-        joined = sent.groupBy(F.col("parent").alias("node"), "pattern", "cat").agg(
-            *[F.product(f"s{i}").alias(f"m{i}") for i in range(4)], F.sum("log").alias("log"))
-        scale = F.col("m0") + F.col("m1") + F.col("m2") + F.col("m3")
-        carried = joined.withColumn("_s", scale).select(
-            "node", "pattern", "cat", *[(F.col(m) / F.col("_s")).alias(m) for m in M], (F.col("log") + F.ln("_s")).alias("log"))
-    root = leaf_cells.where("taxon = 0").select(F.lit(0).cast("long").alias("parent"), "pattern",
-                                                *[c.alias(f"d{i}") for i, c in enumerate(one_hot)], F.lit(0.0).alias("dlog")).join(cats)
-    above, down = root, []
-    for level in range(1, depth + 1):
-        rows, sent = levels[level]
-        mine = sent.select("node", "parent", "pattern", "cat", *[F.col(f"s{i}").alias(f"_own{i}") for i in range(4)], F.col("log").alias("_olog"))
-        together = sent.groupBy("parent", "pattern", "cat").agg(*[F.product(f"s{i}").alias(f"_all{i}") for i in range(4)], F.sum("log").alias("_alog"))
-        base = mine.join(together, ["parent", "pattern", "cat"]).join(above, ["parent", "pattern", "cat"], "left")
-        value = [F.coalesce(F.col(f"d{i}"), F.lit(1.0)) * F.when(F.col(f"_own{i}") > 0, F.col(f"_all{i}") / F.col(f"_own{i}")).otherwise(0.0)
-                 for i in range(4)]
-        here = cut(base.select("node", "parent", "pattern", "cat", *[v.alias(f"d{i}") for i, v in enumerate(value)],
-                               (F.coalesce("dlog", F.lit(0.0)) + F.col("_alog") - F.col("_olog")).alias("dlog")))
-        down.append(here.select("node", "pattern", "cat", "d0", "d1", "d2", "d3", "dlog", (F.col("parent") == 0).alias("root_child")))
-        pushed = [sum((F.col(f"p{i}{j}") * F.col(f"d{j}") for j in range(1, 4)), F.col(f"p{i}0") * F.col("d0")) for i in range(4)]
-        above = here.join(step.drop("parent"), ["node", "cat"]).select(
-            F.col("node").alias("parent"), "pattern", "cat", *[c.alias(f"d{i}") for i, c in enumerate(pushed)], "dlog")
-    up = levels[depth][0]
-    for level in range(depth - 1, 0, -1):
-        up = up.unionByName(levels[level][0])
-    out = down[0]
-    for part in down[1:]:
-        out = out.unionByName(part)
-    return up, out

@@ -1,7 +1,10 @@
 """Interchange search by likelihood: scan, verify and halve, refit.
 
 All sums run over site patterns in tables; the driver keeps the model, a few
-totals and the history of the run.
+totals and the history of the run. Lengths and model parameters are fitted
+together by a quasi-Newton method whose vectors stay in tables: one pass over
+the contracted tree gives the likelihood and its derivatives, and the driver
+sees only their inner products.
 """
 
 from __future__ import annotations
@@ -9,16 +12,16 @@ from __future__ import annotations
 from dataclasses import dataclass, field, replace
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from cladeframe.functions import models
 from cladeframe.operators import moves, trees
 from cladeframe.operators.ordering import global_rank
-from cladeframe.plans import likelihood
+from cladeframe.plans import contraction, likelihood
 from cladeframe.session import cut
 
-STEPS = (0.25, 0.5, 0.71, 1.0, 1.41, 2.0, 4.0)  # factors that a length fit tries on every edge at once
 SHORTEST, LONGEST = 1e-6, 10.0
 
 
@@ -37,6 +40,9 @@ class Mixture:
         # The mean over all sites is one, those that never change included.
         return [float(r) / (1 - self.invariant) for r in gamma]
 
+    def variant(self) -> tuple[np.ndarray, np.ndarray, list[float]]:
+        return likelihood.model_rates(self.pi, self.rates, self.site_rates())
+
 
 @dataclass
 class Patterns:
@@ -44,6 +50,7 @@ class Patterns:
 
     cells: DataFrame
     weight: DataFrame
+    blocks: contraction.Blocks
 
     @staticmethod
     def of(cells: DataFrame, leaves: int) -> Patterns:
@@ -51,15 +58,30 @@ class Patterns:
         weight = cut(weight)
         # Messages of all leaves are what a search compares, so missing states are written out.
         every = weight.select("pattern", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(leaves - 1).cast("long"))).alias("taxon"))
-        return Patterns(cut(every.join(rows, ["pattern", "taxon"], "left")), weight)
+        return Patterns(cut(every.join(rows, ["pattern", "taxon"], "left")), weight, contraction.Blocks.of(cut(rows), weight))
+
+
+@dataclass
+class Tree:
+    """A topology ready for messages: its parts, and the edge (u, v) above every node."""
+
+    plan: contraction.Schedule
+    nodes: DataFrame
+    top: int
+
+    @staticmethod
+    def of(edges: DataFrame, leaves: int) -> Tree:
+        nodes = cut(trees.rooted(edges.select("u", "v"), leaves))
+        above = nodes.where("parent IS NOT NULL").select("node", "parent", F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"))
+        return Tree(contraction.schedule(nodes), cut(above), above.where("parent = 0").first()["node"])
 
+    def lengths(self, edges: DataFrame) -> DataFrame:
+        """(node, length) of edges (u, v, length)."""
+        return self.nodes.join(edges.select("u", "v", "length"), ["u", "v"]).select("node", "length")
 
-def _rooted(edges: DataFrame, leaves: int) -> tuple[DataFrame, DataFrame, int]:
-    """(nodes, (node, length), depth) of an edge table with lengths."""
-    nodes = cut(trees.rooted(edges.select("u", "v"), leaves))
-    above = nodes.where("parent IS NOT NULL").select("node", F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"))
-    lengths = cut(above.join(edges.select("u", "v", "length"), ["u", "v"]).select("node", "length"))
-    return nodes, lengths, nodes.agg(F.max("depth")).first()[0]
+    def messages(self, lengths: DataFrame, patterns: Patterns, model: Mixture) -> contraction.Contraction:
+        matrices = contraction.edge_matrices(lengths, [model.variant()])
+        return contraction.Contraction(self.plan, matrices, patterns.blocks, contraction.SumProduct(model.pi))
 
 
 def _mixed(rows: DataFrame, keys: list[str], values: list[str], model: Mixture, weight: DataFrame) -> DataFrame:
@@ -90,16 +112,19 @@ def scan(edges: DataFrame, leaves: int, patterns: Patterns, model: Mixture) -> D
 
     All lengths stay as they are.
     """
-    nodes, lengths, depth = _rooted(edges, leaves)
+    tree = Tree.of(edges, leaves)
+    lengths = cut(tree.lengths(edges))
     table = cut(likelihood.transition_table(lengths, model.pi, model.rates, model.site_rates()))
-    up, down = likelihood.edge_messages(nodes, patterns.cells, table, depth)
-    step = table.join(nodes.select("node", "parent"), "node")
+    found = tree.messages(lengths, patterns, model)
+    found.rise(to_root=False)
+    up = cut(found.messages())
+    step = table.join(tree.nodes.select("node", "parent"), "node")
 
     def pushed(values: DataFrame, letter: str, log: str, src: str, dst: str) -> DataFrame:
         through = [sum((F.col(f"p{i}{j}") * F.col(f"{letter}{j}") for j in range(4)), F.lit(0.0)).alias(f"m{i}") for i in range(4)]
         return values.join(step, ["node", "cat"]).select(F.col(src).alias("src"), F.col(dst).alias("dst"), "pattern", "cat", *through, F.col(log).alias("log"))
 
-    toward = cut(pushed(up, "m", "log", "node", "parent").unionByName(pushed(down, "d", "dlog", "parent", "node")))
+    toward = cut(pushed(up, "m", "log", "node", "parent").unionByName(pushed(up, "d", "dlog", "parent", "node")))
     frame = cut(trees.frames(edges.select("u", "v"), leaves))
     # Every inner edge is compared on every pattern: that is the sum itself.
     rows = frame.join(patterns.weight.select("pattern")).join(F.broadcast(table.select("cat").distinct()))
@@ -123,86 +148,190 @@ def scan(edges: DataFrame, leaves: int, patterns: Patterns, model: Mixture) -> D
     return cut(frame.join(totals, ["u", "v"]))
 
 
+def _invariant_share(model: Mixture):
+    """Likelihood of a pattern at a site that never changes, from its code: one state, all missing (4) or several (5)."""
+    frequency = F.element_at(F.array(*[F.lit(float(p)) for p in model.pi]), F.least(F.col("inv_code"), F.lit(3)) + 1)
+    return F.when(F.col("inv_code") == 4, 1.0).when(F.col("inv_code") == 5, 0.0).otherwise(frequency)
+
+
 def total(edges: DataFrame, leaves: int, patterns: Patterns, model: Mixture) -> float:
     """Log likelihood of the tree."""
-    nodes, lengths, depth = _rooted(edges, leaves)
-    table = likelihood.transition_table(lengths, model.pi, model.rates, model.site_rates())
-    arrived = likelihood.upward(nodes, patterns.cells.where("taxon <> 0"), table, depth)
-    root = patterns.cells.where("taxon = 0").select("pattern", F.col("state").alias("_root"))
-    seen = [F.lit(float(model.pi[i])) * F.coalesce(F.col(f"m{i}"), F.lit(1.0)) * F.when(F.col("_root").isNull() | (F.col("_root") == i), 1.0).otherwise(0.0) for i in range(4)]
-    cats = F.broadcast(table.select("cat").distinct())
-    rows = patterns.weight.select("pattern").join(cats).join(arrived, ["pattern", "cat"], "left").join(root, "pattern", "left").select(
-        "pattern", "cat", F.coalesce("log", F.lit(0.0)).alias("log"), sum(seen, F.lit(0.0)).alias("l"))
-    return _mixed(rows, [], ["l"], model, patterns.weight).agg(F.sum(F.col("weight") * F.col("ll_l"))).first()[0]
+    tree = Tree.of(edges, leaves)
+    return _slopes(tree, cut(tree.lengths(edges)), patterns, model, [])[0]
 
 
-def fit_lengths(edges: DataFrame, leaves: int, patterns: Patterns, model: Mixture, rounds: int = 8, tolerance: float = 1e-3) -> tuple[DataFrame, float]:
-    """Edges with better lengths, and the log likelihood.
+def _slopes(tree: Tree, lengths: DataFrame, patterns: Patterns, model: Mixture, neighbours: list[Mixture], step: float = 1e-4) -> tuple[float, list[float], DataFrame]:
+    """(log likelihood, its derivatives by the parameters, (node, slope) by the logarithm of each length).
 
-    In each round every edge takes the factor of ``STEPS`` that is best with
-    all other edges held; a round that overshoots is halved on the logarithm.
+    ``neighbours`` has two models for each parameter, ``step`` below and above.
     """
-    best, edges = total(edges, leaves, patterns, model), cut(edges)
-    for _ in range(rounds):
-        nodes, lengths, depth = _rooted(edges, leaves)
-        table = cut(likelihood.transition_table(lengths, model.pi, model.rates, model.site_rates()))
-        up, down = likelihood.edge_messages(nodes, patterns.cells, table, depth)
-        both = cut(up.join(down, ["node", "pattern", "cat"]))
-        scored = None
-        for factor in STEPS:
-            tried = likelihood.transition_table(lengths.withColumn("length", F.col("length") * factor), model.pi, model.rates, model.site_rates())
-            rows = both.join(tried, ["node", "cat"]).select(
-                "node", "pattern", "cat", (F.col("log") + F.col("dlog")).alias("log"),
-                _across([F.col(f"d{i}") for i in range(4)], [F.col(f"m{i}") for i in range(4)], model.pi).alias("l"))
-            part = _mixed(rows, ["node"], ["l"], model, patterns.weight).groupBy("node").agg(F.sum(F.col("weight") * F.col("ll_l")).alias("ll")).withColumn("factor", F.lit(factor))
-            scored = part if scored is None else scored.unionByName(part)
-        chosen = cut(scored.groupBy("node").agg(F.max_by("factor", F.struct("ll", -F.abs(F.ln("factor")))).alias("factor")))
-        gained = False
-        for damping in (1.0, 0.5, 0.25):
-            longer = F.least(F.greatest(F.col("length") * F.pow(F.coalesce("factor", F.lit(1.0)), F.lit(damping)), F.lit(SHORTEST)), F.lit(LONGEST))
-            new = lengths.join(chosen, "node", "left").select("node", longer.alias("length"))
-            moved = cut(nodes.where("parent IS NOT NULL").join(new, "node").select(
-                F.least("node", "parent").alias("u"), F.greatest("node", "parent").alias("v"), "length"))
-            ll = total(moved, leaves, patterns, model)
-            if ll > best + tolerance:
-                edges, best, gained = moved, ll, True
-                break
-        if not gained:
-            break
-    return edges, best
-
-
-def fit_model(edges: DataFrame, leaves: int, patterns: Patterns, model: Mixture, classes: str, invariant: bool, iterations: int = 32) -> tuple[Mixture, float]:
-    """Rates, gamma shape and invariant share, one after another, each pass one objective in Spark.
+    share = (1 - model.invariant) / model.categories
+    variants = [m.variant() for m in (model, *neighbours)]
+    moved = [(b.invariant - a.invariant) / (2 * step) for a, b in zip(neighbours[::2], neighbours[1::2])]
+    matrices = contraction.edge_matrices(lengths, variants, step)
+    found = contraction.Contraction(tree.plan, matrices, patterns.blocks, contraction.SumProduct(model.pi))
+    found.rise(to_root=False)
+    pi, invariant, top, names = np.array(model.pi)[:, None], model.invariant, tree.top, [f"t{k}" for k in range(len(moved))]
+
+    def emit(block, part):
+        rows = []
+        weight, still = part.weights
+        for item, node in zip(part.items, part.nodes):
+            (v, log), (d, dlog) = part.value[item], part.outside[item]
+            log = np.broadcast_to(log + dlog, (part.cats, part.width))
+            high = log.max(0)
+            scale = share * np.exp(log - high)
+
+            def across(p):
+                return ((pi * d * np.matmul(p, v)).sum(1) * scale).sum(0)
+
+            moving = across(part.edge[item])
+            site = moving + invariant * still * np.exp(-high)
+            site = np.where(site > 0, site, 1.0)
+            slopes = [float((weight * across(p) / site).sum()) for p in part.more[item]]
+            ll = 0.0
+            if node == top:
+                ll = float((weight * (np.log(site) + high)).sum())
+                # The share of sites that never change also weighs the two parts of the sum.
+                direct = float((weight * (still * np.exp(-high) - moving / (1 - invariant)) / site).sum())
+                slopes[1:] = [s + m * direct for s, m in zip(slopes[1:], moved)]
+            rows.append((node, ll, *slopes))
+        columns = list(zip(*rows))
+        return pa.table([pa.array(columns[0], pa.int64()), *[pa.array(c, pa.float64()) for c in columns[1:]]], names=["node", "ll", "slope", *names])
+
+    weights = patterns.weight.select("pattern", "weight", _invariant_share(model).alias("still"))
+    kind = "node long, " + ", ".join(f"{c} double" for c in ["ll", "slope", *names])
+    sums = cut(found.descend(weights, emit, kind).groupBy("node").agg(*[F.sum(c).alias(c) for c in ["ll", "slope", *names]]))
+    ll, *slopes = sums.agg(*[F.sum(c) for c in ["ll", *names]]).first()
+    return ll, slopes, sums.select("node", "slope")
+
+
+def gradient(edges: DataFrame, leaves: int, patterns: Patterns, model: Mixture) -> DataFrame:
+    """(node, slope): derivative of the log likelihood by the logarithm of the length above each node, seen from leaf 0."""
+    tree = Tree.of(edges, leaves)
+    return _slopes(tree, cut(tree.lengths(edges)), patterns, model, [])[2]
+
+
+MEMORY = 6  # steps that the quasi-Newton method remembers
+
+
+def _direction(gram: np.ndarray, k: int) -> np.ndarray:
+    """Weights of (steps, changes of the gradient, gradient) in the next step, from their inner products."""
+    weight = np.zeros(2 * k + 1)
+    weight[-1] = -1.0
+    back = np.zeros(k)
+    for i in reversed(range(k)):
+        back[i] = weight @ gram[i] / gram[i, k + i]
+        weight[k + i] -= back[i]
+    if k:
+        weight *= gram[k - 1, 2 * k - 1] / gram[2 * k - 1, 2 * k - 1]
+    for i in range(k):
+        weight[i] += back[i] - weight @ gram[k + i] / gram[i, k + i]
+    return weight
+
+
+class Parameters:
+    """Free parameters of a model, each on the whole line: log rates, log shape, log odds of invariant sites."""
+
+    def __init__(self, model: Mixture, classes: str = "", invariant: bool = False):
+        self.model, self.classes = model, classes
+        self.names = [c for c in sorted(set(classes)) if c != classes[-1]] if classes else []
+        self.names += (["alpha"] if model.categories > 1 and classes else []) + (["invariant"] if invariant else [])
+        rates = dict(zip(classes, model.rates))
+        start = {"alpha": model.alpha, "invariant": max(model.invariant, 0.01)}
+        value = [start.get(n, rates.get(n)) for n in self.names]
+        self.start = np.array([np.log(v / (1 - v)) if n == "invariant" else np.log(v) for n, v in zip(self.names, value)])
+        self.low = np.array([np.log(0.02) if n == "alpha" else -12.0 if n == "invariant" else np.log(1e-3) for n in self.names])
+        self.high = np.array([np.log(100.0) if n == "alpha" else 3.0 if n == "invariant" else np.log(1e3) for n in self.names])
+
+    def at(self, theta: np.ndarray) -> Mixture:
+        given = dict(zip(self.names, theta))
+        out = replace(self.model, rates=[float(np.exp(given[c])) if c in given else r for c, r in zip(self.classes, self.model.rates)] or self.model.rates)
+        if "alpha" in given:
+            out = replace(out, alpha=float(np.clip(np.exp(given["alpha"]), 0.02, 100.0)))
+        if "invariant" in given:
+            out = replace(out, invariant=float(1 / (1 + np.exp(-given["invariant"]))))
+        return out
+
+    def around(self, theta: np.ndarray, step: float) -> list[Mixture]:
+        return [self.at(theta + sign * step * np.eye(len(theta))[i]) for i in range(len(theta)) for sign in (-1, 1)]
+
+
+def fit(edges: DataFrame, leaves: int, patterns: Patterns, model: Mixture, classes: str = "", invariant: bool = False, iterations: int = 32,
+        tolerance: float = 1e-3) -> tuple[DataFrame, Mixture, float]:
+    """Edges, model and log likelihood after a joint fit of all lengths, and of rates, shape and invariant share where asked for.
 
     ``classes`` names the rate class of each base pair; the last class keeps
-    rate one. A parameter is tried a step up and down; its step halves when
-    neither helps. ``iterations`` bounds the passes over the parameters.
+    its rate. L-BFGS with bounds: the lengths and the last steps are a table
+    with a row for each edge, the few parameters live on the driver. It ends
+    when a step gains less than ``tolerance``, or after ``iterations``.
     """
-    names = [c for c in sorted(set(classes)) if c != classes[-1]]
-    steps = {name: 0.5 for name in [*names, *(["alpha"] if model.categories > 1 else []), *(["invariant"] if invariant else [])]}
-    best = total(edges, leaves, patterns, model)
-
-    def moved(name: str, by: float) -> Mixture:
-        if name == "alpha":
-            return replace(model, alpha=min(100.0, max(0.02, model.alpha * float(np.exp(by)))))
-        if name == "invariant":
-            return replace(model, invariant=min(0.95, max(0.0, model.invariant + by / 5)))
-        return replace(model, rates=[min(1e3, max(1e-3, r * float(np.exp(by)))) if c == name else r for c, r in zip(classes, model.rates)])
-
+    tree, step = Tree.of(edges, leaves), 1e-4
+    free = Parameters(model, classes, invariant)
+    theta, low, high = free.start.copy(), float(np.log(SHORTEST)), float(np.log(LONGEST))
+    none = F.expr("cast(array() as array<double>)")
+
+    def bounded(x):
+        return F.least(F.greatest(x, F.lit(low)), F.lit(high))
+
+    def downhill(x: DataFrame, theta: np.ndarray):
+        """(cost, gradient by the parameters, (node, x, g)); what would leave its bounds has no gradient."""
+        lengths = x.select("node", F.exp("x").alias("length"))
+        ll, by_theta, slopes = _slopes(tree, lengths, patterns, free.at(theta), free.around(theta, step), step)
+        g = -np.array(by_theta, float)
+        g = np.where((theta <= free.low) & (g > 0) | (theta >= free.high) & (g < 0), 0.0, g)
+        own = F.when((F.col("x") <= low) & (F.col("slope") < 0) | (F.col("x") >= high) & (F.col("slope") > 0), 0.0).otherwise(-F.col("slope"))
+        return -ll, g, x.join(slopes, "node").select("node", "x", own.alias("g"))
+
+    x = cut(tree.lengths(edges).select("node", bounded(F.ln("length")).alias("x")))
+    cost, g, state = downhill(x, theta)
+    state = cut(state.select("*", none.alias("s"), none.alias("y")))
+    past_s, past_y = [], []
     for _ in range(iterations):
-        for name, step in list(steps.items()):
-            for by in (step, -step):
-                trial = moved(name, by)
-                ll = total(edges, leaves, patterns, trial)
-                if ll > best:
-                    model, best = trial, ll
-                    break
-            else:
-                steps[name] = step / 2
-        if all(step < 0.02 for step in steps.values()):
+        k = len(past_s)
+        basis = [F.col("s")[i] for i in range(k)] + [F.col("y")[i] for i in range(k)] + [F.col("g")]
+        own = [*past_s, *past_y, g]
+        pairs = [(i, j) for i in range(2 * k + 1) for j in range(i, 2 * k + 1)]
+        sums = state.agg(*[F.sum(basis[i] * basis[j]) for i, j in pairs]).first()
+        gram = np.zeros((2 * k + 1,) * 2)
+        for (i, j), v in zip(pairs, sums):
+            gram[i, j] = gram[j, i] = v + float(own[i] @ own[j])
+        if gram[-1, -1] < 1e-12:
             break
-    return model, best
+        if k and any(gram[i, k + i] <= 1e-12 for i in range(k)):
+            past_s, past_y = [], []
+            state = cut(state.select("node", "x", "g", none.alias("s"), none.alias("y")))
+            continue
+        weight = _direction(gram, k)
+        slope = float(weight @ gram[-1])
+        size = 1.0 if k else min(1.0, 1.0 / np.sqrt(gram[-1, -1]))
+        move = sum((F.lit(float(w)) * b for w, b in zip(weight, basis)), F.lit(0.0))
+        own_move = sum(w * b for w, b in zip(weight, own))
+        for _ in range(12):
+            x = cut(state.select("node", bounded(F.col("x") + F.lit(size) * move).alias("x")))
+            there = np.clip(theta + size * own_move, free.low, free.high)
+            new_cost, new_g, new = downhill(x, there)
+            if new_cost <= cost + 1e-4 * size * slope:
+                break
+            size /= 2
+        else:
+            break
+        old = state.select("node", F.col("x").alias("_x"), F.col("g").alias("_g"), "s", "y")
+        state = cut(new.join(old, "node").select(
+            "node", "x", "g", F.slice(F.array_append("s", F.col("x") - F.col("_x")), -min(k + 1, MEMORY), MEMORY).alias("s"),
+            F.slice(F.array_append("y", F.col("g") - F.col("_g")), -min(k + 1, MEMORY), MEMORY).alias("y")))
+        past_s, past_y = [*past_s, there - theta][-MEMORY:], [*past_y, new_g - g][-MEMORY:]
+        gain, cost, theta, g = cost - new_cost, new_cost, there, new_g
+        if gain < tolerance:
+            break
+    fitted = cut(tree.nodes.join(state, "node").select("u", "v", F.exp("x").alias("length")))
+    return fitted, free.at(theta), -cost
+
+
+def fit_lengths(edges: DataFrame, leaves: int, patterns: Patterns, model: Mixture, rounds: int = 8, tolerance: float = 1e-3) -> tuple[DataFrame, float]:
+    """Edges with better lengths, and the log likelihood."""
+    edges, _, ll = fit(edges, leaves, patterns, model, iterations=rounds, tolerance=tolerance)
+    return edges, ll
 
 
 def likelihood_nni(edges: DataFrame, leaves: int, patterns: Patterns, model: Mixture, *, max_rounds: int | None = None, stop_ratio: float = 0.005,

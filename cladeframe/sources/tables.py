@@ -7,6 +7,7 @@ Every relation grows with its tables:
 * ``order_cells``: regions are taxa, every order is a site.
 * ``document_sequences``: every document text is read as one sequence row.
 * ``heap_edges``: unrooted binary tree whose leaves are the suppliers.
+* ``ladder_edges``: the deepest such tree, one supplier after the other.
 * ``locus_lengths``: one locus per customer, in key order.
 """
 
@@ -95,6 +96,16 @@ def heap_edges(spark: SparkSession, folder: str) -> DataFrame:
         F.least(child, parent).cast("long").alias("u"), F.greatest(child, parent).cast("long").alias("v"))
 
 
+def ladder_edges(spark: SparkSession, folder: str) -> DataFrame:
+    """(u, v) with u < v: leaves 1..n-2 hang from inner nodes n..2n-3 in a row, leaf 0 before and leaf n-1 behind them."""
+    n = supplier_count(spark, folder)
+    leaf = F.col("s_suppkey")
+    pendant = F.struct(leaf.alias("u"), F.least(F.greatest(leaf - 1, F.lit(0)) + n, F.lit(2 * n - 3)).alias("v"))
+    onward = F.when(leaf < n - 3, F.struct((leaf + n).alias("u"), (leaf + n + 1).alias("v")))
+    return read(spark, folder, "supplier").select(F.inline(F.array_compact(F.array(pendant, onward)))).select(
+        F.col("u").cast("long").alias("u"), F.col("v").cast("long").alias("v"))
+
+
 def locus_lengths(spark: SparkSession, folder: str) -> DataFrame:
     """(position, alignment_length): ordered locus manifest."""
     return read(spark, folder, "customer").select(

@@ -124,9 +124,9 @@ def test_likelihood_by_enumeration(spark):
             if all(k in ("." + str(v)) for k, v in zip(col, (a, b, c, d))):
                 total += 0.25 * p(a, x, 4) * p(x, b, 1) * p(x, y, 5) * p(y, c, 2) * p(y, d, 3)
         want += math.log(total)
-    got = likelihood.log_likelihood(nodes, cells, lengths, 3, [0.25] * 4, [1.0] * 6, [1.0], [1.0]).first()
+    got = likelihood.log_likelihood(nodes, cells, lengths, [0.25] * 4, [1.0] * 6, [1.0], [1.0]).first()
     assert got.log_likelihood == pytest.approx(want, abs=1e-8) and got.sites == len(columns) + 1
-    _, history = likelihood.jc_steps(nodes, cells.where("site < 2"), lengths, 3, 3)
+    _, history = likelihood.jc_steps(nodes, cells.where("site < 2"), lengths, 3)
     assert history == sorted(history)
 
 
