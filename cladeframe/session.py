@@ -6,6 +6,8 @@ import os
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -62,7 +64,51 @@ def cut(df: DataFrame) -> DataFrame:
     """
     path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    for tables in _scratch.values():
+        tables.append(path)
+    written = df.sparkSession.read.schema(df.schema).parquet(path)
+    written.table_path = path
+    return written
+
+
+_scratch: dict[str, list[str]] = {}  # tables written while a scope is open, by its name
+_left: dict[str, list[str]] = {}  # tables of closed scopes
+
+
+def _delete(spark: SparkSession, path: str) -> None:
+    target = spark._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def discard(*tables: DataFrame | None) -> None:
+    """Delete tables that :func:`cut` returned, once all that reads them is written itself."""
+    for table in tables:
+        path = getattr(table, "table_path", None)
+        if path:
+            _delete(table.sparkSession, path)
+
+
+@contextmanager
+def scratch(name: str) -> Iterator[None]:
+    """Tables that :func:`cut` writes inside belong to ``name`` and stay until it is swept."""
+    _scratch[name] = []
+    try:
+        yield
+    finally:
+        _left.setdefault(name, []).extend(_scratch.pop(name))
+
+
+def sweep(spark: SparkSession, name: str, keep: DataFrame) -> None:
+    """Delete the tables left by ``name``, but for those that ``keep`` still reads."""
+    paths = _left.pop(name, [])
+    if not paths:
+        return
+    folders = {file.rsplit("/", 2)[-2] for file in keep.inputFiles()}
+    for path in paths:
+        if path.rsplit("/", 1)[-1] in folders:
+            _left.setdefault(name, []).append(path)
+        else:
+            _delete(spark, path)
 
 
 _shipped: set[str] = set()
