@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.session import cut
+from cladeframe.session import cut, discard
 
 
 def _state(edges: DataFrame):
@@ -27,10 +27,14 @@ def components(links: DataFrame) -> DataFrame:
         large = cut(both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v").distinct())
         least = large.groupBy("u").agg(F.min("v").alias("m"))
         near = large.join(least, "u")
-        edges = cut(near.select("u", F.col("m").alias("v")).union(near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        nearer = cut(near.select("u", F.col("m").alias("v")).union(near.where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))).distinct())
+        discard(edges, large)
+        edges = nearer
         after = _state(edges)
         if after == before:
             break
         before = after
-    return edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
-        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct())
+    roots = cut(edges.select(F.col("u").alias("node"), F.col("v").alias("root")).union(
+        edges.select(F.col("v").alias("node"), F.col("v").alias("root")).distinct()))
+    discard(edges)
+    return roots

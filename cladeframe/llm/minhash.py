@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.llm.common import LOWER, ROW, Rolling, mix, prepare, row_key, text_slices, word_bounds
 from cladeframe.llm.graph import components
-from cladeframe.session import cut, empty
+from cladeframe.session import cut, discard, empty
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[0x20] = IS_WORD[0x09:0x0E] = False
@@ -157,7 +157,9 @@ def remaining_links(open_: DataFrame, classes: DataFrame, texts: DataFrame, size
     alike &= 100 * F.least("n_shingles", "other_n_shingles") >= percent * F.greatest("n_shingles", "other_n_shingles")
     alike &= first_shared & F.arrays_overlap("b", "other_b")
     alike &= (100 + percent) * common >= percent * both
-    return rows.join(other, (F.col("key") == F.col("other_key")) & alike).select(F.col("node").alias("x"), F.col("other_node").alias("y"))
+    found = cut(rows.join(other, (F.col("key") == F.col("other_key")) & alike).select(F.col("node").alias("x"), F.col("other_node").alias("y")))
+    discard(rows)
+    return found
 
 
 def links(classes: DataFrame, docs: DataFrame, size: int, percent: int, groups: int, pivots: tuple[int, ...]) -> tuple[DataFrame | None, DataFrame | None]:
@@ -174,6 +176,7 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int, groups:
                  .select("node", "n_shingles", F.xxhash64("a", "b").alias("bucket")))
     full = tables.groupBy("bucket").count().where("count > 1").select("bucket")
     open_ = cut(tables.join(full, "bucket").withColumn("root", F.col("node")))
+    discard(tables)
     if empty(open_):
         return None, None
     involved = open_.select("node").distinct().join(classes.select("node", "row"), "node")
@@ -184,7 +187,7 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int, groups:
     seed = 0
     for r, several in enumerate((*pivots, 0)):
         if not several:
-            pairs = cut(remaining_links(open_, classes, texts, size, percent, groups))
+            pairs = remaining_links(open_, classes, texts, size, percent, groups)
         else:
             # Each seed names one class of every bucket its pivot; a class is compared with one pivot a seed.
             seeds = range(seed, seed + several)
@@ -197,14 +200,18 @@ def links(classes: DataFrame, docs: DataFrame, size: int, percent: int, groups:
             pairs = cut(pairs.select(F.least("node", "other").alias("x"), F.greatest("node", "other").alias("y")).distinct())
         fresh = cut(verify(pairs, texts, size, percent))
         found = fresh if found is None else found.union(fresh)
-        roots = cut(components(found))
+        discard(pairs, roots)
+        roots = components(found)
         if r == len(pivots):
             break
         placed = open_.drop("root").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
         left = placed.groupBy("bucket").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("bucket")
-        open_ = cut(placed.join(left, "bucket"))
+        still = cut(placed.join(left, "bucket"))
+        discard(open_)
+        open_ = still
         if empty(open_):
             break
+    discard(texts, open_)
     return found, roots
 
 
