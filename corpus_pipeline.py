@@ -5,16 +5,23 @@ all of their columns, but for the last one, which returns the packed pieces.
 An empty table passes through every stage. Null texts go in the first stage,
 as do texts without a letter. Columns beside doc_id and text stay as they are;
 n_chars follows the text where a stage changes it.
+
+A stage begins by deleting the intermediate tables of the stage before it, but
+for those that its own input still reads: write a result before the next stage
+is called, as ``run`` does.
 """
 
 from __future__ import annotations
 
+import uuid
+from functools import wraps
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from cladeframe.llm import decontam, langid, minhash, packing, suffix
 from cladeframe.llm.common import ROW, row_key, table
-from cladeframe.session import cut
+from cladeframe.session import cut, discard, scratch, sweep
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -45,24 +52,36 @@ def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     return packing.pack(docs)
 
 
-STAGES = [
+def _swept(stage, scope: str = "pipeline"):
+    @wraps(stage)
+    def run_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+        sweep(spark, scope, docs)
+        with scratch(scope):
+            return stage(spark, docs, sf_dir)
+
+    return run_stage
+
+
+_PLAIN = [
     ("language", known_language),
     ("near_duplicates", one_of_near_duplicates),
     ("repeated_passages", without_repeated_passages),
     ("decontamination", without_benchmarks),
     ("packing", packed),
 ]
+STAGES = [(name, _swept(stage)) for name, stage in _PLAIN]
 
 #: Language identification and tokens cannot be stated in SQL; the stages are tested against brute force.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for number, (_, stage) in enumerate(STAGES, 1):
-        docs = stage(spark, docs, sf_dir)
+    docs, scope = table(spark, sf_dir, "documents"), uuid.uuid4().hex
+    for number, (_, stage) in enumerate(_PLAIN, 1):
+        before, docs = docs, _swept(stage, scope)(spark, docs, sf_dir)
         if number < len(STAGES):
             docs = cut(docs)
+            discard(before)
     return docs
 
 
