@@ -22,23 +22,35 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from cladeframe.llm.common import LOWER, ROW, Rolling, mix, prepare, row_key, text_slices, word_bounds
+from cladeframe.llm.common import LOWER, ROW, mix, prepare, row_key, text_slices, word_array, word_bounds
 from cladeframe.llm.graph import components
 from cladeframe.session import cut, discard, empty
 
 IS_WORD = np.ones(256, bool)
 IS_WORD[0x20] = IS_WORD[0x09:0x0E] = False
 STEP = np.uint64(0x100000001B3)
+SEED = 0x5DEECE66D
+
+
+def word_hashes(low: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """A 64-bit hash of every word; each distinct one is hashed once, by its bytes as a whole.
+
+    Sums of powers would let words be built that collide whatever the base.
+    """
+    coded = word_array(low, IS_WORD, starts, ends).dictionary_encode()
+    distinct = np.fromiter((xxhash.xxh3_64_intdigest(w, SEED) for w in coded.dictionary.to_pylist()), np.uint64, len(coded.dictionary))
+    return distinct[coded.indices.to_numpy()]
 
 
 def shingle_hashes(octets: np.ndarray, offsets: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     """(hash, row) of every shingle of the rows; a row with fewer words than ``size`` is one shingle."""
     low = LOWER[octets]
     starts, ends, of_row = word_bounds(low, IS_WORD, offsets)
-    words = Rolling(low).of(starts, ends)
+    words = word_hashes(low, starts, ends)
     counts = np.diff(of_row)
     rows = np.repeat(np.arange(len(counts)), counts)
     n = max(len(words) - size + 1, 0)

@@ -116,6 +116,15 @@ def test_open_buckets_are_settled_pair_by_pair(spark):
     assert {r["component_id"] for r in got} == {0}
 
 
+def test_words_built_to_collide_stay_apart(spark):
+    # Thue-Morse words and their complements have equal sums of powers modulo 2**64, whatever the base.
+    one = "".join("ab"[bin(i).count("1") % 2] for i in range(1024))
+    two = one.translate({97: 98, 98: 97})
+    rows = [(1, f"{one} x"), (2, f"{two} x"), (3, f"{one} x {two} x")]
+    got = {r["doc_id"]: r for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), size=2).collect()}
+    assert {i: (r["n_shingles"], r["component_id"]) for i, r in got.items()} == {1: (1, 1), 2: (1, 2), 3: (3, 3)}
+
+
 def covered(texts, window):
     octets = [(t or "").encode() for t in texts]
     seen = collections.Counter(b[i:i + window] for b in octets for i in range(len(b) - window + 1))
