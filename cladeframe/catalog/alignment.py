@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cladeframe.catalog.common import CELLS, LOCI, ORDER_CELLS, cells, loci, mix_sql, rounded, tidy, with_
+from cladeframe.catalog.common import CELLS, LOCI, ORDER_CELLS, cells, loci, mix_sql, rounded, tidy, with_, words
 from cladeframe.functions import labels
 from cladeframe.operators import pairs, sites
 from cladeframe.sources import tables
@@ -146,6 +146,12 @@ def pattern_fold(spark, folder):
     return _pattern_text(sites.fold_patterns(first.withColumn("inv_code", code)))
 
 
+def coverage_medians(spark, folder):
+    """Medians over the pairs of 128 evenly spaced suppliers, on all sites."""
+    n = tables.supplier_count(spark, folder)
+    return rounded(tidy(pairs.coverage_medians(words(spark, folder), n, tables.SITES)), "median_overlap", "median_jaccard", "sparsity_index")
+
+
 def coverage_diagnostics(spark, folder):
     n = tables.supplier_count(spark, folder)
     rows = pairs.coverage_diagnostics(cells(spark, folder), n, tables.SITES)
@@ -181,7 +187,7 @@ QUERIES = {f.__name__: f for f in (
     encode_states, sequence_words, bitplanes, nibble_bytes, nibble_round_trip, observed_cells, missing_per_taxon,
     unobserved_taxa, base_frequencies, region_frequencies, locus_cells, locus_boundaries, site_profile, variable_sites,
     drop_constant_sites, drop_constant_sites_by_block, site_evidence, sample_sites, select_sites, site_patterns,
-    pattern_fold, coverage_diagnostics, column_hash, health_warnings, numeric_reorder, locus_union_pad, quoted_labels)}
+    pattern_fold, coverage_medians, coverage_diagnostics, column_hash, health_warnings, numeric_reorder, locus_union_pad, quoted_labels)}
 
 _PLANE = """
   CAST(sum(CASE WHEN state IN (1, 3) THEN {bit} ELSE 0 END) AS BIGINT) AS low,
@@ -271,6 +277,15 @@ SELECT taxon, new_site AS site, state FROM ocell JOIN numbered USING (site)""",
     "site_patterns": with_(ORDER_CELLS, f"""
 col AS (SELECT site, {_COLUMN} AS pattern, {_INV} AS inv_code FROM ocell GROUP BY site)""") + """
 SELECT pattern, count(*) AS weight, min(site) AS first_site, inv_code FROM col GROUP BY pattern, inv_code""",
+    "coverage_medians": with_(CELLS, """
+panel AS MATERIALIZED (SELECT DISTINCT (k * (n - 1)) // greatest(least(n, 128) - 1, 1) AS taxon FROM n_taxa, (SELECT unnest(range(0, 128)) AS k) WHERE k < n),
+own AS MATERIALIZED (SELECT p.taxon, count(o.site) AS n FROM panel p LEFT JOIN obs o ON o.taxon = p.taxon GROUP BY p.taxon),
+pair AS (SELECT x.taxon AS i, y.taxon AS j, x.n + y.n AS n FROM own x JOIN own y ON x.taxon < y.taxon),
+both_seen AS (SELECT x.taxon AS i, y.taxon AS j, count(*) AS b FROM obs x JOIN obs y ON x.site = y.site AND x.taxon < y.taxon
+  WHERE x.taxon IN (SELECT taxon FROM panel) AND y.taxon IN (SELECT taxon FROM panel) GROUP BY 1, 2),
+share AS (SELECT coalesce(b, 0) / 512.0::DOUBLE AS o, CASE WHEN n - coalesce(b, 0) > 0 THEN coalesce(b, 0)::DOUBLE / (n - coalesce(b, 0)) ELSE 1.0 END AS j
+  FROM pair LEFT JOIN both_seen USING (i, j))""") + """
+SELECT round(median(o), 6) AS median_overlap, round(median(j), 6) AS median_jaccard, count(*) AS pairs, round((1 - median(o)) * median(j), 6) AS sparsity_index FROM share""",
     "coverage_diagnostics": with_(CELLS, """
 size AS (SELECT taxon, count(*) AS s FROM obs GROUP BY taxon),
 shared AS (SELECT count(*) AS k FROM obs a JOIN obs b ON a.site = b.site AND a.taxon < b.taxon),

@@ -117,6 +117,13 @@ def quartet_topology(spark, folder):
     return tidy(found.na.fill(-1, ["u", "v", "alt1"]))
 
 
+def canonical_edges(spark, folder):
+    """The supplier tree with inner nodes numbered by topology alone."""
+    n = tables.supplier_count(spark, folder)
+    tree = edges(spark, folder)
+    return tidy(ancestry.relabelled(tree, ancestry.canonical(tree, n)))
+
+
 def attach_taxon(spark, folder):
     """One new leaf on the pendant edge of every kept supplier."""
     n = tables.supplier_count(spark, folder)
@@ -142,7 +149,7 @@ def backbone_veto(spark, folder):
 
 QUERIES = {f.__name__: f for f in (
     tree_validate, tree_components, tree_depth, tree_splits, split_fingerprints, nni_frames, apply_nni, rf_distance,
-    split_matches, topology_key, nearest_leaves, nearest24_panel, quartet_topology, attach_taxon, induced_subtree,
+    split_matches, topology_key, nearest_leaves, nearest24_panel, quartet_topology, canonical_edges, attach_taxon, induced_subtree,
     backbone_veto)}
 
 _ROOTED = """
@@ -182,6 +189,14 @@ _TWO_KEYS = (EDGES, LEAF_COUNT, FRAMES, _MOVED, _BOTH2, _ROOTED, _second(_ROOTED
 _KEEP = f"keep AS (SELECT CAST(s_suppkey AS BIGINT) AS leaf FROM supplier WHERE {KEPT})"
 
 ORACLES = {
+    "canonical_edges": with_(EDGES, LEAF_COUNT, REACH, """
+under AS MATERIALIZED (SELECT src AS parent, dst AS node, min(leaf) AS least FROM reach GROUP BY src, dst),
+way AS (SELECT u.node, [u.least] AS path FROM under u WHERE u.parent = 0
+  UNION ALL SELECT c.node, list_append(w.path, c.least) FROM way w JOIN under c ON c.parent = w.node
+  WHERE c.least <> 0),
+label AS MATERIALIZED (SELECT node, CAST(n - 1 + row_number() OVER (ORDER BY path) AS BIGINT) AS label FROM way, n_leaf WHERE node >= n
+  UNION ALL SELECT CAST(s_suppkey AS BIGINT), CAST(s_suppkey AS BIGINT) FROM supplier)""", recursive=True) + """
+SELECT least(a.label, b.label) AS u, greatest(a.label, b.label) AS v FROM edge JOIN label a ON a.node = u JOIN label b ON b.node = v""",
     "tree_validate": with_(EDGES, LEAF_COUNT, """
 deg AS (SELECT src, count(*) AS n_rows, count(DISTINCT dst) AS deg FROM both_ways GROUP BY src)""") + """
 SELECT count(*) AS nodes, count(CASE WHEN src < n AND deg = 1 THEN 1 END) AS good_leaves,

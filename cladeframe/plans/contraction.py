@@ -332,6 +332,10 @@ class Contraction:
         def run(key, structure, rows):
             return work(key[0].as_py(), key[1].as_py(), Part(structure, rows, algebra, width))
 
+        return self.parts(level, data, run, kind)
+
+    def parts(self, level: int, data: DataFrame, run: Callable, kind: str) -> DataFrame:
+        """``run(key, structure, rows)`` on every part of a level and block, with the rows of ``data`` that name it."""
         left = self._structure(level).groupBy("cluster", "block")
         return left.cogroup(data.groupBy("cluster", "block")).applyInArrow(run, kind)
 
@@ -403,6 +407,7 @@ class Contraction:
 
         def last(cluster, block, part):
             part.descend()
+            part.cluster = cluster
             return emit(block, part)
 
         for level in range(self.plan.levels, 1, -1):

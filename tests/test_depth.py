@@ -185,3 +185,67 @@ def test_transition_variants_follow_the_model():
     model = likelihood_search.Mixture([0.25] * 4, alpha=0.5, categories=4, invariant=0.2)
     q, pi, rates = model.variant()
     assert np.allclose(models.transitions(q, pi, np.array(rates)).sum(2), 1.0) and np.mean(rates) == pytest.approx(1 / 0.8)
+
+
+def test_numbering_follows_the_topology(spark):
+    rng = np.random.default_rng(5)
+    n = 40
+    edges = random_edges(n, rng)
+    turned = dict(zip(range(n, 2 * n - 2), (n + rng.permutation(n - 2)).tolist()))
+    other = [tuple(sorted((turned.get(u, u), turned.get(v, v)))) for u, v in edges]
+    tables = [spark.createDataFrame(e, "u long, v long") for e in (edges, other)]
+    got = [sorted(map(tuple, ancestry.relabelled(t, ancestry.canonical(t, n)).collect())) for t in tables]
+    assert got[0] == got[1] and len(got[0]) == 2 * n - 3
+    up, order = parents(edges)
+    kids, least = {}, {}
+    for x in reversed(order[1:]):
+        least[x] = min([x] if x < n else [least[k] for k in kids[x]])
+        kids.setdefault(up[x], []).append(x)
+    label, stack = {}, [0]
+    while stack:  # preorder, children by their smallest leaf
+        x = stack.pop()
+        label[x] = x if x < n else n + sum(k >= n for k in label)
+        stack += sorted(kids.get(x, []), key=lambda k: -least[k])
+    assert got[0] == sorted(tuple(sorted((label[u], label[v]))) for u, v in edges)
+
+
+def test_medians_of_coverage(spark):
+    from cladeframe.operators import pairs, sites
+    rng = np.random.default_rng(2)
+    seen = rng.random((9, 30)) < 0.5
+    seen[4] = False
+    rows = [(t, s, 1) for t in range(9) for s in range(30) if seen[t, s]]
+    words = sites.words_of_cells(spark.createDataFrame(rows, "taxon long, site long, state int"))
+    for panel, chosen in ((128, range(9)), (4, (0, 2, 5, 8))):
+        both = [(seen[i] & seen[j]).sum() / 30 for i, j in itertools.combinations(chosen, 2)]
+        any_ = [(seen[i] | seen[j]).sum() for i, j in itertools.combinations(chosen, 2)]
+        row = pairs.coverage_medians(words, 9, 30, panel).first()
+        jaccard = np.median([30 * b / a if a else 1.0 for a, b in zip(any_, both)])
+        assert (row.median_overlap, row.median_jaccard) == pytest.approx((np.median(both), jaccard)) and row.pairs == len(both)
+
+
+def test_reconstruction_makes_the_least_changes(spark):
+    from cladeframe.plans import parsimony
+    rng = np.random.default_rng(8)
+    for n, edges in ((90, ladder(90)), (90, random_edges(90, rng)), (4, random_edges(4, rng))):
+        values = states(n, 12, rng)
+        values[0, :3] = 4
+        nodes = trees.rooted(spark.createDataFrame(edges, "u long, v long"), n)
+        leaf_cells, weight = likelihood.pattern_cells(cells(spark, values))
+        found = parsimony.replacements(nodes, leaf_cells, weight).collect()
+        up, order = parents(edges)
+        cost, kids = {}, {}
+        for x in reversed(order[1:]):
+            cost[x] = np.where((values[x] == 4) | (np.arange(4)[:, None] == values[x]), 0, 10 ** 6) if x < n else sum(
+                np.minimum(cost[k], cost[k].min(0) + 1) for k in kids[x])
+            kids.setdefault(up[x], []).append(x)
+        top = np.minimum(cost[order[1]], cost[order[1]].min(0) + 1)
+        at = {0: np.where(values[0] < 4, values[0], top.argmin(0))}
+        want = {}
+        for x in order[1:]:
+            at[x] = (cost[x] + (np.arange(4)[:, None] != at[up[x]])).argmin(0)
+            for pair in zip(at[up[x]].tolist(), at[x].tolist()):
+                want[x, *pair] = want.get((x, *pair), 0) + 1
+        assert {(r.node, r.before, r.after): r.n for r in found} == want
+        changes = likelihood.parsimony(nodes, leaf_cells).join(weight, "pattern").selectExpr("sum(changes * weight)").first()[0]
+        assert sum(r.n for r in found if r.before != r.after) == changes
