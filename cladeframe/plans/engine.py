@@ -84,11 +84,17 @@ def infer(spark: SparkSession, source: str, out: str, task: str, *, settings: di
     if support and evidence is not None:
         inner = edges.where((F.col("u") >= n) & (F.col("v") >= n))
         quartets.species_support(inner, refine.classified_evidence(edges, n, evidence)).write.parquet(f"{out}/support")
-    result = {"task": task, "taxa": n, "sites": length, "history": history, "settings": settings, "quality": quality(history)}
+    result = {"task": task, "taxa": n, "sites": length, "history": history, "settings": settings, "quality": quality(history), "health": health_of(cells)}
     spark.createDataFrame([(json.dumps(result),)], "value string").coalesce(1).write.text(f"{out}/result")
     return result
 
 
+def health_of(cells: DataFrame) -> dict:
+    """Counts of usable evidence in the whole alignment, and warnings where one is zero."""
+    found = sites.health(cells.withColumn("run", F.lit(0)), ["run"]).drop("run").first()
+    return found.asDict() if found else {"warnings": list(sites.HEALTH.values())[:3]}
+
+
 START_LENGTH = 0.1
 
 

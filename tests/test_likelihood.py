@@ -97,4 +97,5 @@ def test_gene_run_ends_with_lengths_and_support(spark, data, tmp_path):
     assert len(tree) == 7 and all(e[3] is not None for e in tree)
     assert {r.u for r in spark.read.parquet(str(tmp_path / "out/support")).collect()} <= {5, 6, 7}
     assert result["quality"]["stopped_by"].keys() == {"likelihood"}
+    assert result["health"]["warnings"] == [] and result["health"]["variable_sites"] > 0
     assert json.loads(spark.read.text(str(tmp_path / "out/result")).first()[0])["taxa"] == 5
