@@ -3,6 +3,7 @@
 import collections
 import hashlib
 import random
+import time
 import zlib
 
 import numpy as np
@@ -429,6 +430,53 @@ def test_blocks_of_awkward_markup():
         html.blocks(broken)
 
 
+def test_wrappers_lose_only_what_their_class_names():
+    assert html.blocks("<form id='aspnetForm'><div id='header'>Site</div><div id='content'><p>the body text</div><label>L</label></form>") == (["the body text"], False)
+    assert html.blocks("<div class='page no-sidebar'><article><p>body</article></div>") == (["body"], True)
+    assert html.blocks("<div class='layout has-sidebar'><p>body</div><div class='sidebar'>side</div>") == (["body"], False)
+    assert html.blocks("<div class='header wrap'><div class='ad'>x</div><article><p>body<p class='related-work'>more<p class='ad-text'>no</article></div>") == (["body", "more"], True)
+    assert html.blocks("<article><p>body</article><div class='widget'><article>card text that is longer</article></div>") == (["body"], True)
+    assert html.blocks("<div class='comments'><article>me too</article></div><p>body") == (["body"], False)
+    assert html.blocks("<div class=nav><a href=x>a long menu of many words</a></div><p>short") == (["short"], False)
+    assert html.blocks("<div class='comments'>only</div>") == ([], False)
+
+
+def test_time_of_broken_markup_grows_with_its_length():
+    for part in ("<b>x</i>", "<p>", "<li>", "<div class=ad><article>x"):
+        begin = time.process_time()
+        html.blocks(part * 50_000)
+        assert time.process_time() - begin < 10, part
+    html.blocks("<span>" * 50_000 + "<h1>x" * 50_000)
+
+
+def test_shared_paragraphs_and_headings_of_articles_stay(spark):
+    rng = random.Random(17)
+    shared, own = [prose(rng, 60) for _ in range(4)], [prose(rng, 60) for _ in range(9)]
+    rows = [(i, f"http://h.org/{i}", "<article>" + "".join(f"<p>{t}</p>" for t in (shared if i < 3 else ["<h2>Introduction</h2>"]) + [own[i]]) + "</article>") for i in range(9)]
+    got = {r["page_id"]: r["text"] for r in html.main_text(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert got == {i: " ".join((shared if i < 3 else ["Introduction"]) + [own[i]]) for i in range(9)}
+
+
+def test_what_goes_from_around_an_article():
+    def want(heads, sizes, times, pages):
+        """The rule, block by block."""
+        common = [n >= 3 and n >= pages / 2 for n in times]
+        body = [i for i in range(len(sizes)) if i not in heads and not common[i]]
+        gone = []
+        for i in range(len(sizes)):
+            under = [j for j in range(i + 1, len(sizes)) if not any(h in heads for h in range(i + 1, j + 1))] if i in heads else [i]
+            outer = body and (i < body[0] or i > body[-1])
+            if outer and common[i] and under and all(common[j] and (j < body[0] or j > body[-1]) for j in under):
+                gone.append(i)
+        return gone if 2 * sum(sizes[i] for i in gone) <= sum(sizes) else []
+
+    rng = random.Random(18)
+    for _ in range(2000):
+        n = rng.randrange(1, 9)
+        case = {i for i in range(n) if rng.random() < 0.3}, [rng.randrange(1, 50) for _ in range(n)], [rng.choice([1, 1, 2, 3, 5, 9]) for _ in range(n)], rng.randrange(1, 12)
+        assert html.around_article(*case) == want(*case), case
+
+
 def test_main_part_beside_articles_is_kept():
     assert html.blocks("<main><h1>T</h1><p>body<article><p>quoted</article><p>end</main><footer>f</footer><p>out") == (["T", "body", "quoted", "end"], True)
     assert html.blocks("<main><p>body</main><article><p>card</article>") == (["body", "card"], True)
