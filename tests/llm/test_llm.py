@@ -2,6 +2,8 @@
 
 import collections
 import hashlib
+import itertools
+import math
 import random
 import time
 import zlib
@@ -421,6 +423,46 @@ def test_url_rules_and_mined_rules(spark):
     assert urls.judge(pages.where("false"), labels, rules).count() == 0
 
 
+def test_a_template_of_many_tokens_is_one_item(spark):
+    keys = "&".join(f"k{i}=1" for i in range(40))
+    rows = [(i, f"http://s{i % 5}.net/{'shop' if i % 4 == 0 else 'news'}/{i}" + (f"?{keys}" if i % 4 == 0 else "")) for i in range(200)]
+    rows += [(900, "http://other.net/x?k3=2"), (901, "http://other.net/x?k=2")]
+    pages = spark.createDataFrame(rows, "page_id long, url string")
+    labels = spark.createDataFrame([(i, i % 4 == 0) for i in range(200)], "page_id long, bad boolean")
+    got = {r["page_id"]: r["verdict"] for r in urls.judge(pages, labels, []).collect()}
+    assert all(got[i] == ("block" if i % 4 == 0 else "allow") for i in range(200)) and got[900] == "block" and got[901] == "allow"
+
+
+def test_rules_match_brute_force_and_chance_gives_none(spark):
+    rng = random.Random(19)
+    sets = [sorted({rng.choice("abcdef") for _ in range(4)} | ({"x", "y"} if rng.random() < 0.3 else set())) for _ in range(300)]
+    bad = [("x" in s and "a" in s) or rng.random() < 0.1 for s in sets]
+
+    def rules(bad):
+        rate, need, every = sum(bad) / 300, max(1.0, 0.05 * 300), set()
+        tokens = sorted(set(t for s in sets for t in s) - {"y"})  # x and y come together
+        for n in range(1, len(tokens) + 1):
+            every.update(c for c in itertools.combinations(tokens, n) if sum(set(c) <= set(s) for s in sets) >= need)
+        found = {}
+        for c in every:
+            labels = [b for s, b in zip(sets, bad) if set(c) <= set(s)]
+            share = sum(labels) / len(labels)
+            if sum(labels) >= need and share >= 0.6 and share > rate:
+                rest = (1 - share) * math.log((1 - share) / (1 - rate)) if share < 1 else 0
+                if len(labels) * (share * math.log(share / rate) + rest) >= math.log(len(every) / 0.01):
+                    found[c] = share
+        return {c: s for c, s in found.items() if not any(set(d) < set(c) and found[d] >= s for d in found)}
+
+    shuffled = rng.sample(bad, 300)
+    for flags in (bad, shuffled):
+        got, names = urls.mine(spark.createDataFrame(list(enumerate(sets)), "row long, tokens array<string>"),
+                               spark.createDataFrame(list(enumerate(flags)), "row long, bad boolean"), 0.05, 0.6)
+        want = rules(flags)
+        assert {tuple(r["antecedent"]): round(r["confidence"], 9) for r in got.collect()} == {c: round(s, 9) for c, s in want.items()}
+        assert bool(want) == (flags is bad)
+        assert {tuple(r) for r in names.collect()} == ({(t, "x" if t == "y" else t) for c in want for t in (*c, *("y" if "x" in c else ""))})
+
+
 def test_blocks_of_awkward_markup():
     assert html.blocks("<div class=nav>x</div><p>Hello &amp; <i>wor</i>ld<p>two<ul><li>a<li>b</ul>") == (["Hello & world", "two", "a", "b"], False)
     assert html.blocks("<article><p>A<div class='comments'>no</div><p>B</article><p>C") == (["A", "B"], True)
