@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 from cladeframe.llm import suffix
 from cladeframe.llm.common import prepare
 from cladeframe.llm.urls import split_url
-from cladeframe.session import cut
+from cladeframe.session import cut, discard, scratch, sweep
 
 # Elements of HTML and the words that sites use to name parts of a page.
 RAW = "script|style|noscript|template|textarea|title|iframe|object|svg|math|canvas|audio|video|select|datalist"
@@ -276,6 +276,10 @@ def _stream(text: pa.Array, ends: pa.Array, keys: pa.Array) -> pa.Array:
     return pa.array(out, pa.string())
 
 
+def _merged(spans: pa.Array) -> pa.Array:
+    return pa.array([[{"a": a, "b": b} for a, b in suffix.joined(s.as_py())] for s in spans], spans.type)
+
+
 def _covered_keys(text: pa.Array, ends: pa.Array, spans: pa.Array) -> pa.Array:
     """For each block that is covered to a half or more, the hash of what is covered, else null."""
     out = []
@@ -370,9 +374,7 @@ def repeated_blocks(read: DataFrame, spans: DataFrame) -> DataFrame:
     """(U1, U2, gone) of the different pages that lose blocks; takes one row a page with its stream as ``text``."""
     ids = [suffix.U1, suffix.U2]
     slim = read.select(*ids, "scope", "marked", "heads", "ends", "keys")
-    # Few pages have spans; only these carry their text to them.
-    some = read.select(*ids, "text", "ends").join(cut(spans.select(*ids)), ids, "left_semi")
-    covered = cut(some.join(spans, ids).select(
+    covered = cut(read.select(*ids, "text", "ends").join(spans, ids).select(
         *ids, F.arrow_udf(_covered_keys, "array<long>")("text", "ends", suffix.SPANS).alias("covered")))
     facts = cut(slim.join(covered, ids, "left"))
     held = facts.select(*ids, "scope", F.explode(F.array_distinct(F.concat(
@@ -382,7 +384,9 @@ def repeated_blocks(read: DataFrame, spans: DataFrame) -> DataFrame:
     hosts = facts.groupBy("scope").agg(F.count("*").alias("pages"))
     judged = facts.join(known, ids, "left").join(hosts, "scope").select(
         *ids, F.arrow_udf(_judged, "array<int>")("marked", "heads", "ends", "keys", "covered", "times", "pages").alias("gone"))
-    return cut(judged.where("size(gone) > 0"))
+    gone = cut(judged.where("size(gone) > 0"))
+    discard(covered, facts, times, known)
+    return gone
 
 
 def main_text(pages: DataFrame, window: int = 200) -> DataFrame:
@@ -395,8 +399,13 @@ def main_text(pages: DataFrame, window: int = 200) -> DataFrame:
     copies = cut(read.select(suffix.U1, suffix.U2, "serial").join(same, [suffix.U1, suffix.U2]).where("serial > first").select("serial"))
     once = read.where(F.col("text") != "").join(copies, "serial", "left_anti").withColumn("text", F.arrow_udf(_stream, "string")("text", "ends", "keys"))
     size = read.agg(F.sum(F.octet_length("text").cast("long"))).first()[0] or 0
-    spans = cut(suffix.repeated_spans(once, window, size))
+    with scratch("op2_html"):
+        spans = suffix.repeated_spans(once, window, size)
+        # Windows overlap; merged, what a page has covered is small enough to go to its text.
+        spans = cut(spans.withColumn(suffix.SPANS, F.arrow_udf(_merged, spans.schema[suffix.SPANS].dataType)(suffix.SPANS)))
+    sweep(pages.sparkSession, "op2_html", spans)
     gone = repeated_blocks(once, spans)
+    discard(copies)
     text = F.arrow_udf(_without, "string")("text", "ends", "gone")
     return read.join(gone, [suffix.U1, suffix.U2], "left").select("page_id", "url", text.alias("text")).withColumn(
         "n_chars", F.char_length("text").cast("long"))
