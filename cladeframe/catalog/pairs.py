@@ -8,7 +8,7 @@ from cladeframe.catalog.common import CELLS, cells, mix_sql, rounded, tidy, with
 from cladeframe.functions import distance
 from cladeframe.functions.hashing import SEED, column_salt
 from cladeframe.operators import candidates, pairs
-from cladeframe.session import cut
+from cladeframe.session import cut_apart as cut
 from cladeframe.sources import tables
 
 ALPHA = 0.7

@@ -9,7 +9,7 @@ from cladeframe.catalog.common import (CELLS, EDGES, FRAMES, LEAF_COUNT, LOCI, O
 from cladeframe.functions import evidence, quartet, scorers
 from cladeframe.functions.encode import WORD
 from cladeframe.operators import moves, quartets, sites
-from cladeframe.session import cut
+from cladeframe.session import cut_apart as cut
 from cladeframe.sources import tables
 
 KEY = quartets.KEY

@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 from cladeframe.functions import models
 from cladeframe.operators import trees
 from cladeframe.operators.ordering import global_rank, running_totals
-from cladeframe.session import cut, ship_package
+from cladeframe.session import cut_apart as cut, ship_package
 
 WEIGHT, WIDTH = 64, 256
 LEAF, VECTOR, LINEAR, GIVEN, WEIGHTS = range(5)

@@ -13,7 +13,7 @@ from cladeframe.functions import models, scorers
 from cladeframe.functions.encode import WORD
 from cladeframe.operators import quartets, sites, trees
 from cladeframe.plans import joining, likelihood_search, placement, refine
-from cladeframe.session import cut
+from cladeframe.session import cut_apart as cut
 from cladeframe.sources import alignments, manifest, newick
 
 

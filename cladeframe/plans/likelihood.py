@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from cladeframe.functions import models
 from cladeframe.operators import sites
 from cladeframe.plans import contraction
-from cladeframe.session import cut, ship_package
+from cladeframe.session import cut_apart as cut, ship_package
 
 M = ["m0", "m1", "m2", "m3"]
 

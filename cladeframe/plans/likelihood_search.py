@@ -20,7 +20,7 @@ from cladeframe.functions import models
 from cladeframe.operators import moves, trees
 from cladeframe.operators.ordering import global_rank
 from cladeframe.plans import contraction, likelihood
-from cladeframe.session import cut
+from cladeframe.session import cut_apart as cut
 
 SHORTEST, LONGEST = 1e-6, 10.0
 

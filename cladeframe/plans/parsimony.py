@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.plans import contraction
 from cladeframe.plans.likelihood import CHANGE_COSTS
-from cladeframe.session import cut
+from cladeframe.session import cut_apart as cut
 
 ROWS = "cluster long, block int, item long, kind int, value binary"
 NAMES = ["cluster", "block", "item", "kind", "value"]
