@@ -392,8 +392,9 @@ def repeated_blocks(read: DataFrame, spans: DataFrame) -> DataFrame:
 def main_text(pages: DataFrame, window: int = 200) -> DataFrame:
     """(page_id, url, text, n_chars) of every page."""
     prepare(pages.sparkSession)
+    # The one table with all texts is most of what this query keeps on disk.
     read = cut(suffix.identified(parsed(pages), "host").withColumns(
-        {"scope": F.xxhash64("host"), "serial": F.monotonically_increasing_id()}))
+        {"scope": F.xxhash64("host"), "serial": F.monotonically_increasing_id()}), compression="zstd")
     same = read.groupBy(suffix.U1, suffix.U2).agg(F.min("serial").alias("first"), F.count("*").alias("n")).where("n > 1")
     # Of equal pages only the first takes part.
     copies = cut(read.select(suffix.U1, suffix.U2, "serial").join(same, [suffix.U1, suffix.U2]).where("serial > first").select("serial"))
