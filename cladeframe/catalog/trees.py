@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from cladeframe.catalog.common import EDGES, FRAMES, LEAF_COUNT, REACH, edges, nearest_sql, tidy, with_
 from cladeframe.operators import ancestry, moves, trees
+from cladeframe.session import cut_apart as cut
 from cladeframe.sources import tables
 
 # The operators take a set of taxa to keep or to anchor; here it is the suppliers in credit.
@@ -51,17 +52,18 @@ def nni_frames(spark, folder):
     return tidy(trees.frames(edges(spark, folder), tables.supplier_count(spark, folder)))
 
 
-def _moves(spark, folder):
+def _moves(spark, folder, tree):
     """Interchanges on left-child edges of every third level; these never touch."""
     n = tables.supplier_count(spark, folder)
     place = F.col("u") - n + 2
     level = F.floor(F.log2(place.cast("double")))
-    chosen = trees.frames(edges(spark, folder), n).where((F.col("v") - n + 2 == 2 * place) & (level % 3 == 1))
+    chosen = trees.frames(tree, n).where((F.col("v") - n + 2 == 2 * place) & (level % 3 == 1))
     return chosen.withColumn("choice", 1 + F.col("u") % 2)
 
 
 def _moved(spark, folder):
-    return moves.apply_interchanges(edges(spark, folder), _moves(spark, folder))
+    tree = cut(edges(spark, folder))
+    return cut(moves.apply_interchanges(tree, cut(_moves(spark, folder, tree))))
 
 
 def apply_nni(spark, folder):
@@ -93,7 +95,7 @@ def nearest_leaves(spark, folder):
 
 def _panel(spark, folder, size):
     n = tables.supplier_count(spark, folder)
-    tree = edges(spark, folder)
+    tree = cut(edges(spark, folder))
     near = trees.nearest_leaves(tree, n, size)
     return trees.round_robin_panel(trees.frame_lists(trees.frames(tree, n), near), size)
 
@@ -108,7 +110,7 @@ def quartet_topology(spark, folder):
     """Quartets around the edges of one tree, classified in the rearranged tree."""
     from cladeframe.operators.quartets import canonical
     n = tables.supplier_count(spark, folder)
-    tree = edges(spark, folder)
+    tree = cut(edges(spark, folder))
     rows = trees.explode_lists(trees.frame_lists(trees.frames(tree, n), trees.nearest_leaves(tree, n, 2)))
     quartets = rows.select(*canonical(*[F.col(f"x{i}") for i in range(4)])).distinct()
     other = _moved(spark, folder)

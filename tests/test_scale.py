@@ -5,6 +5,8 @@ import random
 import numpy as np
 
 from cladeframe import session
+from cladeframe.catalog import common
+from cladeframe.catalog import trees as tree_queries
 from cladeframe.functions import scorers
 from cladeframe.operators import candidates, quartets, sites, trees
 from cladeframe.plans import refine
@@ -69,3 +71,13 @@ def test_first_matches_are_those_of_the_whole_pass(spark, monkeypatch):
     for count in (1, 2, 40, 1000):
         got = {(r.left, r.right) for r in candidates.first_matches(scored, count).collect()}
         assert got == set(want[:count])
+
+
+def test_frames_of_trees_beyond_the_bound_are_not_broadcast(spark, tmp_path, monkeypatch):
+    spark.range(40).selectExpr("id AS s_suppkey").write.parquet(str(tmp_path / "supplier.parquet"))
+    monkeypatch.setattr(session, "BROADCAST_MOST", 0)
+    _, rows, n = common.frame_quartets(spark, str(tmp_path), 2)
+    other = tree_queries._moved(spark, str(tmp_path))
+    for found in (rows, trees.frames(other, n)):
+        found.write.format("noop").mode("overwrite").save()
+        assert "BroadcastHashJoin" not in _plan(found) and "SortMergeJoin" in _plan(found)
