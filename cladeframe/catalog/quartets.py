@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from cladeframe.catalog.common import (CELLS, EDGES, FRAMES, LEAF_COUNT, LOCI, ORDER_CELLS, REACH, WORDS, frame_quartets,
+from cladeframe.catalog.common import (CELLS, EDGES, FRAMES, LEAF_COUNT, LOCI, ORDER_CELLS, REACH, WORDS, edges, frame_quartets,
                                        loci, nearest_sql, rounded, tidy, with_, words)
 from cladeframe.functions import evidence, quartet, scorers
 from cladeframe.functions.encode import WORD
@@ -152,7 +152,8 @@ def evidence_merge(spark, folder):
 def _classified(spark, folder):
     """Scored quartets with their topology in the supplier tree."""
     from cladeframe.operators import ancestry, trees
-    tree, rows, n = frame_quartets(spark, folder, 2)
+    n = tables.supplier_count(spark, folder)
+    tree = cut(edges(spark, folder))
     known, proposed = _evidence(spark, folder)
     merged = cut(quartets.merge_evidence(known, proposed.join(known, KEY, "left_anti")))
     places = ancestry.ancestry(tree, n)

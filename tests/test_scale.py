@@ -81,3 +81,11 @@ def test_frames_of_trees_beyond_the_bound_are_not_broadcast(spark, tmp_path, mon
     for found in (rows, trees.frames(other, n)):
         found.write.format("noop").mode("overwrite").save()
         assert "BroadcastHashJoin" not in _plan(found) and "SortMergeJoin" in _plan(found)
+
+
+def test_tables_of_some_thousand_rows_are_not_broadcast(spark):
+    pairs = session.cut_apart(spark.range(2000).selectExpr("id AS src", "xxhash64(id) AS dst", "id % 7 AS x"))
+    asked = spark.range(1 << 20).selectExpr("id AS src", "xxhash64(id) AS dst")
+    joined = asked.join(pairs, ["src", "dst"])
+    assert joined.count() == 2000
+    assert "BroadcastHashJoin" not in _plan(joined) and "SortMergeJoin" in _plan(joined)
