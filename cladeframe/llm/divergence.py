@@ -136,11 +136,13 @@ def units(docs: DataFrame, groups: DataFrame, least: int) -> DataFrame:
 
 
 def chunk_terms(rows: DataFrame) -> DataFrame:
-    """(chunk, terms, langs): every distinct chunk with its terms, repeated ones too, and its documents in each language."""
-    sums = rows.groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"))
+    """(chunk, terms, langs): every distinct chunk with its terms, repeated ones too or none, and its documents in each language."""
+    # Most chunks of a block are in no other block of its task, so sums before the shuffle would not make it smaller.
+    sums = rows.select("chunk", "lang", "docs").repartition("chunk").groupBy("chunk", "lang").agg(F.sum("docs").alias("docs"))
     chunks = sums.groupBy("chunk").agg(F.collect_list(F.struct("lang", "docs")).alias("langs"))  # one entry a language
     found = F.regexp_extract_all(F.translate("chunk", UPPER, UPPER.lower()), F.lit(TERM), F.lit(0))
-    return chunks.select("chunk", found.alias("terms"), "langs").where(F.size("terms") > 0)
+    # No condition on the terms: it would be moved below both sums and split every row of every block.
+    return chunks.select("chunk", found.alias("terms"), "langs")
 
 
 def _held(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
@@ -148,7 +150,7 @@ def _held(rows: DataFrame, wanted: DataFrame, columns: list[str]) -> DataFrame:
     slot = F.pmod(F.hash("chunk"), F.lit(SLOTS)).alias("slot")
     slots = wanted.select(slot).distinct()  # at most SLOTS numbers
     near = rows.select("lang", "chunk", *columns, slot).join(F.broadcast(slots), "slot", "left_semi").drop("slot")
-    return near.join(wanted, ["lang", "chunk"])
+    return near.join(wanted, ["chunk", "lang"])  # sorted by the chunk first, as rows of a language tie
 
 
 def kept_terms(rows: DataFrame, chunks: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
@@ -157,7 +159,7 @@ def kept_terms(rows: DataFrame, chunks: DataFrame, least: int) -> tuple[DataFram
     bounds = each.select("lang", "docs", F.explode(F.array_distinct("terms")).alias("term")).groupBy("lang", "term").agg(
         F.sum("docs").alias("most"), F.max("docs").alias("some"))
     possible = cut(bounds.where(F.col("most") >= least).select("lang", "term", (F.col("some") >= least).alias("sure")))
-    of_chunk = cut(each.select("lang", "chunk", F.explode("terms").alias("term")).join(possible, ["lang", "term"]))
+    of_chunk = cut(each.select("lang", "chunk", F.explode("terms").alias("term")).join(possible, ["term", "lang"]))
     open_ = of_chunk.where("NOT sure").select("lang", "chunk", "term").distinct()
     # All chunks of an open term have fewer documents than ``least``, so their places are complete.
     united = _held(rows, open_, ["block", "places"]).select("lang", "term", "block", F.explode("places").alias("place")).distinct()
@@ -171,7 +173,7 @@ def term_counts(docs: DataFrame, least: int) -> tuple[DataFrame, DataFrame]:
     groups = cut(numbered(plain))
     rows = cut(units(plain, groups, least))
     kept, of_chunk = kept_terms(rows, cut(chunk_terms(rows)), least)
-    held = _held(rows, of_chunk.join(kept, ["lang", "term"], "left_semi"), ["by"]).select("lang", "term", F.explode("by").alias("e"))
+    held = _held(rows, of_chunk.join(kept, ["term", "lang"], "left_semi"), ["by"]).select("lang", "term", F.explode("by").alias("e"))
     counted = held.select("lang", "term", F.shiftright("e", 32).alias("number"), F.col("e").bitwiseAND((1 << 32) - 1).alias("n")).groupBy(
         "lang", "number", "term").agg(F.sum("n").alias("n"))
     return groups, counted.join(groups, ["lang", "number"]).select("lang", "source", "term", "n")
@@ -219,7 +221,7 @@ def divergence(docs: DataFrame, least: int = 10, top: int = 10) -> DataFrame:
     counts = cut(counts)
     kept = cut(counts.groupBy("lang", "term").agg(F.sum("n").alias("lang_n")))
     sizes = kept.groupBy("lang").agg(F.count("*").alias("kept"), F.sum("lang_n").alias("lang_total"))
-    known = counts.join(kept, ["lang", "term"])
+    known = counts.join(kept, ["term", "lang"])
     totals = known.groupBy("lang", "source").agg(F.sum("n").alias("total"))
     groups = cut(named.join(totals, ["lang", "source"], "left").join(sizes, "lang", "left").select(
         "lang", "source", "number", *[F.coalesce(c, F.lit(0)).alias(c) for c in ("total", "kept", "lang_total")]).withColumn(

@@ -160,6 +160,16 @@ def test_divergence_matches_brute_force(spark, sources, monkeypatch, block):
     assert {r[2] for r in got} == {"pair", "term"}
 
 
+def test_chunks_are_split_once_each(spark):
+    rows = spark.createDataFrame([(0, "de", "ab,ab", 2), (1, "de", "ab,ab", 3), (1, "en", "ab,ab", 1), (0, "de", "17", 4)],
+                                 "block long, lang string, chunk string, docs int")
+    found = divergence.chunk_terms(rows)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1 and "regexp_extract_all" in plan.splitlines()[0]
+    got = {r.chunk: (r.terms, sorted(map(tuple, r.langs))) for r in found.collect()}
+    assert got["ab,ab"] == (["ab", "ab"], [("de", 5), ("en", 1)]) and not got.get("17", ([],))[0]
+
+
 def test_divergence_of_nothing_and_of_rare_words(spark, sources):
     assert divergence.divergence(frame(spark, sources).where("false")).collect() == []
     found = divergence.divergence(frame(spark, sources), least=1000).collect()
