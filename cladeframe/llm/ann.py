@@ -7,8 +7,11 @@ centre is nearest, and leaves come out in that order. How many leaves a query
 visits is calibrated: for a sample of queries the true neighbours are found by
 a scan of all vectors, and the visit count is the smallest with which the
 sample reaches the recall asked for. A query whose leaves hold fewer others
-than asked for walks on until they do. Leaves are dealt in pieces of bounded
-size, so a leaf with a third of all vectors is searched by many tasks.
+than asked for walks on until they do. Leaves that lie together form cells of
+bounded size, and a leaf beyond that size several, so a leaf with a third of all
+vectors is searched by many tasks. A query goes once to each cell that holds
+leaves of its own, with the list of these; a task keeps the vectors of one cell
+and lets the queries pass by, so its memory does not grow with them.
 
 Vectors that are null, zero, of another length than most, or hold null or
 non-finite components take no part. A query is never its own neighbour; rows
@@ -21,7 +24,6 @@ from __future__ import annotations
 import heapq
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
@@ -30,14 +32,19 @@ from cladeframe.session import cut, ship_package
 
 SAMPLE_BYTES = 32 << 20
 SAMPLE_ROWS = 20_000
-PIECE = 2048  # vectors or queries of a leaf that meet in one task
+PIECE = 2048  # vectors that a scan compares at once
+CELL_ROWS, CELL_BYTES = 1 << 17, 32 << 20  # vectors that a task keeps: rows, and bytes in single precision
+CELLS = 32  # fewer vectors go in a cell where there would be fewer cells than these
+TOGETHER = 512  # queries that meet a cell at once
+WALKS = 512  # queries whose leaves one task finds
 BRANCHES = 16
 MOST_LEAVES = 4096
 
 
 def usable(vectors: DataFrame) -> DataFrame:
-    """(vec_id, v) of the vectors that take part, as doubles."""
-    v = F.col("embedding").cast("array<double>")
+    """(vec_id, v) of the vectors that take part, as doubles or, where they are given so, floats."""
+    given = vectors.schema["embedding"].dataType.simpleString()
+    v = F.col("embedding").cast("array<float>" if given == "array<float>" else "array<double>")
     sound = ~F.exists("v", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     some = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), v.alias("v")).where(
         F.col("vec_id").isNotNull() & F.col("v").isNotNull() & sound & F.exists("v", lambda x: x != 0))
@@ -46,7 +53,7 @@ def usable(vectors: DataFrame) -> DataFrame:
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
-    flat = column.flatten().to_numpy(zero_copy_only=False)
+    flat = column.flatten().to_numpy(zero_copy_only=False).astype(float)
     return flat.reshape(len(column), -1) if len(column) else np.zeros((0, 1))
 
 
@@ -137,6 +144,10 @@ def grow(vectors: DataFrame, n: int) -> Tree:
     return Tree(_unit(np.array(sample)) if sample else np.zeros((0, 1)), leaves)
 
 
+def _kind(df: DataFrame, column: str) -> str:
+    return df.schema[column].dataType.simpleString()
+
+
 def placed(vectors: DataFrame, tree) -> DataFrame:
     """(vec_id, v, leaf) of every vector."""
     def run(batches):
@@ -144,32 +155,58 @@ def placed(vectors: DataFrame, tree) -> DataFrame:
             leaf = tree.value.place(_unit(_matrix(batch.column(1)))) if batch.num_rows else []
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(leaf, pa.int32())], names=["vec_id", "v", "leaf"])
 
-    return vectors.select("vec_id", "v").mapInArrow(run, "vec_id long, v array<double>, leaf int")
+    return vectors.select("vec_id", "v").mapInArrow(run, f"vec_id long, v {_kind(vectors, 'v')}, leaf int")
+
 
+def cells_of(rows: dict[int, int], width: int) -> dict[int, tuple[int, int]]:
+    """(first cell, cells) of every leaf by its number of vectors: neighbours share a cell, a large leaf has several."""
+    size = min(CELL_ROWS, max(1, CELL_BYTES // (4 * max(width, 1))), max(PIECE, -(-sum(rows.values()) // CELLS)))
+    out, cell, held = {}, 0, 0
+    for leaf in sorted(rows):
+        if held and held + rows[leaf] > size:
+            cell, held = cell + 1, 0
+        n = -(-rows[leaf] // size)
+        out[leaf] = cell, n
+        held += rows[leaf]
+        if n > 1:
+            cell, held = cell + n, 0
+    return out
 
-def visits(queries: DataFrame, tree, most: int, sizes: dict[int, int], k: int) -> DataFrame:
-    """(query_id, q, leaf, place): the first ``most`` leaves of every query, and further ones until they hold ``k`` others.
+
+def visits(queries: DataFrame, n_queries: int, tree, most: int, sizes: dict[int, int], cells: dict[int, tuple[int, int]], k: int) -> DataFrame:
+    """(cell, id, v, leaves): the first ``most`` leaves of every query by cell, and further ones until they hold ``k`` others.
 
     ``sizes`` are the ids in each leaf, MOST_LEAVES numbers at most.
     """
     spark = queries.sparkSession
-    shared = spark.sparkContext.broadcast(sizes)
+    shared = spark.sparkContext.broadcast((sizes, cells))
     # Rows that repeat a query's id are no candidates of it.
     own = queries.groupBy("vec_id").agg(F.count("*").alias("own"))
 
     def run(batches):
+        sizes, cells = shared.value
         for batch in batches:
             unit = _unit(_matrix(batch.column(1))) if batch.num_rows else np.zeros((0, 1))
-            order = [tree.value.visit(u, most, shared.value, k + n) for u, n in zip(unit, batch.column(2).to_pylist())]
-            which = np.repeat(np.arange(len(order)), [len(o) for o in order])
-            for a in range(0, max(len(which), 1), 8192):
-                w = which[a:a + 8192]
+            for a in range(0, max(batch.num_rows, 1), 64):
+                which, where, leaves = [], [], []
+                for i, n in enumerate(batch.column(2).slice(a, 64).to_pylist(), a):
+                    by_cell: dict[int, list[int]] = {}
+                    for leaf in tree.value.visit(unit[i], most, sizes, k + n):
+                        first, count = cells.get(leaf, (0, 0))  # a leaf without vectors has no cell
+                        for cell in range(first, first + count):
+                            by_cell.setdefault(cell, []).append(leaf)
+                    which.extend([i] * len(by_cell))
+                    where.extend(by_cell)
+                    leaves.extend(by_cell.values())
+                w = pa.array(which, pa.int64())
                 yield pa.RecordBatch.from_arrays([
-                    batch.column(0).take(pa.array(w)), batch.column(1).take(pa.array(w)),
-                    pa.array([leaf for o in order for leaf in o][a:a + 8192], pa.int32()),
-                    pa.array([p for o in order for p in range(len(o))][a:a + 8192], pa.int32())], names=["query_id", "q", "leaf", "place"])
+                    pa.array(where, pa.int32()), batch.column(0).take(w), batch.column(1).take(w), pa.array(leaves, pa.list_(pa.int32()))],
+                    names=["cell", "id", "v", "leaves"])
 
-    return queries.join(own, "vec_id").select("vec_id", "v", "own").mapInArrow(run, "query_id long, q array<double>, leaf int, place int")
+    # By rows, as a walk takes long for the few bytes of a query.
+    spread = queries.join(own, "vec_id").select("vec_id", "v", "own").repartition(max(1, -(-n_queries // WALKS)), F.xxhash64("vec_id", "v"))
+    return spread.mapInArrow(
+        run, f"cell int, id long, v {_kind(queries, 'v')}, leaves array<int>")
 
 
 def _best(ids, vectors, query_ids, queries, k):
@@ -191,6 +228,105 @@ def _best(ids, vectors, query_ids, queries, k):
     return out_q, out_v, out_s
 
 
+class Cell:
+    """Vectors of some leaves, met by queries of which each names its leaves."""
+
+    def __init__(self, ids: np.ndarray, leaf: np.ndarray, vectors: np.ndarray, k: int):
+        # Of equal vectors no query takes others than the first by id, of a repeated id k; its own id may be among them.
+        raw = np.ascontiguousarray(vectors + 0.0).view(np.dtype((np.void, 8 * vectors.shape[1]))).ravel()
+        same = np.unique(raw, return_inverse=True)[1].ravel()
+        order = np.lexsort((ids, same))
+        order = order[_place(same[order], ids[order]) < k]
+        order = order[_place(same[order]) < 2 * k]
+        order = order[np.lexsort((ids[order], leaf[order]))]
+        self.k, self.ids, self.vectors = k, ids[order], vectors[order]
+        self.leaves, self.starts = np.unique(leaf[order], return_index=True)
+        self.ends = np.append(self.starts[1:], len(order))
+        self.unit = _unit(self.vectors).astype(np.float32)
+        self.by_id = np.argsort(self.ids, kind="stable")
+        # Two sums of rounded products in single precision, each off by at most this share of one.
+        self.slack = np.float32(4 * (vectors.shape[1] + 4) * 2.0 ** -24)
+
+    def best(self, ids: np.ndarray, vectors: np.ndarray, leaves: list) -> tuple[list, list, list]:
+        """(query_id, vec_id, score) of the k nearest for each query, ties to the smaller id."""
+        k, unit, n = self.k, _unit(vectors).astype(np.float32), len(ids)
+        asked = np.zeros((n, len(self.leaves)), bool)
+        asked[np.repeat(np.arange(n), [len(x) for x in leaves]), np.searchsorted(self.leaves, np.concatenate(leaves))] = True
+        sorted_ids = self.ids[self.by_id]
+        low, high = np.searchsorted(sorted_ids, ids, "left"), np.searchsorted(sorted_ids, ids, "right")
+        own_rows = np.repeat(np.arange(n), high - low)
+        own = self.by_id[np.arange(len(own_rows)) - np.repeat(np.cumsum(high - low) - high, high - low)]
+        order = np.argsort(own, kind="stable")
+        own_rows, own = own_rows[order], own[order]
+        top = np.full((n, k), -np.inf, np.float32)  # best k so far, the least of them first
+        some = []
+        for at, (a, b) in enumerate(zip(self.starts, self.ends)):
+            rows = np.flatnonzero(asked[:, at])
+            if not len(rows):
+                continue
+            near = unit[rows] @ self.unit[a:b].T
+            first, last = np.searchsorted(own, [a, b])
+            for i, c in zip(own_rows[first:last], own[first:last]):
+                if asked[i, at]:
+                    near[np.searchsorted(rows, i), c - a] = -np.inf
+            better = np.flatnonzero(near.max(1) >= top[rows, 0] - self.slack)
+            rows, near = rows[better], near[better]
+            most = min(k, b - a)
+            added = np.partition(near, (b - a) - most, axis=1)[:, (b - a) - most:] if most < b - a else near
+            top[rows] = np.partition(np.concatenate([top[rows], added], 1), most, axis=1)[:, most:]
+            x, y = np.nonzero(near >= np.maximum(top[rows, :1] - self.slack, np.float32(-2)))
+            some.append((rows[x], y + a, near[x, y]))
+        if not some:
+            return [], [], []
+        rows, columns, near = (np.concatenate(c) for c in zip(*some))
+        kept = near >= top[rows, 0] - self.slack
+        rows, columns = rows[kept], columns[kept]
+        exact = np.concatenate([np.zeros(0)] + [cosines(self.vectors[columns[i:i + 65536]], vectors[rows[i:i + 65536]]) for i in range(0, len(rows), 65536)])
+        order = np.lexsort((self.ids[columns], -exact, rows))
+        order = order[_place(rows[order]) < k]
+        return ids[rows[order]].tolist(), self.ids[columns[order]].tolist(), exact[order].tolist()
+
+
+def _place(*sorted_keys: np.ndarray) -> np.ndarray:
+    """Place of every row among those of its key, from 0."""
+    n = len(sorted_keys[0])
+    new = np.ones(n, bool)
+    new[1:] = np.any([key[1:] != key[:-1] for key in sorted_keys], axis=0)
+    return np.arange(n) - np.maximum.accumulate(np.where(new, np.arange(n), 0))
+
+
+def meet(rows: DataFrame, n_cells: int, k: int) -> DataFrame:
+    """(query_id, vec_id, score): the k nearest in a cell for each of its queries.
+
+    ``rows`` has (cell, asks, id, v, leaf, leaves): vectors with their leaf, and queries, where ``asks`` is 1, with their leaves.
+    """
+    def run(batches):
+        cell, held, block = None, [], None
+        for batch in batches:
+            cells, asks = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+            cuts = np.flatnonzero((cells[1:] != cells[:-1]) | (asks[1:] != asks[:-1])) + 1
+            for a, b in zip([0, *cuts], [*cuts, len(cells)]):
+                if a == b:
+                    continue
+                if cells[a] != cell:
+                    cell, held, block = cells[a], [], None
+                part = batch.slice(a, b - a)
+                if not asks[a]:
+                    held.append((part.column(2).to_numpy(), part.column(4).to_numpy(), _matrix(part.column(3))))
+                    continue
+                if block is None:
+                    block = Cell(*(np.concatenate(c) for c in zip(*held)), k) if held else None
+                    held = []
+                if block is None:
+                    continue
+                for i in range(0, b - a, TOGETHER):
+                    some = part.slice(i, TOGETHER)
+                    q, v, s = block.best(some.column(2).to_numpy(), _matrix(some.column(3)), some.column(5).to_numpy(zero_copy_only=False))
+                    yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(v, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "vec_id", "score"])
+
+    return rows.repartitionById(max(1, n_cells), F.col("cell")).sortWithinPartitions("cell", "asks").mapInArrow(run, "query_id long, vec_id long, score double")
+
+
 def _top(found: DataFrame, k: int) -> DataFrame:
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return found.distinct().withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
@@ -238,23 +374,13 @@ def search(table: DataFrame, every: int = 50, k: int = 5, recall: float = 0.98)
     in_leaves = cut(placed(vectors, tree))
     most = calibrate(vectors, in_leaves, queries, n_queries, tree, k, recall)
     sizes = {r[0]: r[1] for r in in_leaves.groupBy("leaf").agg(F.count_distinct("vec_id")).collect()}
-    asked = cut(visits(queries, tree, most, sizes, k))
-
-    # One row for each leaf, MOST_LEAVES at most (and the nodes above them).
-    pieces = in_leaves.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / PIECE).cast("int").alias("n_v"))
-    groups = asked.groupBy("leaf").count().select("leaf", F.ceil(F.col("count") / PIECE).cast("int").alias("n_q"))
-    both = F.broadcast(pieces.join(groups, "leaf"))
-    left = in_leaves.join(both, "leaf").select(
-        "leaf", F.pmod(F.xxhash64("vec_id"), "n_v").cast("int").alias("pv"), F.explode(F.sequence(F.lit(0), F.col("n_q") - 1)).alias("pq"), "vec_id", "v")
-    right = asked.join(both, "leaf").select(
-        "leaf", F.explode(F.sequence(F.lit(0), F.col("n_v") - 1)).alias("pv"), F.pmod(F.xxhash64("query_id"), "n_q").cast("int").alias("pq"), "query_id", "q")
-
-    def meet(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
-        if a.empty or b.empty:
-            return pd.DataFrame({"query_id": [], "vec_id": [], "score": []})
-        q, v, s = _best(a["vec_id"].to_numpy(), np.stack(a["v"]), b["query_id"].to_numpy(), np.stack(b["q"]), k)
-        return pd.DataFrame({"query_id": q, "vec_id": v, "score": s})
-
-    keys = ["leaf", "pv", "pq"]
-    found = left.groupBy(*keys).cogroup(right.groupBy(*keys)).applyInPandas(meet, "query_id long, vec_id long, score double")
-    return _top(found, k).select("query_id", "rank", "vec_id", "score")
+    # One row for each leaf, MOST_LEAVES at most.
+    rows = {r[0]: r[1] for r in in_leaves.groupBy("leaf").count().collect()}
+    width = vectors.select(F.size("v")).first()
+    cells = cells_of(rows, width[0] if width else 0)
+    dealt = F.broadcast(spark.createDataFrame([(leaf, *c) for leaf, c in cells.items()], "leaf int, first int, n int"))
+    held = in_leaves.join(dealt, "leaf").select(
+        (F.col("first") + F.pmod(F.xxhash64("vec_id"), "n")).cast("int").alias("cell"), F.lit(0).alias("asks"), F.col("vec_id").alias("id"), "v", "leaf",
+        F.lit(None).cast("array<int>").alias("leaves"))
+    asked = visits(queries, n_queries, tree, most, sizes, cells, k).select("cell", F.lit(1).alias("asks"), "id", "v", F.lit(None).cast("int").alias("leaf"), "leaves")
+    return _top(meet(held.unionByName(asked), max((c + n for c, n in cells.values()), default=0), k), k).select("query_id", "rank", "vec_id", "score")
