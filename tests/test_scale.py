@@ -53,6 +53,18 @@ def test_groups_score_quartets_as_single_quartets_do(spark):
             assert np.allclose([r.s0, r.s1, r.s2], single[tuple(r[q] for q in quartets.KEY)], rtol=0, atol=1e-12)
 
 
+def test_orbits_of_whole_words_are_those_of_the_patterns():
+    draw = np.random.default_rng(7)
+    planes = draw.integers(0, 1 << sites.WORD, (3, 9, 4))
+    planes[:2] &= planes[2]
+    planes[:, 8] = 0
+    low, high, seen = ((planes[..., None] >> np.arange(sites.WORD)) & 1)
+    codes = np.where(seen == 1, low + 2 * high, 4).astype(np.uint8).reshape(9, -1)
+    at = draw.integers(0, 9, (4, 200))
+    found = quartets.count_orbits(planes, at)
+    assert found.sum() > 0 and np.array_equal(found, quartets.count_patterns(codes, at) @ scorers._PATTERN_ORBITS)
+
+
 def test_first_matches_are_those_of_the_whole_pass(spark, monkeypatch):
     draw = random.Random(5)
     pairs = {tuple(sorted(draw.sample(range(400), 2))) for _ in range(3000)}
