@@ -232,12 +232,12 @@ class Cell:
     """Vectors of some leaves, met by queries of which each names its leaves."""
 
     def __init__(self, ids: np.ndarray, leaf: np.ndarray, vectors: np.ndarray, k: int):
-        # Of equal vectors no query takes others than the first by id, of a repeated id k; its own id may be among them.
+        # Repeated rows count once. Of equal vectors no query takes others than the first k by id, its own id apart.
         raw = np.ascontiguousarray(vectors + 0.0).view(np.dtype((np.void, 8 * vectors.shape[1]))).ravel()
         same = np.unique(raw, return_inverse=True)[1].ravel()
         order = np.lexsort((ids, same))
-        order = order[_place(same[order], ids[order]) < k]
-        order = order[_place(same[order]) < 2 * k]
+        order = order[_place(same[order], ids[order]) == 0]
+        order = order[_place(same[order]) <= k]
         order = order[np.lexsort((ids[order], leaf[order]))]
         self.k, self.ids, self.vectors = k, ids[order], vectors[order]
         self.leaves, self.starts = np.unique(leaf[order], return_index=True)

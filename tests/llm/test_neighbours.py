@@ -49,15 +49,15 @@ def test_small_cells_and_large_leaves_find_what_one_scan_finds(spark, monkeypatc
         assert [v for v, _ in got[q]] == [v for v, _ in want] and np.allclose([s for _, s in got[q]], [s for _, s in want], rtol=0, atol=1e-12)
 
 
-def test_a_cell_takes_repeated_rows_as_they_come():
+def test_repeated_rows_take_no_place_of_others():
     rng = np.random.default_rng(4)
-    m = rng.normal(size=(60, 4))
+    m = np.repeat(rng.normal(size=(30, 4)), 2, axis=0)
     ids = np.repeat(np.arange(30), 2)
-    m[1::2] = m[::2]
-    cell = ann.Cell(ids, np.zeros(60, int), m, 3)
-    q, v, s = cell.best(np.array([4, 99]), m[[8, 20]], [np.array([0]), np.array([0])])
-    for i, (own, at) in enumerate(((4, 8), (99, 20))):
-        score = ann.cosines(m, np.broadcast_to(m[at], m.shape))
-        order = [j for j in np.lexsort((ids, -score)) if ids[j] != own][:3]
-        assert q[3 * i:3 * i + 3] == [own] * 3 and v[3 * i:3 * i + 3] == ids[order].tolist()
-        assert np.allclose(s[3 * i:3 * i + 3], score[order], rtol=0, atol=1e-12)
+    m[20:40] = m[20]
+    cell = ann.Cell(ids, np.repeat([0, 1], 30), m, 3)
+    q, v, s = cell.best(np.array([4, 99, 11]), m[[8, 20, 22]], [np.array([0, 1])] * 3)
+    assert q == [4] * 3 + [99] * 3 + [11] * 3
+    for i, (own, at) in enumerate(((4, 8), (99, 20), (11, 22))):
+        score = ann.cosines(m[::2], np.broadcast_to(m[at], m[::2].shape))
+        order = [j for j in np.lexsort((ids[::2], -score)) if j != own][:3]
+        assert v[3 * i:3 * i + 3] == order and np.allclose(s[3 * i:3 * i + 3], score[order], rtol=0, atol=1e-12)
